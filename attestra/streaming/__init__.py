@@ -1,0 +1,2 @@
+"""The analyses here are defined on complete claim tables: chance-corrected agreement, dominant
+roots and interval estimates change with every claim.  There are no streaming operators."""
