@@ -150,13 +150,10 @@ def bootstrap_ratio(clusters: DataFrame, by: list[str], num: str, den: str, repl
         share = np.array([r["size"] for r in layout_rows], dtype=float)
         pdf = pdf.sort_values(["num", "den"])
         value, weight = pdf[["num", "den"]].to_numpy(float), pdf["m"].to_numpy(float)
-        out = np.empty((replicates, 2))
-        for rep in range(replicates):
-            # every part repeats the same draw of part totals, then deals out its own
-            totals = np.random.Generator(np.random.PCG64(_splitmix(salt ^ rep))).multinomial(k, share / share.sum())
-            mine = totals[pids.index(part)]
-            rng = np.random.Generator(np.random.PCG64(_splitmix(_splitmix(salt ^ rep) ^ (part + 1))))
-            out[rep] = rng.multinomial(mine, weight / weight.sum()) @ value
+        # every part repeats the same draw of part totals, then deals out its own share of them
+        totals = np.random.Generator(np.random.PCG64(salt)).multinomial(k, share / share.sum(), size=replicates)
+        rng = np.random.Generator(np.random.PCG64(_splitmix(salt ^ (part + 1))))
+        out = rng.multinomial(totals[:, pids.index(part)], weight / weight.sum()) @ value
         return pd.DataFrame({"_group": group, "rep": np.arange(replicates), "num": out[:, 0], "den": out[:, 1]})
 
     drawn = (classes.join(layout, "_group").select("_group", "_part", "num", "den", "m", "k", "layout")

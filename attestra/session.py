@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,14 +37,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Materialise a reused intermediate where every executor can read it again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read again: the one the cluster names in
+    ``spark.checkpoint.dir``.  Only a session without one (a local test) gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="attestra-")
+    return _LOCAL[app]
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``; only a session without
-    one (a local test) gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="attestra-checkpoint-"))
-    return df.checkpoint()
+
+_LOCAL: dict[str, str] = {}
+
+
+def written(df: DataFrame, name: str | None = None) -> DataFrame:
+    """Write an intermediate that several steps read, and read it back as a table.
+
+    Later steps then scan only their columns, plans do not repeat the expressions behind them, and
+    a lost executor re-reads files instead of recomputing from the start."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name or uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

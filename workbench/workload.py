@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.session import spread, tuned
+from attestra.session import spread, tuned, written
 
 AS_OF = "1999-06-17"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -58,7 +58,7 @@ FROM (
                                                    ELSE 'locky' END
               ELSE '' END AS subcat
   FROM (
-    SELECT (l_orderkey % 1000000000) * 8000000 + l_linenumber * 1000000 + (l_suppkey * 1009 + l_partkey * 7) % 1000000 AS claim_seq,
+    SELECT (l_orderkey % 1000000000) * 8000000 + l_linenumber * 1000000 + (l_suppkey * 1009 + l_partkey * 7 + cast(l_quantity AS bigint) * 20011) % 1000000 AS claim_seq,
            CASE l_suppkey % 7 WHEN 0 THEN 'ellipticpp' WHEN 1 THEN 'rodwald_ransom' WHEN 2 THEN 'rodwald_mixers'
                               WHEN 3 THEN 'rodwald_ransom' WHEN 4 THEN 'schnoering' WHEN 5 THEN 'tagpack'
                               ELSE 'watchyourback' END AS source,
@@ -103,7 +103,7 @@ FROM (SELECT *, 0 AS extra FROM {orders} UNION ALL SELECT *, 1 AS extra FROM {or
 
 # A raw upload: text cells only, hexadecimal identifiers, a chain per row, label cells with several tokens.
 UPLOAD = """
-SELECT (l_orderkey % 1000000000) * 8000000 + l_linenumber * 1000000 + (l_suppkey * 1009 + l_partkey * 7) % 1000000 AS row_id,
+SELECT (l_orderkey % 1000000000) * 8000000 + l_linenumber * 1000000 + (l_suppkey * 1009 + l_partkey * 7 + cast(l_quantity AS bigint) * 20011) % 1000000 AS row_id,
        CASE l_partkey % 20 WHEN 0 THEN '' WHEN 1 THEN 'not-an-address' WHEN 2 THEN '0x' || upper(hex40)
                            WHEN 3 THEN '  0x' || hex40 || ' ' ELSE '0x' || hex40 END AS wallet_address,
        CASE l_suppkey % 8 WHEN 0 THEN 'Ethereum' WHEN 1 THEN 'Polygon-Mainnet' WHEN 2 THEN '' WHEN 3 THEN 'dogecoin'
@@ -155,5 +155,16 @@ def load(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     return spark.sql(statement, **{n: spread(df) for n, df in given.items()})
 
 
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table, written the first time a session needs it and read by every query after."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = written(build())
+    return _WRITTEN[key]
+
+
 def for_duckdb(statement: str) -> str:
     return statement.format(**{t: t for t in TABLES})
