@@ -28,9 +28,8 @@ def adapter_address(raw: Column) -> Column:
 
 
 def canonical_identifier(reg: Registry, chain: Column, raw: Column) -> Column:
-    """One spelling per identifier: hexadecimal chains ignore case, the others do not."""
-    a = strip(raw)
-    return F.when(chain.isin(reg.evm_chains), F.lower(a)).otherwise(a)
+    """One spelling per identifier (a trimmed cell): hexadecimal chains ignore case, the others do not."""
+    return F.when(chain.isin(reg.evm_chains), F.lower(raw)).otherwise(raw)
 
 
 def subject_key(chain: Column, address: Column) -> Column:
@@ -206,7 +205,8 @@ def checksum_state(value: Column) -> Column:
 
 
 def bitcoin_valid(value: Column) -> Column:
-    v = strip(F.coalesce(value, F.lit("")))
+    """Checksum and version of a Bitcoin address; ``value`` is a trimmed cell."""
+    v = F.coalesce(value, F.lit(""))
     legacy, witness = F.substring(v, 1, 1).isin("1", "3"), F.lower(F.substring(v, 1, 3)) == "bc1"
     raw = base58_payload(F.when(legacy, v))
     head = F.substring(raw, 1, 21)
@@ -219,7 +219,7 @@ def bitcoin_valid(value: Column) -> Column:
 
 
 def address_valid(reg: Registry, chain: Column, value: Column) -> Column:
-    """Validity on a chain given per row; FALSE when the chain has no check."""
+    """Validity on a chain given per row; FALSE when the chain has no check.  ``value`` is a trimmed cell."""
     evm = chain.isin(reg.evm_chains)
     bitcoin = chain.isin([c for c, s in reg.chains.items() if s["family"] == "bitcoin"])
     return (F.when(evm, F.coalesce(checksum_state(F.when(evm, value)) != "invalid", F.lit(False)))

@@ -10,7 +10,10 @@ WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u
 
 
 def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(WHITESPACE))
+    """Trim white space.  A cell that starts and ends with a printable ASCII character, which nearly
+    every cell does, is recognised by two comparisons and returned as it is."""
+    bare = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(bare, c).otherwise(F.trim(c, F.lit(WHITESPACE)))
 
 
 def cell(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, stats
 from ..functions.text import ratio
 from ..registry import Registry
+from ..session import written
 from .subjects import OUTCOMES, count_named
 
 
@@ -95,7 +96,7 @@ def _chance_corrected(pairs: DataFrame, suffix: str) -> DataFrame:
 def kappa(claims: DataFrame, reg: Registry) -> DataFrame:
     """Cohen's kappa of every overlapping source pair.  ``unknown`` is a class of the headline figure;
     the interpretable companion drops it."""
-    pairs = label_pairs(opinions(claims, modal_label()))
+    pairs = written(label_pairs(opinions(claims, modal_label())))      # source and category pairs: read four times below
     unknown_a, unknown_b = F.col("label_a") == reg.unknown, F.col("label_b") == reg.unknown
     blank = (pairs.groupBy("source_a", "source_b")
              .agg(F.sum(F.when(unknown_a & unknown_b, F.col("n")).otherwise(0)).alias("n_both_unknown")))

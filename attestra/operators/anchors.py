@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import labels, stats
 from ..functions.text import ratio
 from ..registry import Registry
+from ..session import written
 from .roots import dominant_root
 from .subjects import subject_table
 
@@ -133,6 +134,7 @@ def bootstrap_ratio(clusters: DataFrame, by: list[str], num: str, den: str, repl
     keyed = clusters.withColumn("_group", F.to_json(F.struct(*by)) if by else F.lit("{}"))
     classes = keyed.groupBy("_group", *by, F.col(num).alias("num"), F.col(den).alias("den")).agg(F.count("*").alias("m"))
     classes = classes.withColumn("_part", F.pmod(F.xxhash64("num", "den"), F.lit(parts)).cast("int"))
+    classes = written(classes)       # a few rows, read three times below
     sizes = classes.groupBy("_group", "_part").agg(F.sum("m").alias("size"))
     # one row per group: its total and the sizes of its parts (at most ``parts`` of them)
     layout = sizes.groupBy("_group").agg(F.sum("size").alias("k"), F.array_sort(F.collect_list(F.struct("_part", "size"))).alias("layout"))

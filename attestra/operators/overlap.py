@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ratio
 from ..registry import Registry
+from ..session import written
 from .subjects import source_lists
 
 
 def source_set_counts(claims: DataFrame) -> DataFrame:
-    """sources ARRAY<STRING>, n: how many subjects exactly this set of sources names."""
-    return source_lists(claims).groupBy("sources").agg(F.count("*").alias("n"))
+    """sources ARRAY<STRING>, n: how many subjects exactly this set of sources names.  Written, as
+    every figure below reads it more than once."""
+    return written(source_lists(claims).groupBy("sources").agg(F.count("*").alias("n")))
 
 
 def depth(sets: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers
 from ..functions.text import cell, ratio
 from ..registry import Registry
+from ..session import written
 from .claims import declared_source
 
 #: Fixed value: reasons in the order they are tested.
@@ -100,12 +101,13 @@ def label_tokens(text: Column, multi_label: dict | None, reg: Registry) -> Colum
 
 
 def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str | None = None, dedupe: bool = True,
-             multi_label: dict | None = None, single_label: bool = False) -> Validation:
+             multi_label: dict | None = None, single_label: bool = False, keep: bool = True) -> Validation:
     """Judge every row of ``rows`` (a unique ``row_id`` and text cells).
 
     A blank chain cell falls back to ``default_chain``; a chain name that resolves to nothing is
     rejected, never replaced.  A row with several labels is a duplicate only when none is new.
     ``single_label`` reads the mapped category, or else label, column alone (joined tables).
+    ``keep`` writes the rows with their first tests to the shared folder, so identifiers are checked once.
     """
     if default_chain is None and not mapping.get("chain"):
         raise ValueError("address validation needs a chain: none was given or mapped")
@@ -142,6 +144,8 @@ def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str |
     tokens = F.when(F.col("_split"), label_tokens(F.col("_label"), multi_label, reg)).otherwise(F.array("_label"))
     df = df.withColumns({"reason": reason, "_tokens": tokens,
                          "_subject": identifiers.canonical_identifier(reg, F.col("row_chain"), F.col("_address"))})
+    if keep:
+        df = written(df)          # read twice below: once for the claims of each row, once for the rows
     listed = F.size("_tokens") > 1
     if not dedupe:
         taken = F.transform("_tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("token")))

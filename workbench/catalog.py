@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attestra import Registry
 from attestra.functions import evidence, identifiers, labels, provenance
+from attestra.functions.text import cell
 from attestra.operators import (agreement, anchors, claims as claim_ops, currency, explore, inheritance, lineage, metrics, overlap,
                                 profiling, relational, roots, subjects, target, trust, validation, verdict, verification)
 from attestra.plans import corpus_audit, upload_audit
@@ -118,7 +119,7 @@ def chain_names(s, d):
     chain = identifiers.resolve_chain(REG, F.col("network"))
     return u.groupBy("network", chain.alias("chain")).agg(
         F.count("*").alias("n_rows"),
-        F.count_if(identifiers.canonical_identifier(REG, chain, F.col("wallet_address")) != F.col("wallet_address")).alias("n_respelled"),
+        F.count_if(identifiers.canonical_identifier(REG, chain, cell(F.col("wallet_address"))) != F.col("wallet_address")).alias("n_respelled"),
         F.count_if(identifiers.adapter_address(F.col("wallet_address")) != F.col("wallet_address")).alias("n_trimmed"))
 
 

@@ -525,6 +525,34 @@ def oracle_sql() -> dict[str, str]:
         SELECT *, n_multi / n_cells AS multi_share, n_known / nullif(n_multi, 0) AS known_share, n_multi / n_cells >= 0.001 AND n_known / nullif(n_multi, 0) >= 0.9 AS is_multi_label FROM (
         SELECT CAST((SELECT sum(n) FROM c) AS BIGINT) AS n_cells, CAST((SELECT sum(n) FROM l) AS BIGINT) AS n_multi, CAST((SELECT sum(n) FROM l WHERE known) AS BIGINT) AS n_known,
         (SELECT count(*) FROM a WHERE n >= 2) AS n_established_tokens, ',' AS separator)""" % W.for_duckdb(W.UPLOAD)
+    up = W.for_duckdb(W.UPLOAD)
+    drawn = f"upl AS ({up}), drawn AS (SELECT *, md5('0:' || CAST(row_id AS VARCHAR)) AS h FROM upl ORDER BY h, row_id LIMIT 20000)"
+    q["spread_sample"] = f"WITH upl AS ({up}) SELECT * FROM upl ORDER BY md5('0:' || CAST(row_id AS VARCHAR)), row_id LIMIT 200"
+    named = """CASE network WHEN 'Ethereum' THEN 'ethereum' WHEN 'eth' THEN 'ethereum' WHEN 'Polygon-Mainnet' THEN 'polygon' WHEN 'BSC' THEN 'bnb_smart_chain'
+        WHEN 'btc' THEN 'bitcoin' WHEN 'avalanche c chain' THEN 'avalanche_c' END"""
+    q["chain_pair_sample"] = f"""WITH {drawn}, p AS (SELECT {named} AS chain, trim(wallet_address) AS a FROM drawn WHERE trim(wallet_address) <> '' AND network <> '' ORDER BY h, row_id LIMIT 500)
+        SELECT chain, count(*) AS n, count(*) FILTER (WHERE chain IS NOT NULL AND chain <> 'bitcoin' AND regexp_full_match(a, '0x[0-9a-fA-F]{{40}}')) AS n_valid FROM p GROUP BY chain"""
+    long = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", row_id, trim({c}) AS v, h FROM drawn WHERE trim({c}) <> ''" for c in W.UPLOAD_COLUMNS)
+    share = lambda cond: f"avg(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END)"      # noqa: E731
+    chain_of = named.replace("CASE network", "CASE v").replace("WHEN 'Ethereum'", "WHEN 'Ethereum'")
+    day = "regexp_full_match(v, '\\d{4}-\\d{2}-\\d{2}([T ].*)?') AND TRY_CAST(substr(v, 1, 10) AS DATE) IS NOT NULL"
+    hexa = "regexp_full_match(v, '0x[0-9a-fA-F]{40}')"
+    q["column_profiles"] = f"""WITH {drawn}, long AS ({long}), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY h, row_id) AS rn FROM long) WHERE rn <= 500)
+        SELECT "column", count(*) AS n, 0.0::DOUBLE AS "numeric", {share(day)} AS date, 0.0::DOUBLE AS url, 1 - {share(day)} AS text, count(DISTINCT v) AS "distinct", false AS counter, 0.0::DOUBLE AS graded,
+        {share("(" + chain_of + ") IS NOT NULL")} AS chain_named, coalesce(string_agg(DISTINCT {chain_of}, ',' ORDER BY {chain_of}), '') AS chains, count(DISTINCT length(v)) AS lengths, min(length(v)) AS shortest, max(length(v)) AS longest,
+        bool_and(regexp_full_match(v, '[0-9a-zA-Z]+')) AS opaque, bool_or(EXISTS (SELECT 1 FROM (SELECT unnest(regexp_split_to_array(lower(v), '[^a-z]+')) AS t)
+          WHERE t IN ('btc', 'xbt', 'bitcoin', 'ethereum', 'eth', 'ether', 'bnb', 'bsc', 'polygon', 'matic', 'avalanche', 'avax'))) AS names_asset,
+        {share(hexa)} AS address_evm, 0.0::DOUBLE AS address_bitcoin, 0.0::DOUBLE AS transaction_evm, 0.0::DOUBLE AS transaction_bitcoin FROM s GROUP BY "column\""""
+    report = "\nUNION ALL ".join([
+        keyed("agreement", "outcome", ["n", "share"], f"(SELECT o.col0 AS outcome, count(s.subject) AS n, count(s.subject) / (SELECT count(*) FROM subjects WHERE n_sources >= 2) AS share FROM {_OUT5} o LEFT JOIN subjects s ON s.outcome = o.col0 AND s.n_sources >= 2 GROUP BY 1)"),
+        keyed("coverage", "", ["n_subjects", "n_multi_source", "multi_source_rate"], "(SELECT count(*) AS n_subjects, count(*) FILTER (WHERE n_sources >= 2) AS n_multi_source, count(*) FILTER (WHERE n_sources >= 2) / count(*) AS multi_source_rate FROM subjects)"),
+        keyed("independence", "", ["n_circular"], "(SELECT count(*) FILTER (WHERE circular) AS n_circular FROM subjects WHERE n_sources >= 2)"),
+        keyed("sources", "source", ["n_subjects", "n_covered"], "(SELECT a.source, count(*) AS n_subjects, count(*) FILTER (WHERE s.n_sources > 1) AS n_covered FROM named a JOIN subjects s USING (subject) GROUP BY 1)"),
+        keyed("containment", "source || '.' || other", ["share_of_a"], "(SELECT source, other, share_of_source AS share_of_a FROM matrix WHERE intersection > 0)"),
+        keyed("kappa", "", ["n_pairs", "n_undefined", "n_substantial"], "(SELECT count(*) AS n_pairs, count(*) FILTER (WHERE cohen_kappa IS NULL) AS n_undefined, count(*) FILTER (WHERE substantial) AS n_substantial FROM kappa)"),
+        keyed("roots", "", ["total", "identified"], "(SELECT count(DISTINCT root) AS total, count(DISTINCT CASE WHEN resolved THEN root END) AS identified FROM claims)"),
+        keyed("currency", "coalesce(source, 'total')", ["current", "stale", "currency_unknown"], "freshness")])
+    q["corpus_report"] = _subjects(f"SELECT key, value, 'LIVE' AS basis FROM ({report})", NAMED, PAIRS, FRESH, KAPPA)
     q["source_class"] = "SELECT count(*) AS n_rows, count(DISTINCT origin) AS n_distinct, count(DISTINCT origin) <= 12 AND count(*) > 10 * count(DISTINCT origin) AS is_class FROM (%s)" % W.for_duckdb(W.UPLOAD)
     q["build_manifest"] = _claims("SELECT source, count(*) AS claims, count(DISTINCT address) AS addresses, CAST(0 AS BIGINT) AS dropped FROM claims GROUP BY ROLLUP (source)")
     # ---- several tables
