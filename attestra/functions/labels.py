@@ -37,6 +37,35 @@ def canonical_category(reg: Registry, raw: Column) -> Column:
     return F.coalesce(_alias(reg, cell(raw)), structured_category(reg, raw))
 
 
+def with_category(df: DataFrame, reg: Registry, columns: list[str]) -> DataFrame:
+    """Read several label columns (trimmed cells) at once, the first that names a category deciding.
+
+    Adds ``canon`` and ``structured_entity``.  Same rules as ``canonical_category``; every lookup is
+    made once, in a step of its own, so later expressions stay small."""
+    lower = {f"_low{i}": F.lower(F.col(c)) for i, c in enumerate(columns)}
+    df = df.withColumns(lower)
+    cuts, steps = {}, {}
+    for i, c in enumerate(columns):
+        at, width = F.lit(0), F.lit(0)
+        for sep in reversed(reg.separators):
+            here = F.instr(F.col(c), sep)
+            at, width = F.when(here > 0, here).otherwise(at), F.when(here > 0, len(sep)).otherwise(width)
+        cuts[f"_at{i}"], cuts[f"_width{i}"] = at, width
+        steps[f"_whole{i}"] = lookup(reg.aliases, F.col(f"_low{i}"))
+    df = df.withColumns({**cuts, **steps})
+    df = df.withColumns({f"_part{i}": F.when(F.col(f"_whole{i}").isNull() & (F.col(f"_at{i}") > 0), lookup(
+        reg.aliases, strip(F.substring(F.col(f"_low{i}"), F.lit(1), F.col(f"_at{i}") - F.lit(1))))) for i in range(len(columns))})
+    canon = F.coalesce(*[F.coalesce(F.col(f"_whole{i}"), F.col(f"_part{i}")) for i in range(len(columns))], F.lit(reg.unknown))
+    entity, before = None, F.lit(True)
+    for i, c in enumerate(columns):
+        rest = strip(F.substring(F.col(c), F.col(f"_at{i}") + F.col(f"_width{i}"), F.length(F.col(c))))
+        test = before & F.col(f"_whole{i}").isNull() & F.col(f"_part{i}").isNotNull()
+        entity = F.when(test, rest) if entity is None else entity.when(test, rest)
+        before = before & F.col(f"_whole{i}").isNull() & F.col(f"_part{i}").isNull()
+    df = df.withColumns({"canon": canon, "structured_entity": entity})
+    return df.drop(*[f"_{n}{i}" for n in ("low", "at", "width", "whole", "part") for i in range(len(columns))])
+
+
 def polarity_of(reg: Registry, canon: Column) -> Column:
     return F.coalesce(lookup({c.name: c.polarity for c in reg.categories.values()}, canon), F.lit("unknown"))
 

@@ -95,20 +95,16 @@ def build_claims(rows: DataFrame, mapping: dict, source_id: str, reg: Registry,
         _mapped(mapping, "actor").alias("actor"), _mapped(mapping, "entity").alias("entity"),
         _mapped(mapping, "confidence").alias("confidence_raw"), F.lit(default_heuristic).alias("heuristic"),
         *([provenance_record.alias("provenance_record")] if provenance_record is not None else []))
-    from_category = labels.canonical_category(reg, F.col("subcat"))
-    from_label = labels.canonical_category(reg, F.col("raw_label"))
-    entity = (F.when(from_category.isNotNull(), labels.structured_entity(reg, F.col("subcat")))
-              .when(from_label.isNotNull(), labels.structured_entity(reg, F.col("raw_label"))))
     declared = F.lower(F.col("prov_family"))
+    df = labels.with_category(df, reg, ["subcat", "raw_label"])
     df = df.withColumns({
-        "canon": F.coalesce(from_category, from_label, F.lit(reg.unknown)),
+        "polarity": labels.polarity_of(reg, F.col("canon")),
         "source_url": F.when(declared.startswith("http://") | declared.startswith("https://"),
                              F.col("prov_family")).otherwise(""),
-        "notes": F.when(F.coalesce(entity, F.lit("")) != "",
-                        F.concat(F.lit("structured_label_entity="), entity)).otherwise(""),
-        # row order, then position in the row
-        "claim_seq": F.col("record_id") * F.lit(1024) + F.col("_pos")})
-    df = df.withColumn("polarity", labels.polarity_of(reg, F.col("canon"))).drop("_pos")
+        "notes": F.when(F.coalesce("structured_entity", F.lit("")) != "",
+                        F.concat(F.lit("structured_label_entity="), "structured_entity")).otherwise(""),
+        # row order, then position in the row (equal positions beyond 255 fall back to label order)
+        "claim_seq": F.shiftleft("record_id", 8) + F.least(F.col("_pos"), F.lit(255))}).drop("_pos", "structured_entity")
     return stamp(df, reg).withColumn("claim_id", claim_id())
 
 

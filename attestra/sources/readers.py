@@ -33,7 +33,8 @@ def csv_table(spark: SparkSession, path: str | list[str], sep: str = ",", max_ro
 
 def observations(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """An observation table; ``claim_seq`` is the order of the file."""
-    df = csv_table(spark, path, multi_line=multi_line).withColumnRenamed("row_id", "claim_seq")
+    df = csv_table(spark, path, multi_line=multi_line)
+    df = df.drop("claim_seq").withColumnRenamed("row_id", "claim_seq")
     missing = [c for c in OBSERVATION if c not in df.columns]
     if missing:
         raise ValueError(f"not an observation table: no column {', '.join(missing)}")

@@ -15,7 +15,7 @@ from attestra.plans import corpus_audit, upload_audit
 from attestra.registry import _source_rule
 from attestra.session import tuned
 from attestra.sinks import writers
-from attestra.sources import readers
+from attestra.sources import adapters, readers
 from workbench import workload as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -729,6 +729,46 @@ def relationships_object(s, d):
                                   "inheritance": _candidates(s, d)})
 
 
+# ------------------------------------------------------------------ files in, files out
+def _files(s, d):
+    h = dict(header=True)
+    return dict(classes=W.as_file(s, d, "classes", W.CLASS_FILE, **h), curated=W.as_file(s, d, "curated", W.CURATED_FILE, **h),
+                family=W.as_file(s, d, "family", W.FAMILY_FILE, header=True, sep=";"), reports=W.as_file(s, d, "reports", W.REPORT_FILE, "json"),
+                notes=W.as_file(s, d, "notes", W.NOTES_FILE))
+
+
+@query("SRC2 SRC6 SRC7 SRC8 SRC9 SRC11 SRC14")
+def adapters_build(s, d):
+    f = _files(s, d)
+    rows, dropped, warnings = adapters.build([
+        adapters.coded_classes(s, f["classes"], REG), adapters.curated_categories(s, f["curated"], REG), adapters.family_list(s, f["family"], "rodwald_ransom", "ransomware", ";"),
+        adapters.crowd_reports(s, f["reports"], multi_line=False), adapters.annotation_list(s, f["notes"], REG)], REG, fill_unknown=True)
+    made = rows.groupBy("source", "canon", "polarity", "heuristic").agg(F.count("*").alias("n_rows"), F.count_distinct("address").alias("n_addresses"),
+                                                                      F.min("prov_family").alias("first_family"), F.max("lastmod").alias("last_day"))
+    none = F.lit("")
+    rest = dropped.select("source", F.lit("(dropped)").alias("canon"), none.alias("polarity"), none.alias("heuristic"), F.col("n_dropped").alias("n_rows")).unionByName(
+        warnings.select("source", F.col("warning").alias("canon"), none.alias("polarity"), none.alias("heuristic"), "n_rows"))
+    return made.unionByName(rest, allowMissingColumns=True)
+
+
+@query("SRC12 SRC13 SET3 SRC3 SRC4")
+def values_and_anchors(s, d):
+    f = _files(s, d)
+    values = adapters.revenue_rows(s, f["family"], f["reports"], multi_line=False)
+    named = adapters.anchor_addresses(s, f["notes"])
+    return (values.join(named.withColumn("anchored", F.lit(True)), "address", "left")
+            .groupBy("dataset", F.coalesce("anchored", F.lit(False)).alias("anchored")).agg(F.count("*").alias("n_rows"), F.sum("usd").alias("usd")))
+
+
+@query("SRC1 SNK1 SRC5 SRC18")
+def observation_files(s, d):
+    """The observation table written as compressed text, read back and stamped."""
+    path = W.as_file(s, d, "observations", W.OBSERVATIONS, header=True, compression="gzip", escape='"', quoteAll=True)
+    rows = readers.observations(s, path)
+    return claim_ops.stamp(rows, REG).groupBy("source", "root").agg(
+        F.count("*").alias("n_claims"), F.count_distinct("subject").alias("n_subjects"), F.count_if(F.col("raw_address") != F.col("address")).alias("n_marked"))
+
+
 # ------------------------------------------------------------------ several tables
 def _tables(s, d, *names):
     return W.tables(tuned(s), d, *names)

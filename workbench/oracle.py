@@ -555,6 +555,21 @@ def oracle_sql() -> dict[str, str]:
     q["corpus_report"] = _subjects(f"SELECT key, value, 'LIVE' AS basis FROM ({report})", NAMED, PAIRS, FRESH, KAPPA)
     q["source_class"] = "SELECT count(*) AS n_rows, count(DISTINCT origin) AS n_distinct, count(DISTINCT origin) <= 12 AND count(*) > 10 * count(DISTINCT origin) AS is_class FROM (%s)" % W.for_duckdb(W.UPLOAD)
     q["build_manifest"] = _claims("SELECT source, count(*) AS claims, count(DISTINCT address) AS addresses, CAST(0 AS BIGINT) AS dropped FROM claims GROUP BY ROLLUP (source)")
+    cf, uf, ff, nf = (f"({W.for_duckdb(x)})" for x in (W.CLASS_FILE, W.CURATED_FILE, W.FAMILY_FILE, W.NOTES_FILE))
+    rf = "(SELECT 'ord' || lpad(cast(o_orderkey AS string), 20, '0') AS address, o_orderstatus AS family, cast(cast(o_orderdate AS date) AS string) AS day, cast(o_orderkey + 2 AS double) AS usd FROM orders WHERE o_orderpriority <> '5-LOW')"
+    q["adapters_build"] = f"""WITH r AS (
+        SELECT 'ellipticpp' AS source, CASE class WHEN '1' THEN 'illicit_unspec' WHEN '2' THEN 'licit_unspec' ELSE 'unknown' END AS canon, 'undisclosed' AS heuristic, address, 'elliptic_undisclosed' AS fam, '' AS day FROM {cf} WHERE class <> '0'
+        UNION ALL SELECT 'schnoering', CASE upper(trim(category)) WHEN 'MIXER' THEN 'mixer' WHEN 'BET' THEN 'gambling' WHEN 'MARKETPLACE' THEN 'darknet_market' ELSE 'unknown' END, 'multi_input', address, 'schnoering:seg', '' FROM {uf}
+        UNION ALL SELECT 'rodwald_ransom', 'ransomware', 'inherited', address, 'rodwald:' || source, '' FROM {ff}
+        UNION ALL SELECT 'ransomwhere', 'ransomware', 'none', address, 'ransomwhere:crowd', day FROM {rf}
+        UNION ALL SELECT 'watchyourback', CASE lower(c) WHEN 'ransomware' THEN 'ransomware' ELSE 'darknet_market' END, 'manual_verified', a, 'wyb:manual', '' FROM {nf} WHERE b = 'BTC')
+        SELECT source, canon, CASE WHEN canon IN ('illicit_unspec', 'mixer', 'darknet_market', 'ransomware') THEN 'illicit' WHEN canon = 'unknown' THEN 'unknown' ELSE 'licit' END AS polarity, heuristic,
+          count(*) AS n_rows, count(DISTINCT address) AS n_addresses, min(fam) AS first_family, max(day) AS last_day FROM r WHERE length(address) >= 20 GROUP BY ALL
+        UNION ALL SELECT source, '(dropped)', '', '', count(*), NULL, NULL, NULL FROM r WHERE length(address) < 20 GROUP BY source
+        UNION ALL SELECT 'ellipticpp', 'unrecognised class code 0', '', '', count(*), NULL, NULL, NULL FROM {cf} WHERE class = '0'"""
+    q["values_and_anchors"] = f"""WITH v AS (SELECT address, 'rodwald_ransom' AS dataset, coalesce(TRY_CAST(SUM_REC_USD AS DOUBLE), 0) AS usd FROM {ff} UNION ALL SELECT address, 'ransomwhere', usd FROM {rf})
+        SELECT dataset, address IN (SELECT a FROM {nf} WHERE b = 'BTC' AND c = 'ransomware') AS anchored, count(*) AS n_rows, sum(usd) AS usd FROM v GROUP BY ALL"""
+    q["observation_files"] = _claims("SELECT source, root, count(*) AS n_claims, count(DISTINCT subject) AS n_subjects, count(*) FILTER (WHERE subject <> address) AS n_marked FROM claims GROUP BY ALL")
     # ---- several tables
     q["joined_tables"] = """SELECT o_orderkey AS orders__o_orderkey, o_custkey AS orders__o_custkey, c_name AS customer__c_name, n_name AS nation__n_name, r_name AS region__r_name
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""

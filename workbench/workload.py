@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.session import spread, tuned, written
+from attestra.session import shared_folder, spread, tuned, written
 
 AS_OF = "1999-06-17"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -166,5 +166,33 @@ def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _WRITTEN[key]
 
 
+# the same customers and orders in the file shapes the adapters read
+CLASS_FILE = """SELECT CASE WHEN c_custkey % 10 = 0 THEN 'c' || cast(c_custkey AS string) ELSE 'cust' || lpad(cast(c_custkey AS string), 20, '0') END AS address,
+       cast(c_nationkey % 4 AS string) AS class FROM {customer}"""
+CURATED_FILE = """SELECT 'cust' || lpad(cast(c_custkey AS string), 20, '0') AS address,
+       CASE c_mktsegment WHEN 'MACHINERY' THEN 'mixer' WHEN 'AUTOMOBILE' THEN ' Bet' WHEN 'BUILDING' THEN 'MARKETPLACE' WHEN 'HOUSEHOLD' THEN '' ELSE 'novel' END AS category,
+       'seg' AS source FROM {customer}"""
+FAMILY_FILE = """SELECT 'ord' || lpad(cast(o_orderkey AS string), 20, '0') AS address, o_orderpriority AS family, o_orderstatus AS source,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE cast(cast(floor(o_totalprice) AS bigint) AS string) END AS SUM_REC_USD FROM {orders}"""
+REPORT_FILE = """SELECT 'ord' || lpad(cast(o_orderkey AS string), 20, '0') AS address, CASE o_orderpriority WHEN '5-LOW' THEN 'ethereum' ELSE 'bitcoin' END AS blockchain,
+       o_orderstatus AS family, cast(cast(o_orderdate AS date) AS string) || 'T01:02:03Z' AS updatedAt,
+       array(named_struct('amountUSD', cast(o_orderkey AS double)), named_struct('amountUSD', cast(2 AS double))) AS transactions FROM {orders}"""
+NOTES_FILE = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN '#' ELSE '' END || 'ord' || lpad(cast(o_orderkey AS string), 20, '0') AS a, CASE WHEN o_orderkey % 5 = 0 THEN 'eth' ELSE 'BTC' END AS b,
+       CASE o_orderkey % 3 WHEN 0 THEN 'ransomware' WHEN 1 THEN 'Darknet' ELSE 'tormarket' END AS c, o_orderpriority AS e FROM {orders}"""
+
+
+def as_file(spark: SparkSession, sf_dir: str, name: str, statement: str, fmt: str = "csv", **options) -> str:
+    """A derived table written once per session in a file format, for the readers to read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, fmt)
+    if key not in _FILES:
+        path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{len(_FILES)}"
+        load(spark, sf_dir, statement).write.mode("overwrite").options(**options).format(fmt).save(path)
+        _FILES[key] = path
+    return _FILES[key]
+
+
+_FILES: dict[tuple, str] = {}
+
+
 def for_duckdb(statement: str) -> str:
     return statement.format(**{t: t for t in TABLES})
