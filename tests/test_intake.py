@@ -87,7 +87,7 @@ def test_tables_are_recognised_by_what_they_hold(spark, reg):
         pf = P.preflight(table(spark, cols, rows), reg)
         assert (pf.dataset_type, pf.status) == (kind, status), (cols, pf)
     pf = P.preflight(table(spark, *cases[0][:2]), reg)
-    assert kinds(pf) == {"wallet_address": "subject_address", "entity_type": "attribution_category", "notes_url": "attribution_source", "last_seen": "ts_observation"}
+    assert kinds(pf) == {"wallet_address": "subject_address", "entity_type": "attribution_label", "notes_url": "attribution_source", "last_seen": "ts_observation"}
     assert pf.chain == "bitcoin" and pf.currency_basis is None and pf.mapping["timestamp"] is None
     assert P.preflight(table(spark, *cases[8][:2]), reg, chain="polygon").status == "ready"
     assert P.preflight(table(spark, *cases[9][:2]), reg).chain_status == "per_row"
