@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +40,11 @@ def subject_key(chain: Column, address: Column) -> Column:
 
 def resolve_chain(reg: Registry, name: Column) -> Column:
     """Supported chain a name refers to, else NULL.  A test network never resolves."""
-    n = F.regexp_replace(F.lower(strip(F.coalesce(name, F.lit("")))), "[^a-z0-9]+", "_")
-    n = F.regexp_replace(n, "^_+|_+$", "")
+    low = F.lower(strip(F.coalesce(name, F.lit(""))))
+    n = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     suffixes = "|".join(re.escape(s) for s in reg.intake["chains"]["network_suffixes"])
-    return lookup(reg.chain_aliases, F.regexp_replace(n, f"_(?:{suffixes})$", ""))
+    # most cells are an alias as they stand; only the others are taken apart
+    return F.coalesce(lookup(reg.chain_aliases, low), lookup(reg.chain_aliases, F.regexp_replace(n, f"_(?:{suffixes})$", "")))
 
 
 # ------------------------------------------------------------------ checksums (Arrow batches)
@@ -102,19 +104,30 @@ def _chars(values: pd.Series, width: int) -> np.ndarray:
     return raw.view(np.uint8).reshape(len(raw), width)
 
 
+def _nulls(n: int, kind: pa.DataType) -> pd.Series:
+    """A batch in which no row needed the check: Arrow nulls, without a Python object per row."""
+    return pd.Series(pd.arrays.ArrowExtensionArray(pa.nulls(n, kind)))
+
+
+def _scattered(asked: np.ndarray, answers: np.ndarray) -> pd.Series:
+    values = np.zeros(len(asked), bool)
+    values[asked] = answers
+    return pd.Series(pd.arrays.BooleanArray(values, ~asked))
+
+
 @F.pandas_udf(T.BooleanType())
 def mixed_case_checksum(body: pd.Series) -> pd.Series:
     """EIP-55: is the letter case of 40 mixed-case hex characters the one their hash asks for?"""
-    out = pd.Series([None] * len(body), dtype=object)
-    todo = body[body.notna()]
+    asked = body.notna().to_numpy()
+    todo = body[asked]
     if len(todo):
         given = _chars(todo, 40)
         low = np.where((given >= 65) & (given <= 70), given + 32, given).astype(np.uint8)
         digest = _keccak_first_lanes(low).astype("<u8").view(np.uint8).reshape(len(todo), 24)[:, :20]
         nibbles = np.stack([digest >> 4, digest & 15], axis=2).reshape(len(todo), 40)
         letter = low >= 97
-        out[body.notna().to_numpy()] = (~letter | ((given < 97) == (nibbles >= 8))).all(axis=1)
-    return out
+        return _scattered(asked, (~letter | ((given < 97) == (nibbles >= 8))).all(axis=1))
+    return _nulls(len(body), pa.bool_())
 
 
 _B58 = np.full(256, 255, np.uint8)
@@ -125,8 +138,11 @@ for _i, _c in enumerate(b"123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuv
 @F.pandas_udf(T.BinaryType())
 def base58_payload(value: pd.Series) -> pd.Series:
     """The 25 bytes a Base58 address encodes, NULL when it does not encode exactly that many."""
+    asked = value.notna()
+    if not asked.any():
+        return _nulls(len(value), pa.binary())
     out = pd.Series([None] * len(value), dtype=object)
-    ok = value.notna() & (value.str.len() >= 25) & (value.str.len() <= 35)
+    ok = asked & (value.str.len() >= 25) & (value.str.len() <= 35)
     todo = value[ok]
     if len(todo):
         size = todo.str.len().to_numpy()
@@ -161,9 +177,8 @@ _GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
 @F.pandas_udf(T.BooleanType())
 def segwit_checksum(value: pd.Series) -> pd.Series:
     """Is a lower-case ``bc1...`` string a valid witness address for its version?"""
-    out = pd.Series([None] * len(value), dtype=object)
-    ok = value.notna()
-    todo = value[ok]
+    asked = value.notna().to_numpy()
+    todo = value[asked]
     if len(todo):
         size = todo.str.len().to_numpy() - 3
         room = np.minimum(size, 87)
@@ -189,8 +204,8 @@ def segwit_checksum(value: pd.Series) -> pd.Series:
         clean = (spare < 5) & ((last & ((1 << spare) - 1)) == 0)
         fits = (length >= 2) & (length <= 40) & (version <= 16) & ((version != 0) | np.isin(length, (20, 32)))
         const = np.where(version == 0, _BECH32, _BECH32M)
-        out[ok.to_numpy()] = good & clean & fits & (check == const)
-    return out
+        return _scattered(asked, good & clean & fits & (check == const))
+    return _nulls(len(value), pa.bool_())
 
 
 # ------------------------------------------------------------------ validity

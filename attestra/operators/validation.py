@@ -129,8 +129,7 @@ def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str |
         here = cell(F.col(f"`{f}`"))
         split_cell = F.when(here != "", F.lit(bool(multi_label) and multi_label.get("column") == f)).otherwise(split_cell)
         label = F.when(here != "", here).otherwise(label)
-    df = first.withColumns({"_address": cell(raw), "row_chain": chain, "_label": label, "_split": split_cell,
-                            "_declared": declared_source(mapping)})
+    df = first.withColumns({"_address": cell(raw), "row_chain": chain, "_label": label, "_split": split_cell})
     df = df.withColumn("trimmed", F.col("_address") != raw)
     df = df.withColumn("state", identifiers.checksum_state(F.when(F.col("row_chain").isin(reg.evm_chains), F.col("_address"))))
     bitcoin = F.col("row_chain").isin([c for c, s in reg.chains.items() if s["family"] == "bitcoin"])
@@ -141,11 +140,12 @@ def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str |
               .when(~F.col("_ok"), REASONS[3]))
     if fields:
         reason = reason.when(F.col("_label") == "", REASONS[4])
-    tokens = F.when(F.col("_split"), label_tokens(F.col("_label"), multi_label, reg)).otherwise(F.array("_label"))
-    df = df.withColumns({"reason": reason, "_tokens": tokens,
-                         "_subject": identifiers.canonical_identifier(reg, F.col("row_chain"), F.col("_address"))})
+    df = df.withColumn("reason", reason).drop("_ok")
     if keep:
         df = written(df)          # read twice below: once for the claims of each row, once for the rows
+    tokens = F.when(F.col("_split"), label_tokens(F.col("_label"), multi_label, reg)).otherwise(F.array("_label"))
+    df = df.withColumns({"_tokens": tokens, "_declared": declared_source(mapping),
+                         "_subject": identifiers.canonical_identifier(reg, F.col("row_chain"), F.col("_address"))})
     listed = F.size("_tokens") > 1
     if not dedupe:
         taken = F.transform("_tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
@@ -165,7 +165,7 @@ def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str |
 
 
 def _tidy(df: DataFrame) -> DataFrame:
-    return df.drop("_label", "_split", "_declared", "_ok", "_tokens", "_subject", "_new")
+    return df.drop("_label", "_split", "_declared", "_tokens", "_subject", "_new")
 
 
 def passes_floor(counts: DataFrame, reg: Registry) -> DataFrame:
