@@ -141,7 +141,7 @@ def bootstrap_ratio(clusters: DataFrame, by: list[str], num: str, den: str, repl
     schema = T.StructType([T.StructField("_group", T.StringType()), T.StructField("rep", T.LongType()),
                            T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType())])
 
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         group, part = key[0], int(key[1])
         salt = seed
         for ch in group.encode():

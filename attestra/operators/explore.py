@@ -133,6 +133,6 @@ def explain(claims: DataFrame, reg: Registry, address: str, as_of: Column, chain
 
 
 def claims_at(claims: DataFrame, reg: Registry, address: str, as_of: Column) -> DataFrame:
-    here = claims.where(F.col("address") == address)
-    return claim_ops.claim_view(here.withColumn("_day", F.col("lastmod")), reg).withColumn(
-        "currency", evidence.currency_status(reg, F.coalesce("lastmod", F.lit("")), as_of))
+    """The claims behind an explanation, each with its currency."""
+    here = claim_ops.claim_view(claims.where(F.col("address") == address), reg)
+    return here.withColumn("currency", evidence.currency_status(reg, F.coalesce("lastmod", F.lit("")), as_of))
