@@ -4,9 +4,10 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestra.llm import maxscore, packing, token_rows, warc
-from attestra.llm.common import table, written
+from attestra.llm import language, maxscore, packing, token_rows, toxicity, warc
+from attestra.llm.common import documents, fold, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +18,27 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every whole text, learned from the folds 1 to 4 of 5."""
+    docs = table(spark, d, "documents")
+    net = language.fit(docs.where(fold("doc_id", 5) != 0), F.col("lang"))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return language.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_warc(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as segmented WARC records and read back."""
     return warc.round_trip(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every whole text; of the folds of 4, fold 2 is held out, and a fifth of the others serves the calibration."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    learn, spare = crc % 4 != 2, F.floor(crc / 4) % 5 == 0
+    got = toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"), learn & ~spare, learn & spare)
+    return got.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), tokenizer())
 
@@ -35,7 +52,7 @@ def op10_maxscore(spark: SparkSession, d: str) -> DataFrame:
     return maxscore.search(table(spark, d, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_warc, op7_packing, op9_token_rows, op10_maxscore)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language, op3_warc, op4_toxicity, op7_packing, op9_token_rows, op10_maxscore)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
