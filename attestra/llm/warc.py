@@ -3,7 +3,7 @@
 Writing: a page becomes one record; of pages with equal payloads of at least ``revisit_bytes`` the one with the smallest id is
 a ``response`` and the others are ``revisit`` records that name it.  The block is an HTTP response in chunked transfer
 framing.  A block longer than ``segment_bytes`` is cut into a first record and ``continuation`` records.  Spark's text writer
-puts the files in place: a record ends with CRLF CRLF, which is the writer's line end, so files are plain WARC/1.1.
+puts the files in place: a record ends with CRLF CRLF, which is the writer's line end, so a file is WARC/1.1, compressed as a whole.
 
 Reading: records are parsed by their Content-Length.  Records that stand alone are done where they are read; segments are
 grouped by origin id, ordered by number and joined, their total length is checked against the declared one, and then the
@@ -16,6 +16,7 @@ files are bounded by ``records_per_file`` segments.
 """
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from typing import Iterator
@@ -122,7 +123,7 @@ def records(resolved: DataFrame, segment_bytes: int = 1 << 15, chunk_bytes: int
 
 def write(resolved: DataFrame, path: str, segment_bytes: int = 1 << 15, records_per_file: int = 2048, **how) -> None:
     """WARC files under ``path``.  Files hold at most ``records_per_file`` records, hence a bounded number of bytes."""
-    (records(resolved, segment_bytes, **how).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).mode("error").text(path))
+    (records(resolved, segment_bytes, **how).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").mode("error").text(path))
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -151,7 +152,8 @@ def parts(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 out, held = [], 0
-                for f, block in parse(content.as_buffer().to_pybytes()):
+                raw = content.as_buffer().to_pybytes()
+                for f, block in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     n = f.get("warc-segment-number")
                     out.append({"page_id": f.get("x-page-id"), "url": f.get("warc-target-uri"), "record_type": f["warc-type"],
                                 "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha256:") or None, "payload_bytes": None, "refers_to": f.get("x-refers-to-page"),
