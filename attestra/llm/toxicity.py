@@ -194,7 +194,8 @@ def score(docs: DataFrame, labels: DataFrame, learn_from, calibrate_on, threshol
     """doc_id, score, predicted.  ``learn_from`` and ``calibrate_on`` are conditions on the id, apart from one another."""
     told = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     rows = documents(docs, id_col, text_col)
-    learned = written(rows.where(learn_from).join(told.where(learn_from), "doc_id").select("text", "toxic"))
+    # the labels grow with the documents, so the same join at every size
+    learned = written(rows.where(learn_from).join(told.where(learn_from).hint("shuffle_merge"), "doc_id").select("text", "toxic"))
     model = fit(learned, **how)
     found = written(evidence(rows, model))
     part = (found.where(calibrate_on).where("evidence IS NOT NULL").join(told.where(calibrate_on), "doc_id")
