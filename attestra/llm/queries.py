@@ -6,7 +6,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import language, maxscore, packing, pii, token_rows, toxicity, warc
+from attestra.llm import language, maxscore, near_duplicates, packing, pii, token_rows, toxicity, warc
 from attestra.llm.common import documents, fold, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), tokenizer())
 
 
+def op8_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The near-duplicate class of every document, named by its smallest doc_id, and its size."""
+    return near_duplicates.classes_of(table(spark, d, "documents")).select("doc_id", "class_id", "n_docs")
+
+
 def op9_token_rows(spark: SparkSession, d: str) -> DataFrame:
     """Matrices written and read back: where each segment lies, and the checksum of its ids."""
     return token_rows.segments(written(token_rows.matrices(table(spark, d, "documents"), tokenizer())))
@@ -57,7 +62,7 @@ def op10_maxscore(spark: SparkSession, d: str) -> DataFrame:
     return maxscore.search(table(spark, d, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language, op3_warc, op4_toxicity, op6_pii, op7_packing, op9_token_rows, op10_maxscore)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language, op3_warc, op4_toxicity, op6_pii, op7_packing, op8_near_duplicates, op9_token_rows, op10_maxscore)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
