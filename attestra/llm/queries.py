@@ -6,7 +6,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import language, maxscore, near_duplicates, packing, pii, token_rows, toxicity, warc
+from attestra.llm import decontaminate, language, maxscore, near_duplicates, packing, pii, token_rows, toxicity, warc
 from attestra.llm.common import documents, fold, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op5_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    return decontaminate.hits(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, d: str) -> DataFrame:
     """Personal data in every whole text."""
     return pii.report(table(spark, d, "documents"))
@@ -62,7 +67,7 @@ def op10_maxscore(spark: SparkSession, d: str) -> DataFrame:
     return maxscore.search(table(spark, d, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language, op3_warc, op4_toxicity, op6_pii, op7_packing, op8_near_duplicates, op9_token_rows, op10_maxscore)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language, op3_warc, op4_toxicity, op5_decontaminate, op6_pii, op7_packing, op8_near_duplicates, op9_token_rows, op10_maxscore)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
