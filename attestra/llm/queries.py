@@ -6,7 +6,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, language, maxscore, near_duplicates, packing, pii, token_rows, toxicity, warc
+from attestra.llm import decontaminate, language, maxscore, near_duplicates, packing, pii, quality, token_rows, toxicity, warc
 from attestra.llm.common import documents, fold, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op1_language(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of every document by co-trained views of text and metadata."""
+    return quality.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op3_warc(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as segmented WARC records and read back."""
     return warc.round_trip(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
@@ -67,7 +72,7 @@ def op10_maxscore(spark: SparkSession, d: str) -> DataFrame:
     return maxscore.search(table(spark, d, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language, op3_warc, op4_toxicity, op5_decontaminate, op6_pii, op7_packing, op8_near_duplicates, op9_token_rows, op10_maxscore)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language, op2_quality, op3_warc, op4_toxicity, op5_decontaminate, op6_pii, op7_packing, op8_near_duplicates, op9_token_rows, op10_maxscore)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
