@@ -139,9 +139,21 @@ class CategoryCodes:
         return F.when(F.col("off_lo").isNull(), 0).when(F.col("off_lo") == F.col("off_hi"), 1).otherwise(2)
 
     def n_categories(self) -> Column:
-        """Number of known categories, exact up to two outside the tree."""
+        """Known categories, those outside the tree told apart as none, one or several; see ``off_tree_counts``."""
         return self._bits("cats") + self._off_tree()
 
+    def off_tree_counts(self, claims: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, n_off: how many categories outside the tree a group has.  Only claims with such a category move."""
+        rows = claims.where(~F.col("canon").isin([*self.names, self.reg.unknown])).select(*keys, "canon").distinct()
+        return rows.groupBy(*keys).agg(F.count("*").alias("n_off"))
+
+    def with_exact_counts(self, merged: DataFrame, claims: DataFrame, keys: list[str]) -> DataFrame:
+        """Adds ``n_categories`` to a merged table, whose keys may be null."""
+        off = self.off_tree_counts(claims, keys)
+        same = [merged[k].eqNullSafe(off[k]) for k in keys]
+        joined = merged.join(off, same, "left").select(merged["*"], off["n_off"])
+        return joined.withColumn("n_categories", (self._bits("cats") + F.coalesce("n_off", F.lit(0))).cast("int")).drop("n_off")
+
     def relationship(self) -> Column:
         """How the known categories of a merged group relate (the group has at least one)."""
         specific = self._bits("cats", "generic") + self._off_tree()

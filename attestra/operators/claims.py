@@ -103,8 +103,8 @@ def build_claims(rows: DataFrame, mapping: dict, source_id: str, reg: Registry,
                              F.col("prov_family")).otherwise(""),
         "notes": F.when(F.coalesce("structured_entity", F.lit("")) != "",
                         F.concat(F.lit("structured_label_entity="), "structured_entity")).otherwise(""),
-        # row order, then position in the row (equal positions beyond 255 fall back to label order)
-        "claim_seq": F.shiftleft("record_id", 8) + F.least(F.col("_pos"), F.lit(255))}).drop("_pos", "structured_entity")
+        # row order, then position in the row, as one exact number
+        "claim_seq": (F.col("record_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("_pos").cast("decimal(10,0)")).cast("decimal(38,0)")}).drop("_pos", "structured_entity")
     return stamp(df, reg).withColumn("claim_id", claim_id())
 
 

@@ -59,11 +59,13 @@ def filter_conflicts(index: DataFrame, kind: str | None = None, source_a: str |
     return df
 
 
-def page(df: DataFrame, order: list[str], offset: int, limit: int, cap: int, after: dict | None = None) -> DataFrame:
-    """One page in a stated order, never more than ``cap`` rows.  ``after`` (the order columns of the
-    last row seen) continues from there by a filter, so a deep page costs what the first one does."""
+def page(df: DataFrame, order: list[str], offset: int, limit: int, after: dict | None = None) -> DataFrame:
+    """One page of ``limit`` rows in a stated order.  ``after`` (the order columns of the last row seen) continues from there by a
+    filter, so a deep page costs what the first one does; an ``offset`` is for shallow pages only."""
+    if limit < 1 or offset < 0:
+        raise ValueError(f"no page has {limit} rows from row {offset} on")
     df = df if after is None else df.where(_beyond(order, after))
-    return df.orderBy(*order).offset(max(0, int(offset))).limit(max(1, min(int(limit), cap)))
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def _beyond(order: list[str], after: dict) -> Column:
@@ -76,11 +78,11 @@ def _beyond(order: list[str], after: dict) -> Column:
 
 def claims_page(claims: DataFrame, reg: Registry, offset: int = 0, limit: int = 100, after: dict | None = None) -> DataFrame:
     view = claim_ops.claim_view(claims, reg).withColumn("chain", F.coalesce("chain", F.lit("")))
-    return page(view, ["address", "chain", "source", "claim_seq"], offset, limit, reg.analysis["paging"]["claims"], after)
+    return page(view, ["address", "chain", "source", "claim_seq"], offset, limit, after)
 
 
-def conflicts_page(index: DataFrame, reg: Registry, offset: int = 0, limit: int = 50, **filters) -> DataFrame:
-    return page(filter_conflicts(index, **filters), ["subject"], offset, limit, reg.analysis["paging"]["conflicts"])
+def conflicts_page(index: DataFrame, reg: Registry, offset: int = 0, limit: int = 50, after: dict | None = None, **filters) -> DataFrame:
+    return page(filter_conflicts(index, **filters), ["subject"], offset, limit, after)
 
 
 def page_totals(claims: DataFrame) -> DataFrame:

@@ -49,8 +49,9 @@ def _gather(pairs: DataFrame, reg: Registry, keys: list[str], measures: dict, si
                       target.cast("int").alias("on_target"), (~target).cast("int").alias("on_reference"),
                       flagged.cast("int").alias("flagged"), *common)
              for by, col in (("source", "source"), ("root", "root"))]
-    seen = (pairs.repartition(*[F.col(k) for k in keys])
-            .select(*keys, F.explode(F.array(*views)).alias("v")).select(*keys, "v.*"))
+    # dealt by (keys, value) first and by keys after it, each time combined before it moves: a subject with very many roots is
+    # spread over all tasks, and reaches its last task as one row from each of them
+    seen = pairs.select(*keys, F.explode(F.array(*views)).alias("v")).select(*keys, "v.*")
     one_each = seen.groupBy(*keys, "by", "value").agg(
         F.count("*").alias("pairs"), F.max("root_ok").alias("some_known"), F.min("root_ok").alias("all_known"),
         F.max("on_target").alias("on_target"), F.max("on_reference").alias("on_reference"),
@@ -83,7 +84,7 @@ def _gather(pairs: DataFrame, reg: Registry, keys: list[str], measures: dict, si
     return one_each.groupBy(*keys).agg(*cols)
 
 
-def _conclude(df: DataFrame, reg: Registry, sided: bool) -> DataFrame:
+def _conclude(df: DataFrame, reg: Registry, sided: bool, drop: bool = True) -> DataFrame:
     codes = CategoryCodes(reg)
     outcome = F.when(F.col("known_sources") < 2, "incomparable").otherwise(codes.relationship())
     if sided:
@@ -92,10 +93,10 @@ def _conclude(df: DataFrame, reg: Registry, sided: bool) -> DataFrame:
     shared = F.col("resolved_pairs") - F.col("confirmed_roots")
     confirmed, unresolved = F.col("confirmed_roots"), F.col("unresolved_sources")
     return df.withColumns({
-        "n_categories": codes.n_categories(), "outcome": outcome, "shared_roots": shared, "circular": shared > 0,
+        "outcome": outcome, "shared_roots": shared, "circular": shared > 0,
         "independence_min": F.greatest(confirmed, F.lit(1)), "independence_max": confirmed + unresolved,
         "relationship": F.when(shared > 0, "shared_root").when(unresolved > 0, "unresolved")
-        .otherwise("distinct_roots")}).drop("resolved_pairs", *codes.aggregates)
+        .otherwise("distinct_roots")}).drop("resolved_pairs", *(codes.aggregates if drop else ()))
 
 
 def subject_table(claims: DataFrame, reg: Registry, keys: list[str] | None = None,
@@ -103,7 +104,9 @@ def subject_table(claims: DataFrame, reg: Registry, keys: list[str] | None = Non
     """Sources, opinions and independence of every subject, plus the requested measures."""
     keys = keys or ["subject"]
     pairs = evidence_pairs(claims, reg, keys, measures)
-    return _conclude(_gather(pairs, reg, keys, measures or {}, False), reg, False)
+    codes = CategoryCodes(reg)
+    found = codes.with_exact_counts(_conclude(_gather(pairs, reg, keys, measures or {}, False), reg, False, drop=False), claims, keys)
+    return found.drop(*codes.aggregates)
 
 
 def sided_subject_table(pairs: DataFrame, reg: Registry, keys: list[str],
@@ -143,7 +146,7 @@ def self_consistency(claims: DataFrame, reg: Registry) -> DataFrame:
               .when(codes.relationship() == "hierarchical refinement", SELF_CONSISTENCY[2])
               .otherwise(SELF_CONSISTENCY[3]))
     outcome = F.when(n_cats > 0, codes.relationship())
-    return (merged.where("n_claims > 1").withColumns({"bucket": bucket, "outcome": outcome, "n_categories": n_cats})
+    return (codes.with_exact_counts(merged.where("n_claims > 1").withColumns({"bucket": bucket, "outcome": outcome}), claims, ["subject"])
             .select("subject", "n_claims", "n_categories", "bucket", "outcome"))
 
 

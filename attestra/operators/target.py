@@ -47,7 +47,7 @@ def inheritance_candidates(target: DataFrame, reference: DataFrame, reg: Registr
     are there, or its own text names the source.  A signal, never a finding of copying."""
     cut = reg.analysis["decode"]
     mine = target.groupBy("address", "chain").agg(F.count("*").alias("_n")).drop("_n")
-    theirs = (reference.select("address", "source").distinct()
+    theirs = (reference.select("address", "source").join(mine.select("address").distinct(), "address", "left_semi").distinct()
               .withColumn("source_chain", provenance.source_chain(reg, F.col("source"))))
     met = theirs.join(mine, "address").where(claim_ops.same_chain(F.col("chain"), F.col("source_chain")))
     shared = met.select("source", "address").distinct().groupBy("source").agg(F.count("*").alias("n_shared"))
@@ -74,6 +74,8 @@ def _matched_pairs(target: DataFrame, reference: DataFrame, reg: Registry, flagg
     names = list(measures)
     mine = evidence_pairs(target.withColumn("is_target", F.lit(True)), reg, KEYS, measures, sided=True)
     subjects = target.select(*KEYS).distinct()
+    # only what the audited table names can meet it
+    reference = reference.join(target.select("address").distinct(), "address", "left_semi")
     theirs = evidence_pairs(reference.withColumn("is_target", F.lit(False)), reg, ["address"],
                             {n: (how, F.lit(None).cast("bigint")) for n, (how, _) in measures.items()}, sided=True)
     theirs = theirs.withColumn("source_chain", provenance.source_chain(reg, F.col("source")))
@@ -81,8 +83,7 @@ def _matched_pairs(target: DataFrame, reference: DataFrame, reg: Registry, flagg
     met = (theirs.join(subjects, "address").where(claim_ops.same_chain(F.col("chain"), F.col("source_chain"))).drop("source_chain"))
     pairs = mine.unionByName(met.select(*mine.columns))
     if flagged is not None:
-        # one row per known source: bounded by configuration, not by the data
-        pairs = pairs.join(F.broadcast(flagged.select("source", F.lit(True).alias("flagged"))), "source", "left")
+        pairs = pairs.join(flagged.select("source", F.lit(True).alias("flagged")), "source", "left")
         pairs = pairs.withColumn("flagged", F.coalesce("flagged", F.lit(False)) & ~F.col("is_target"))
     return pairs
 

@@ -6,14 +6,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import claims as claim_ops, profiling, subjects, target, validation, verdict
+from ..operators import claims as claim_ops, preflight as intake, subjects, target, validation, verdict
 from ..registry import Registry
 from ..session import written
 
 
 @dataclass
 class Audit:
-    preflight: profiling.Preflight
+    preflight: intake.Preflight
     validation: validation.Validation | None = None
     claims: DataFrame | None = None
     candidates: DataFrame | None = None
@@ -50,7 +50,7 @@ def audit(rows: DataFrame, source_id: str, reg: Registry, reference: DataFrame,
     profile or the share of valid identifiers says that nothing can be concluded."""
     if source_id in reg.sources:
         raise ValueError(f"{source_id!r} is a known source; choose another id")
-    pf = profiling.preflight(rows, reg, choices, chain, confirmed)
+    pf = intake.preflight(rows, reg, choices, chain, confirmed)
     out = Audit(pf)
     if not pf.can_analyse:
         out.stopped = pf.status

@@ -1,6 +1,8 @@
 """Session defaults for local runs, and the shared folder that cuts lineage."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,38 +16,26 @@ def local_session(cores: int | str = "*", name: str = "attestra", shuffle_partit
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+            # HotSpot never compiles a method above 8000 bytecodes; beyond that Spark's split projections are faster
+            .config("spark.sql.codegen.hugeMethodLimit", "8000")
             .config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Settings that suit these plans on any cluster; nothing that depends on its size.
-
-    HotSpot never compiles a method above 8000 bytecodes, so a whole-stage method larger than
-    that runs interpreted.  With the limit at that size Spark uses its split projections instead.
-    """
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    return spark
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when an input has fewer splits than cores (one small file); a table with
-    enough splits is returned as it is, so nothing is shuffled at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read again: the one the cluster names in
-    ``spark.checkpoint.dir``.  Only a session without one (a local test) gets a temporary folder."""
+    """The folder every executor can read again: the one the cluster names in ``spark.checkpoint.dir``.  A local session, whose
+    executors are the driver, gets a temporary folder that goes with the process; a cluster without one is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="attestra-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return _LOCAL[app]
 
 

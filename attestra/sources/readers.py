@@ -1,16 +1,16 @@
 """Reading tables as they are: text cells, nothing inferred, nothing silently dropped."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.claims import OBSERVATION
-from ..operators.profiling import seeded_rows
 
 
-class RowLimitError(ValueError):
-    """The table has more rows than the caller allows; it is refused, not cut."""
+def row_order() -> list:
+    """Where a row stands in its input: file, start of the split in the file, place in the split."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")]
 
 
 def _text_cells(df: DataFrame) -> DataFrame:
@@ -18,32 +18,47 @@ def _text_cells(df: DataFrame) -> DataFrame:
     return df.na.fill("")
 
 
-def csv_table(spark: SparkSession, path: str | list[str], sep: str = ",", max_rows: int | None = None, header: bool = True,
-              row_ids: bool = True, multi_line: bool = True) -> DataFrame:
+def csv_table(spark: SparkSession, path: str | list[str], sep: str = ",", header: bool = True, row_ids: bool = True, multi_line: bool = True,
+              ordered: bool = False) -> DataFrame:
     """Any CSV or CSV.gz with every column as text.  Bytes that are not UTF-8 are replaced, a byte-order
     mark is dropped, a quoted line break stays inside its cell.  ``multi_line=False`` lets Spark split
-    large plain files; a gzip file is one split either way and is spread over the cores after reading."""
+    large plain files; a file with quoted line breaks, or a gzip file, is one task.
+
+    ``row_id`` tells rows apart and follows the order within a split; Spark deals splits out by size, so across files only
+    ``row_order`` (file, block, place; with ``ordered``) says which row comes first."""
     df = (spark.read.option("header", header).option("sep", sep).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
           .option("mode", "PERMISSIVE").option("inferSchema", False).option("encoding", "UTF-8").csv(path))
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
-        raise RowLimitError(f"more than {max_rows:,} rows")
+    if ordered:
+        df = df.select("*", F.struct(*row_order()).alias("row_order"))
     df = _text_cells(df)
     return df.select(F.monotonically_increasing_id().alias("row_id"), "*") if row_ids else df
 
 
+def in_order(df: DataFrame, number: str) -> DataFrame:
+    """Rows with their number in the order of files and of rows in them: places within a split, after the rows of the splits
+    before it.  Only one count per split is brought together."""
+    split = F.spark_partition_id()
+    w = Window.orderBy("file", "block", "split")
+    keyed = df.withColumns({"file": F.col("row_order.file"), "block": F.col("row_order.block"), "split": split, "place": F.col("row_order.place")})
+    sizes = keyed.groupBy("file", "block", "split").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "block", "split", "first", "base")
+    rest = [c for c in df.columns if c not in ("row_order", "row_id", number)]
+    return (keyed.join(base, ["file", "block", "split"])
+            .select((F.col("base") + F.col("place") - F.col("first")).alias(number), *[F.col(f"`{c}`") for c in rest]))
+
+
 def observations(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
-    """An observation table; ``claim_seq`` is the order of the file."""
-    df = csv_table(spark, path, multi_line=multi_line)
-    df = df.drop("claim_seq").withColumnRenamed("row_id", "claim_seq")
+    """An observation table; ``claim_seq`` is the order of files and of the rows in them."""
+    df = in_order(csv_table(spark, path, multi_line=multi_line, ordered=True), "claim_seq")
     missing = [c for c in OBSERVATION if c not in df.columns]
     if missing:
         raise ValueError(f"not an observation table: no column {', '.join(missing)}")
     return df
 
 
-def revenue(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def revenue(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """address, dataset, usd DOUBLE (a bad number is 0), family, src_letters."""
-    df = csv_table(spark, path).withColumnRenamed("row_id", "claim_seq")
+    df = in_order(csv_table(spark, path, multi_line=multi_line, ordered=True), "claim_seq")
     return df.withColumn("usd", F.coalesce(F.col("usd").try_cast("double"), F.lit(0.0)))
 
 
@@ -52,11 +67,11 @@ def anchors(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("address")).where("address <> ''").distinct()
 
 
-def ground_truth(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """address, label, root; the last row of an address wins."""
-    df = csv_table(spark, path)
+def ground_truth(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """address, label, root; the last row of an address wins, in the order of files and of the rows in them."""
+    df = csv_table(spark, path, multi_line=multi_line, ordered=True)
     last = df.groupBy("address").agg(F.max_by(F.struct(F.col("ground_truth_label").alias("label"),
-                                                       F.col("ground_truth_source").alias("root")), "row_id").alias("r"))
+                                                       F.col("ground_truth_source").alias("root")), "row_order").alias("r"))
     return last.select("address", "r.label", "r.root")
 
 
@@ -68,6 +83,12 @@ def table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> Da
     return df.select(F.monotonically_increasing_id().alias("row_id"), *cells)
 
 
+def seeded_rows(rows: DataFrame, n: int, seed: int, key: str = "row_id") -> DataFrame:
+    """``n`` rows drawn uniformly and reproducibly, however the table is sorted or split.  Only keys are sorted; the rows follow by a join."""
+    drawn = rows.select(key).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+    return rows.join(drawn, key, "left_semi")
+
+
 def sample_rows(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows spread over the whole table, never its first ones."""
     return seeded_rows(rows, n, seed)

@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from attestra import Registry  # noqa: E402
-from attestra.session import local_session, tuned  # noqa: E402
+from attestra.session import local_session  # noqa: E402
 
 COLUMNS = ("claim_seq bigint, chain string, address string, source string, raw_label string, canon string, polarity string, prov_family string, "
            "lastmod string, heuristic string, subcat string, root string, prov_resolved boolean, prov_native boolean, prov_verified boolean, "
@@ -17,7 +17,7 @@ COLUMNS = ("claim_seq bigint, chain string, address string, source string, raw_l
 
 @pytest.fixture(scope="session")
 def spark():
-    s = tuned(local_session(4, shuffle_partitions=4))
+    s = local_session(4, shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

@@ -5,7 +5,7 @@ import pytest
 from conftest import by, one
 from pyspark.sql import functions as F
 
-from attestra.operators import claims as C, profiling as P, relational as L, validation as V
+from attestra.operators import claims as C, preflight as PF, profiling as P, relational as L, validation as V
 from attestra.plans import upload_audit
 
 BTC = ["1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"]
@@ -73,8 +73,8 @@ def test_tables_are_recognised_by_what_they_hold(spark, reg):
     cases = [
         (["wallet_address", "entity_type", "notes_url", "last_seen"], [(BTC[i % 3], ["ransomware", "exchange", "scam"][i % 3], f"https://e.org/{i}", "2025-01-01") for i in range(6)], "attribution_claims", "ready"),
         (["name", "age", "city"], [("Ann", "30", "Ulm"), ("Bo", "25", "Graz")], "non_crypto", "unsupported"),
-        (["address", "label"], [(f"TR7NHqjeKQxGTCi8q8ZY4pL8otSzgjLj6{c}", f"Desk {c}") for c in "tuvw"], "unsupported_chain_attribution", "unsupported"),
-        (["account_id", "plan"], [(f"ACC-000{i}-USER", "free") for i in range(4)], "non_crypto", "unsupported"),
+        (["address", "label"], [(f"Qm4hVw9dKz2LrTb8Yx6sNc3PfGj7uEa5M{c}", f"House {c}") for c in "hkmp"], "unsupported_chain_attribution", "unsupported"),
+        (["account_id", "plan"], [(f"member/{i}/x", "basic") for i in range(4)], "non_crypto", "unsupported"),
         (["Date", "Symbol", "Open", "Close"], [(f"2024-01-0{i}", "BTC-USD", f"4{i}000", f"4{i}500") for i in range(1, 5)], "crypto_non_attribution", "unsupported"),
         (["Date", "Symbol", "Open", "Close"], [(f"2024-01-0{i}", "ACME", f"18{i}", f"18{i}") for i in range(1, 5)], "non_crypto", "unsupported"),
         (["Date", "Price"], [(f"2010-07-1{i}", f"0.0{i}") for i in range(1, 5)], "non_crypto", "unsupported"),
@@ -84,29 +84,29 @@ def test_tables_are_recognised_by_what_they_hold(spark, reg):
         (["address", "category"], [(str(i), "mixer") for i in range(10)], "attribution_like_unresolved", "blocked"),
         (["x", "category"], [(BTC[i % 3], "mixer") for i in range(6)], "attribution_claims", "needs_confirmation")]
     for cols, rows, kind, status in cases:
-        pf = P.preflight(table(spark, cols, rows), reg)
+        pf = PF.preflight(table(spark, cols, rows), reg)
         assert (pf.dataset_type, pf.status) == (kind, status), (cols, pf)
-    pf = P.preflight(table(spark, *cases[0][:2]), reg)
+    pf = PF.preflight(table(spark, *cases[0][:2]), reg)
     assert kinds(pf) == {"wallet_address": "subject_address", "entity_type": "attribution_label", "notes_url": "attribution_source", "last_seen": "ts_observation"}
     assert pf.chain == "bitcoin" and pf.currency_basis is None and pf.mapping["timestamp"] is None
-    assert P.preflight(table(spark, *cases[8][:2]), reg, chain="polygon").status == "ready"
-    assert P.preflight(table(spark, *cases[9][:2]), reg).chain_status == "per_row"
-    assert P.preflight(table(spark, *cases[11][:2]), reg, confirmed=True).can_analyse
+    assert PF.preflight(table(spark, *cases[8][:2]), reg, chain="polygon").status == "ready"
+    assert PF.preflight(table(spark, *cases[9][:2]), reg).chain_status == "per_row"
+    assert PF.preflight(table(spark, *cases[11][:2]), reg, confirmed=True).can_analyse
 
 
 def test_choices_select_but_never_waive(spark, reg):
     t = table(spark, ["address", "when", "kind"], [(BTC[i % 3], f"2024-01-0{i + 1}", "mixer") for i in range(5)])
-    assert P.preflight(t, reg, {"kind": "attribution_label"}).status == "ready"
-    pf = P.preflight(t, reg, {"when": "ts_attribution_last_updated"})
+    assert PF.preflight(t, reg, {"kind": "attribution_label"}).status == "ready"
+    pf = PF.preflight(t, reg, {"when": "ts_attribution_last_updated"})
     assert pf.currency_basis == "when"
-    assert P.preflight(t, reg, {"kind": "subject_address"}).dataset_type == "mapping_unresolved"
-    assert P.preflight(t, reg, {"address": "attribution_label"}).status == "blocked"
+    assert PF.preflight(t, reg, {"kind": "subject_address"}).dataset_type == "mapping_unresolved"
+    assert PF.preflight(t, reg, {"address": "attribution_label"}).status == "blocked"
     for bad in ({"nope": "chain"}, {"kind": "no_such"}, {"kind": "attribution_label", "when": "attribution_label"}):
         with pytest.raises(ValueError):
-            P.preflight(t, reg, bad)
-    assert P.choices_from_roles({"label": "kind", "source": None}, ["kind"], reg) == {"kind": "attribution_label"}
+            PF.preflight(t, reg, bad)
+    assert PF.choices_from_roles({"label": "kind", "source": None}, ["kind"], reg) == {"kind": "attribution_label"}
     with pytest.raises(ValueError):
-        P.choices_from_roles({"label": "kind", "category": "kind"}, ["kind"], reg)
+        PF.choices_from_roles({"label": "kind", "category": "kind"}, ["kind"], reg)
 
 
 def test_token_lists_are_established_by_the_column(spark, reg):
@@ -132,7 +132,7 @@ def test_joins(tables, reg):
     assert {(r.local_key, r.orphan_rows) for r in L.orphan_keys(tables, WALLETS).collect()} == {("label_id", sum(1 for i in range(40) if i % 5 and i % 4 == 3)), ("source_id", 1)}
     rel = {(r.from_table, r.from_column, r.to_table) for r in L.relationships(tables, reg).collect()}
     assert {("wallets", "label_id", "labels"), ("labels", "source_id", "sources")} <= rel and ("labels", "label_id", "wallets") not in rel
-    roles = {r["table"]: r["role"] for r in L.table_roles(tables, reg)}
+    roles = {r["table"]: r["role"] for r in L.table_roles(tables, reg).collect()}
     assert roles["labels"] == "attribution" and roles["wallets"] == "claim_subject"
     for bad in ({"joins": []}, dict(driving_table="nope"), dict(driving_table="wallets", joins=[dict(table="labels", local_table="sources", local_key="source_id", foreign_key="label_id")]),
                 dict(driving_table="wallets", joins=[dict(table="labels", local_key="zzz", foreign_key="label_id")])):
@@ -158,3 +158,25 @@ def test_the_whole_route(spark, make, reg):
     assert {r.analysis: r.state for r in a.states.collect()}["staleness"] == "computed"
     stopped = upload_audit.audit(table(spark, ["a", "b"], [("1", "2")]), "desk", reg, ref, F.lit("2024-06-01").cast("date"))
     assert stopped.stopped == "unsupported" and stopped.claims is None and stopped.verdict == "cannot_assess"
+
+
+def test_a_column_filled_once_is_profiled(spark, reg):
+    rows = spark.range(60000).select(F.col("id").alias("row_id"), F.when(F.col("id") == 41234, BTC[0]).otherwise("").alias("wallet_address"), F.lit("mixer").alias("category"))
+    got = by(P.column_profiles(P.column_cells(rows), reg), "column")
+    assert got["wallet_address"]["n"] == 1 and got["wallet_address"]["address_bitcoin"] == 1.0 and got["category"]["n"] == 60000
+    assert kinds(PF.preflight(rows, reg))["wallet_address"] == "subject_address"
+
+
+def test_three_hundred_tokens_are_three_hundred_places(spark, reg):
+    cats = ",".join(f"t{i}" for i in range(300))
+    rows = table(spark, ["addr", "net", "cat", "lab", "src"], [(BTC[0], "btc", cats, "", "s")] * 1 + [(BTC[1], "btc", "t1,t2", "", "s")])
+    v = V.validate(rows, MAP, reg, "bitcoin", multi_label=MULTI)
+    built = C.build_claims(v.valid, MAP, "desk", reg).collect()
+    order = [r["subcat"] for r in sorted(built, key=lambda r: r["claim_seq"])]
+    assert len({r["claim_seq"] for r in built}) == 302 and order == [f"t{i}" for i in range(300)] + ["t1", "t2"]
+
+
+def test_citations_in_a_long_text(spark, make, reg):
+    long = "x" * 20000 + " List A " + "y" * 20000
+    rows = make([dict(prov_family=long, address="1"), dict(prov_family="list a", address="2"), dict(prov_family="none", address="3")])
+    assert [(r.citing, r.cited) for r in L.citations(rows, reg).collect()] == [(long, "list a")]

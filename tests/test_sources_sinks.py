@@ -96,9 +96,33 @@ def test_csv_cells_stay_text(spark, tmp_path):
         assert df.columns == ["row_id", "address", "label", "n"]
         rows = [tuple(r)[1:] for r in df.orderBy("row_id").collect()]
         assert rows[0] == ("1", 'two\nlines, quoted "x"', "007") and ("", "", "") in rows and rows[-1][2] == "1e3"
-    assert R.csv_table(spark, f"{tmp_path}/a.csv", max_rows=3).count() == 3
-    with pytest.raises(R.RowLimitError):
-        R.csv_table(spark, f"{tmp_path}/a.csv", max_rows=2)
+
+
+def test_the_order_of_rows_holds_over_files(spark, tmp_path):
+    """Spark deals out large files first; the last row of an address is still that of the last file."""
+    head = "address,ground_truth_label,ground_truth_source\n"
+    for sizes in ((1, 5000), (5000, 1)):
+        d = tmp_path / f"g{sizes[0]}"
+        d.mkdir()
+        for name, word, n in zip("ab", ("first", "second"), sizes):
+            (d / f"{name}.csv").write_text(head + "".join(f"{name}{i},x,r\n" for i in range(n)) + f"X,{word},r\n")
+        got = {r.address: r.label for r in R.ground_truth(spark, str(d)).where("address = 'X'").collect()}
+        assert got == {"X": "second"}
+        cols = ",".join(R.OBSERVATION)
+        for name, n in zip("cd", sizes):
+            (d / f"{name}.obs").write_text(cols + "\n" + "".join(f"{name}{i}" + "," * (len(R.OBSERVATION) - 1) + "\n" for i in range(n)))
+        rows = R.observations(spark, [f"{d}/c.obs", f"{d}/d.obs"], multi_line=False).orderBy("claim_seq").collect()
+        assert [r["claim_seq"] for r in rows] == list(range(sum(sizes)))
+        assert [r["address"] for r in rows] == [f"c{i}" for i in range(sizes[0])] + [f"d{i}" for i in range(sizes[1])]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from attestra.session import shared_folder
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master)))
 
 
 def test_ground_truth_and_revenue_files(spark, tmp_path):

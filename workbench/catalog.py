@@ -10,10 +10,9 @@ from attestra import Registry
 from attestra.functions import evidence, identifiers, labels, provenance
 from attestra.functions.text import cell
 from attestra.operators import (agreement, anchors, claims as claim_ops, currency, explore, inheritance, lineage, metrics, overlap,
-                                profiling, relational, roots, subjects, target, trust, validation, verdict, verification)
+                                preflight, profiling, relational, roots, subjects, target, trust, validation, verdict, verification)
 from attestra.plans import corpus_audit, upload_audit
 from attestra.registry import _source_rule
-from attestra.session import tuned
 from attestra.sinks import writers
 from attestra.sources import adapters, readers
 from workbench import workload as W
@@ -66,7 +65,7 @@ def revenue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchor_list(spark: SparkSession, d: str) -> DataFrame:
-    return W.load(tuned(spark), d, W.ANCHORS)
+    return W.load(spark, d, W.ANCHORS)
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +291,7 @@ def root_propagation(s, d):
 def lineage_edges(s, d):
     c = corpus(s, d)
     sets = overlap.source_set_counts(c)
-    e = lineage.annotated(lineage.edges(tuned(s), REG), inheritance.decodes(c, REG), inheritance.naming_residue(c, REG), overlap.containment(sets),
+    e = lineage.annotated(lineage.edges(s, REG), inheritance.decodes(c, REG), inheritance.naming_residue(c, REG), overlap.containment(sets),
                           inheritance.root_propagation(c, REG))
     return e.select("dataset", "root", "kind", "owner", "shared_root", "decoded_subjects", "residue_claims", "contained_share", "propagated_subjects")
 
@@ -502,7 +501,7 @@ def claims_page_after(s, d):
 
 @query("TOP6 FLT4")
 def conflicts_page(s, d):
-    ix = explore.subject_index(corpus(s, d), REG)
+    ix = W.once(s, d, "subject_index", lambda: explore.subject_index(corpus(s, d), REG))
     p = explore.conflicts_page(ix, REG, offset=10, limit=500, kind="entity", source_a="tagpack", source_b="rodwald_ransom", relationship="unresolved", text="1")
     return p.select("subject", "outcome", "circular", F.array_join("sources", ",").alias("sources"))
 
@@ -684,13 +683,13 @@ def claims_export(s, d):
 
 @query("PRF1 PRF2 SRC17")
 def column_profiles(s, d):
-    return profiling.column_profiles(profiling.column_samples(upload(s, d), REG), REG).withColumn("chains", F.array_join("chains", ","))
+    return profiling.column_profiles(profiling.column_cells(upload(s, d)), REG).withColumn("chains", F.array_join("chains", ","))
 
 
 @query("PRF3 PRF5 PRF8 PRF9 PRF10 PRF14 PRF15 UDF4")
 def preflight_columns(s, d):
     u = upload(s, d)
-    pf = profiling.preflight(u, REG)
+    pf = preflight.preflight(u, REG)
     rows = [(m.column, m.meaning, m.confidence, m.status, m.origin, pf.dataset_type, pf.status, pf.chain_status) for m in pf.columns]
     return s.createDataFrame(rows, "column string, meaning string, confidence double, status string, origin string, dataset_type string, table_status string, chain_status string")
 
@@ -771,7 +770,7 @@ def observation_files(s, d):
 
 # ------------------------------------------------------------------ several tables
 def _tables(s, d, *names):
-    return W.tables(tuned(s), d, *names)
+    return W.tables(s, d, *names)
 
 
 @query("JOIN1")
@@ -800,8 +799,7 @@ def table_relationships(s, d):
 def table_roles(s, d):
     t = {n: df for n, df in _tables(s, d, "nation", "customer", "labels").items()}
     t["uploads"] = upload(s, d).drop("row_id")
-    rows = [(r["table"], r["role"], r["confidence"], r["n_rows"], r["n_columns"], r["dataset_type"]) for r in relational.table_roles(t, REG)]
-    return s.createDataFrame(rows, "table string, role string, confidence double, n_rows bigint, n_columns int, dataset_type string")
+    return relational.table_roles(t, REG)
 
 
 JOINED_MAPPING = {"address": "orders__hex", "category": "customer__segment", "label": None, "source": "nation__n_name", "timestamp": "orders__day", "chain": None,

@@ -462,7 +462,7 @@ def oracle_sql() -> dict[str, str]:
     q["claims_page"] = _claims("SELECT * FROM view ORDER BY address, chain, source, claim_seq LIMIT 60 OFFSET 120", view)
     q["claims_page_after"] = _claims("SELECT * FROM view WHERE (address, chain, source, claim_seq) > ('500', '', 'schnoering', 0) ORDER BY address, chain, source, claim_seq LIMIT 40", view)
     q["conflicts_page"] = _subjects("""SELECT subject, outcome, circular, sources FROM subjects JOIN srcs USING (subject) WHERE n_sources >= 2 AND outcome = 'entity-type conflict' AND relationship = 'unresolved'
-        AND sources LIKE '%tagpack%' AND sources LIKE '%rodwald_ransom%' AND subject LIKE '%1%' ORDER BY subject LIMIT 200 OFFSET 10""", srcs)
+        AND sources LIKE '%tagpack%' AND sources LIKE '%rodwald_ransom%' AND subject LIKE '%1%' ORDER BY subject LIMIT 500 OFFSET 10""", srcs)
     q["filtered_claims"] = _claims("""SELECT claim_seq, subject, raw_label, root FROM claims WHERE source = 'tagpack' AND tier = 'derived' AND currency = 'stale' AND resolved AND native AND lower(raw_label) LIKE '%ransom%'""")
     q["filtered_subject_totals"] = _subjects("""SELECT filter, count(*) AS n_claims, count(DISTINCT subject) AS n_subjects FROM (
         SELECT 'single-source' AS filter, subject FROM claims JOIN subjects USING (subject) WHERE n_sources < 2 UNION ALL SELECT 'exact', subject FROM claims JOIN subjects USING (subject) WHERE n_sources >= 2 AND outcome = 'exact'
@@ -526,18 +526,18 @@ def oracle_sql() -> dict[str, str]:
         SELECT CAST((SELECT sum(n) FROM c) AS BIGINT) AS n_cells, CAST((SELECT sum(n) FROM l) AS BIGINT) AS n_multi, CAST((SELECT sum(n) FROM l WHERE known) AS BIGINT) AS n_known,
         (SELECT count(*) FROM a WHERE n >= 2) AS n_established_tokens, ',' AS separator)""" % W.for_duckdb(W.UPLOAD)
     up = W.for_duckdb(W.UPLOAD)
-    drawn = f"upl AS ({up}), drawn AS (SELECT *, md5('0:' || CAST(row_id AS VARCHAR)) AS h FROM upl ORDER BY h, row_id LIMIT 20000)"
+    whole = f"upl AS ({up})"
     q["spread_sample"] = f"WITH upl AS ({up}) SELECT * FROM upl ORDER BY md5('0:' || CAST(row_id AS VARCHAR)), row_id LIMIT 200"
     named = """CASE network WHEN 'Ethereum' THEN 'ethereum' WHEN 'eth' THEN 'ethereum' WHEN 'Polygon-Mainnet' THEN 'polygon' WHEN 'BSC' THEN 'bnb_smart_chain'
         WHEN 'btc' THEN 'bitcoin' WHEN 'avalanche c chain' THEN 'avalanche_c' END"""
-    q["chain_pair_sample"] = f"""WITH {drawn}, p AS (SELECT {named} AS chain, trim(wallet_address) AS a FROM drawn WHERE trim(wallet_address) <> '' AND network <> '' ORDER BY h, row_id LIMIT 500)
+    q["chain_pair_sample"] = f"""WITH {whole}, p AS (SELECT {named} AS chain, trim(wallet_address) AS a FROM upl WHERE trim(wallet_address) <> '' AND network <> '')
         SELECT chain, count(*) AS n, count(*) FILTER (WHERE chain IS NOT NULL AND chain <> 'bitcoin' AND regexp_full_match(a, '0x[0-9a-fA-F]{{40}}')) AS n_valid FROM p GROUP BY chain"""
-    long = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", row_id, trim({c}) AS v, h FROM drawn WHERE trim({c}) <> ''" for c in W.UPLOAD_COLUMNS)
+    long = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", row_id, trim({c}) AS v FROM upl WHERE trim({c}) <> ''" for c in W.UPLOAD_COLUMNS)
     share = lambda cond: f"avg(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END)"      # noqa: E731
     chain_of = named.replace("CASE network", "CASE v").replace("WHEN 'Ethereum'", "WHEN 'Ethereum'")
     day = "regexp_full_match(v, '\\d{4}-\\d{2}-\\d{2}([T ].*)?') AND TRY_CAST(substr(v, 1, 10) AS DATE) IS NOT NULL"
     hexa = "regexp_full_match(v, '0x[0-9a-fA-F]{40}')"
-    q["column_profiles"] = f"""WITH {drawn}, long AS ({long}), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY h, row_id) AS rn FROM long) WHERE rn <= 500)
+    q["column_profiles"] = f"""WITH {whole}, s AS ({long})
         SELECT "column", count(*) AS n, 0.0::DOUBLE AS "numeric", {share(day)} AS date, 0.0::DOUBLE AS url, 1 - {share(day)} AS text, count(DISTINCT v) AS "distinct", false AS counter, 0.0::DOUBLE AS graded,
         {share("(" + chain_of + ") IS NOT NULL")} AS chain_named, coalesce(string_agg(DISTINCT {chain_of}, ',' ORDER BY {chain_of}), '') AS chains, count(DISTINCT length(v)) AS lengths, min(length(v)) AS shortest, max(length(v)) AS longest,
         bool_and(regexp_full_match(v, '[0-9a-zA-Z]+')) AS opaque, bool_or(EXISTS (SELECT 1 FROM (SELECT unnest(regexp_split_to_array(lower(v), '[^a-z]+')) AS t)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.session import shared_folder, spread, tuned, written
+from attestra.session import shared_folder, written
 
 AS_OF = "1999-06-17"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -151,8 +151,8 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 def load(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     used = [t for t in TABLES if "{" + t + "}" in statement]
-    given = tables(tuned(spark), sf_dir, *used)
-    return spark.sql(statement, **{n: spread(df) for n, df in given.items()})
+    given = tables(spark, sf_dir, *used)
+    return spark.sql(statement, **{n: df.repartition(df.sparkSession.sparkContext.defaultParallelism) for n, df in given.items()})
 
 
 _WRITTEN: dict[tuple, DataFrame] = {}
