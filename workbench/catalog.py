@@ -1,6 +1,7 @@
 """Every operator as a query over the driver's tables, each with the inventory ids it covers."""
 from __future__ import annotations
 
+import functools
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -759,15 +760,34 @@ def values_and_anchors(s, d):
             .groupBy("dataset", F.coalesce("anchored", F.lit(False)).alias("anchored")).agg(F.count("*").alias("n_rows"), F.sum("usd").alias("usd")))
 
 
-@query("SRC1 SNK1 SRC5 SRC18")
+@query("SRC1 SNK1 SRC18")
 def observation_files(s, d):
-    """The observation table written as compressed text, read back and stamped."""
-    path = W.as_file(s, d, "observations", W.OBSERVATIONS, header=True, compression="gzip", escape='"', quoteAll=True)
-    rows = readers.observations(s, path)
+    """The observation table written in order as compressed text, read back as the reference corpus and stamped."""
+    path = W.as_written(s, d, "observations", lambda p: writers.write_observations(W.load(s, d, W.OBSERVATIONS), p, fmt="csv"))
+    rows, _ = readers.reference_observations(s, full_build=path, as_of=W.AS_OF)
     return claim_ops.stamp(rows, REG).groupBy("source", "root").agg(
         F.count("*").alias("n_claims"), F.count_distinct("subject").alias("n_subjects"), F.count_if(F.col("raw_address") != F.col("address")).alias("n_marked"))
 
 
+@query("SRC3 SRC4 SRC5 SRC15 SNK1 SNK6")
+def file_round_trips(s, d):
+    """Ground truth over two files of unequal size, revenue with bad numbers, anchors, guarded cells and a plain table: written and read back."""
+    csv = dict(header=True, escape='"')
+    truth = readers.ground_truth(s, [W.as_file(s, d, "truth_a", W.TRUTH_FIRST, **csv), W.as_file(s, d, "truth_b", W.TRUTH_SECOND, **csv)])
+    money = readers.revenue(s, W.as_file(s, d, "revenue_rows", W.REVENUE_FILE, **csv))
+    orders = W.tables(s, d, "orders")["orders"]
+    anchors_ = readers.anchors(s, W.as_written(s, d, "anchors", lambda p: writers.write_anchors(orders.select(F.col("o_custkey").cast("string").alias("address")).distinct(), p)))
+    cells = readers.csv_table(s, W.as_written(s, d, "cells", lambda p: writers.write_csv(orders.select(F.concat(F.lit("="), "o_orderstatus").alias("cell")), p)))
+    plain = readers.table(s, f"{d}/nation.parquet")
+    zero = F.lit(0.0)
+    parts = [truth.groupBy(F.concat_ws(":", "root", "label").alias("name")).agg(F.count("*").alias("n"), zero.alias("value")),
+             money.groupBy(F.col("family").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("usd"), 2).alias("value")),
+             anchors_.agg(F.lit("anchors").alias("name"), F.count("*").alias("n"), zero.alias("value")),
+             cells.groupBy(F.col("cell").alias("name")).agg(F.count("*").alias("n"), zero.alias("value")),
+             plain.groupBy(F.col("n_regionkey").alias("name")).agg(F.count("*").alias("n"), F.sum(F.length("n_name")).cast("double").alias("value"))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 # ------------------------------------------------------------------ several tables
 def _tables(s, d, *names):
     return W.tables(s, d, *names)

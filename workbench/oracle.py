@@ -570,6 +570,12 @@ def oracle_sql() -> dict[str, str]:
     q["values_and_anchors"] = f"""WITH v AS (SELECT address, 'rodwald_ransom' AS dataset, coalesce(TRY_CAST(SUM_REC_USD AS DOUBLE), 0) AS usd FROM {ff} UNION ALL SELECT address, 'ransomwhere', usd FROM {rf})
         SELECT dataset, address IN (SELECT a FROM {nf} WHERE b = 'BTC' AND c = 'ransomware') AS anchored, count(*) AS n_rows, sum(usd) AS usd FROM v GROUP BY ALL"""
     q["observation_files"] = _claims("SELECT source, root, count(*) AS n_claims, count(DISTINCT subject) AS n_subjects, count(*) FILTER (WHERE subject <> address) AS n_marked FROM claims GROUP BY ALL")
+    q["file_round_trips"] = """
+        SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'second:' || o_orderpriority ELSE 'first:' || o_orderstatus END AS name, count(*) AS n, 0.0::DOUBLE AS value FROM orders GROUP BY 1
+        UNION ALL SELECT o_orderstatus, count(*), round(sum(CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_totalprice END), 2) FROM orders GROUP BY 1
+        UNION ALL SELECT 'anchors', count(DISTINCT o_custkey), 0.0 FROM orders
+        UNION ALL SELECT chr(39) || '=' || o_orderstatus, count(*), 0.0 FROM orders GROUP BY 1
+        UNION ALL SELECT CAST(n_regionkey AS VARCHAR), count(*), CAST(sum(length(n_name)) AS DOUBLE) FROM nation GROUP BY 1"""
     # ---- several tables
     q["joined_tables"] = """SELECT o_orderkey AS orders__o_orderkey, o_custkey AS orders__o_custkey, c_name AS customer__c_name, n_name AS nation__n_name, r_name AS region__r_name
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""

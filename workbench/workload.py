@@ -145,6 +145,12 @@ ORDER_DESK_RULE = dict(title="Order desk", cites="", chain=None, rule=dict(
     otherwise=["order_desk_other", [False, False, False]]))
 
 
+TRUTH_FIRST = "SELECT cast(o_orderkey AS string) AS address, o_orderstatus AS ground_truth_label, 'first' AS ground_truth_source FROM {orders}"
+TRUTH_SECOND = "SELECT cast(o_orderkey AS string) AS address, o_orderpriority AS ground_truth_label, 'second' AS ground_truth_source FROM {orders} WHERE o_orderkey % 3 = 0"
+REVENUE_FILE = """SELECT cast(o_orderkey AS string) AS address, 'd' AS dataset, CASE WHEN o_orderkey % 7 = 0 THEN 'none' ELSE cast(o_totalprice AS string) END AS usd,
+       o_orderstatus AS family, 'R' AS src_letters FROM {orders}"""
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
@@ -191,6 +197,15 @@ def as_file(spark: SparkSession, sf_dir: str, name: str, statement: str, fmt: st
     return _FILES[key]
 
 
+def as_written(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """The path of files that ``write`` makes once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, "written")
+    if key not in _FILES:
+        _FILES[key] = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{len(_FILES)}"
+        write(_FILES[key])
+    return _FILES[key]
+
+
 _FILES: dict[tuple, str] = {}
 
 
