@@ -656,11 +656,20 @@ def validation_per_chain(s, d):
     return validated(s, d).per_chain()
 
 
-@query("VAL4 VAL5 UDF3")
+@query("VAL4")
 def checksum_states(s, d):
     return validated(s, d).checksum_states(REG)
 
 
+@query("VAL5 UDF3 PRF2")
+def identifier_checks(s, d):
+    """Every checksum over every line item, whose part number picks a published vector."""
+    vectors = F.array(*[F.struct(F.lit(c).alias("chain"), F.lit(v).alias("value")) for c, v, _, _ in W.VECTORS])
+    rows = W.tables(s, d, "lineitem")["lineitem"].select(F.element_at(vectors, (F.col("l_partkey") % len(W.VECTORS) + 1).cast("int")).alias("v"), "l_quantity").select("v.*", "l_quantity")
+    return (rows.withColumns({"valid": identifiers.address_valid(REG, F.col("chain"), F.col("value")), "state": identifiers.checksum_state(F.col("value"))})
+            .groupBy("chain", "value", "valid", "state").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")))
+
+
 @query("VAL4")
 def validation_limitations(s, d):
     return validated(s, d).limitations(REG)
@@ -682,12 +691,12 @@ def claims_export(s, d):
     return writers.claims_export(uploaded_claims(s, d)).drop("claim_id")
 
 
-@query("PRF1 PRF2 SRC17")
+@query("PRF1 SRC17")
 def column_profiles(s, d):
     return profiling.column_profiles(profiling.column_cells(upload(s, d)), REG).withColumn("chains", F.array_join("chains", ","))
 
 
-@query("PRF3 PRF5 PRF8 PRF9 PRF10 PRF14 PRF15 UDF4")
+@query("PRF3 PRF5 PRF10 PRF15 UDF4")
 def preflight_columns(s, d):
     u = upload(s, d)
     pf = preflight.preflight(u, REG)
@@ -710,7 +719,7 @@ def source_class(s, d):
     return profiling.is_source_class(upload(s, d), "origin", REG)
 
 
-@query("SRC16 SRC15")
+@query("SRC16")
 def spread_sample(s, d):
     return readers.sample_rows(upload(s, d), 200)
 
@@ -751,7 +760,7 @@ def adapters_build(s, d):
     return made.unionByName(rest, allowMissingColumns=True)
 
 
-@query("SRC12 SRC13 SET3 SRC3 SRC4")
+@query("SRC12 SRC13 SET3")
 def values_and_anchors(s, d):
     f = _files(s, d)
     values = adapters.revenue_rows(s, f["family"], f["reports"], multi_line=False)

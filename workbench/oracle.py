@@ -514,6 +514,10 @@ def oracle_sql() -> dict[str, str]:
     q["validation_per_chain"] = U(f"SELECT *, (checked - invalid) / checked AS valid_share FROM ({chk})")
     st = "SELECT row_chain AS chain, CASE WHEN regexp_full_match(addr, '0x[0-9a-fA-F]{40}') THEN 'not_encoded' ELSE 'not_an_address' END AS state, count(*) AS n_rows FROM judged WHERE addr <> '' AND row_chain IS NOT NULL AND row_chain <> 'bitcoin' GROUP BY ALL"
     q["checksum_states"] = U(st)
+    sql = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper()      # noqa: E731
+    vectors = ", ".join(f"({k}, {', '.join(map(sql, v))})" for k, v in enumerate(W.VECTORS))
+    q["identifier_checks"] = f"""SELECT chain, value, valid, state, count(*) AS n, sum(l_quantity) AS quantity
+        FROM lineitem JOIN (VALUES {vectors}) v(k, chain, value, valid, state) ON l_partkey % {len(W.VECTORS)} = k GROUP BY ALL"""
     q["validation_limitations"] = U(f"""SELECT chain, 'identifiers_failed' AS limitation, invalid AS n_rows FROM ({chk}) WHERE invalid / checked > 0.7
         UNION ALL SELECT chain, 'no_checksum_encoded', n_rows FROM ({st}) WHERE state = 'not_encoded'""")
     q["validation_floor"] = U("""SELECT *, (n_checked - n_invalid) / n_checked AS valid_identifier_share, (n_checked - n_invalid) / n_checked >= 0.3 AS passes FROM (SELECT count(*) FILTER (WHERE addr <> '' AND row_chain IS NOT NULL) AS n_checked,

@@ -151,6 +151,23 @@ REVENUE_FILE = """SELECT cast(o_orderkey AS string) AS address, 'd' AS dataset,
        o_orderstatus AS family, 'R' AS src_letters FROM {orders}"""
 
 
+#: Published test vectors of the identifier standards and broken forms of them; (chain, value, valid, checksum state)
+VECTORS = [
+    ("ethereum", "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", True, "valid"),
+    ("ethereum", "0xfB6916095ca1df60bB79Ce92cE3Ea74c37c5d359", True, "valid"),
+    ("polygon", "0xdbF03B407c01E7cD3CBea99509d93f8DDDC8C6FB", True, "valid"),
+    ("ethereum", "0x5AAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", False, "invalid"),
+    ("ethereum", "0x5aaeb6053f3e94c9b9a09f33669435e7ef1beaed", True, "not_encoded"),
+    ("ethereum", "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeA", False, None),
+    ("bitcoin", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", True, None),
+    ("bitcoin", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN3", False, None),
+    ("bitcoin", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", True, None),
+    ("bitcoin", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4", True, None),
+    ("bitcoin", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5", False, None),
+    ("bitcoin", "bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0", True, None),
+    ("dogecoin", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", False, None)]
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
