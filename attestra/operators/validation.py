@@ -150,22 +150,25 @@ def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str |
     if not dedupe:
         taken = F.transform("_tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
         return Validation(rows, _tidy(df.withColumn("tokens", F.when(listed, taken)).withColumn("n_tokens", F.size("_tokens"))))
-    # claim key -> the row that states it first; repeats inside a row drop out beforehand
-    claims = df.where("reason IS NULL").select("row_id", "row_chain", "_subject", "_declared",
-                                               F.explode(F.array_distinct("_tokens")).alias("token"))
-    accepted = (claims.groupBy("row_chain", "_subject", "token", "_declared").agg(F.min("row_id").alias("row_id"))
-                .groupBy("row_id").agg(F.collect_list("token").alias("_new")))      # the tokens of one row
-    df = df.join(accepted, "row_id", "left")
+    # claim key -> the row that states it first; only the tokens that an earlier row has stated come back to their rows
+    key = ["row_chain", "_subject", "token", "_declared"]
+    claims = df.where("reason IS NULL").select("row_id", "row_chain", "_subject", "_declared", F.explode(F.array_distinct("_tokens")).alias("token"))
+    repeated = claims.groupBy(*key).agg(F.min("row_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n").toDF(*[f"{k}_" for k in key], "first_id")
+    lost = (claims.join(repeated, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key]).where("row_id <> first_id")
+            .groupBy("row_id").agg(F.collect_list("token").alias("_lost")))             # tokens of one row
+    df = df.join(lost, "row_id", "left")
+    left = F.array_except(F.array_distinct("_tokens"), F.coalesce("_lost", F.array().cast("array<string>")))
+    df = df.withColumn("_new", F.when(F.col("reason").isNull() & (F.size(left) > 0), left))
     taken = F.array_sort(F.transform("_new", lambda t: F.struct((F.array_position(F.col("_tokens"), t) - F.lit(1)).cast("int").alias("pos"),
                                                                 t.alias("token"))))
     df = df.withColumns({
         "reason": F.when(F.col("reason").isNull() & F.col("_new").isNull(), REASONS[5]).otherwise(F.col("reason")),
-        "tokens": F.when(listed, taken), "n_tokens": F.coalesce(F.size("_new"), F.lit(0))})
+        "tokens": F.when(listed, taken), "n_tokens": F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new"))})
     return Validation(rows, _tidy(df))
 
 
 def _tidy(df: DataFrame) -> DataFrame:
-    return df.drop("_label", "_split", "_declared", "_tokens", "_subject", "_new")
+    return df.drop("_label", "_split", "_declared", "_tokens", "_subject", "_new", "_lost")
 
 
 def passes_floor(counts: DataFrame, reg: Registry) -> DataFrame:
