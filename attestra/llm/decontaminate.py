@@ -158,7 +158,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, dims: int = 4096, sketch: int = 128, rank: int = 96, cosine: float = 0.4, lcs_share: float = 0.7, answer_share: float = 0.5,
+def hits(docs: DataFrame, benchmark: DataFrame, dims: int = 4096, sketch: int = 160, rank: int = 128, cosine: float = 0.45, lcs_share: float = 0.7, answer_share: float = 0.5,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of each item that a document holds."""
     spark = docs.sparkSession
@@ -181,7 +181,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, dims: int = 4096, sketch: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, place, asked, owner = sent.value
         lengths = np.array([len(w) for w in items.words])
-        longest, every, begin, there = lengths.max(), np.concatenate(items.words), np.cumsum(lengths) - lengths, np.zeros(len(items.terms) + 1, np.int32)
+        longest, needed, there = lengths.max(), lcs_share * lengths, np.zeros(len(items.terms) + 1, bool)
         for b in batches:
             best: dict[tuple[int, int], tuple] = {}
             ids = b.column(0).to_pylist()
@@ -196,11 +196,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, dims: int = 4096, sketch: int =
                     for k, p in ((p + lo, p) for p in np.flatnonzero((near >= cosine).any(axis=1))):
                         # words of an item that occur around at all bound the subsequence
                         wide = flat[max(first[k], k * CHUNK - longest):min(last[k], (k + 2) * CHUNK + longest)]
-                        there[wide[wide > 0]] = True
-                        bound = np.add.reduceat(there[every], begin)
+                        there[wide] = True
+                        there[0] = False
+                        likely = [q for q in np.flatnonzero(near[p] >= cosine) if np.count_nonzero(there[items.words[owner[q]]]) >= needed[owner[q]]]
                         there[wide] = False
-                        may = bound >= lcs_share * lengths
-                        for q in np.flatnonzero((near[p] >= cosine) & may[owner]):
+                        for q in likely:
                             i = int(owner[q])
                             n = len(items.words[i])
                             around = flat[max(first[k], k * CHUNK - n):min(last[k], (k + 2) * CHUNK + n)]
