@@ -219,6 +219,50 @@ def test_near_duplicate_classes_equal_brute_force(spark, alike):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i, _ in alike}) and kept.columns == docs(spark, []).columns
 
 
+@pytest.mark.parametrize("block_texts", [400, 50])
+def test_large_group_keeps_links_through_one_member(spark, block_texts):
+    """Copies are like their original but not like one another, so a group hangs on one text, wherever that stands under a key."""
+    rng = random.Random(21)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(204)]
+        texts.append(" ".join(base))
+        for c in range(150):
+            own = list(base)
+            for i in rng.sample(range(4, 200), 3):
+                own[i] = f"g{g}c{c}e{i}"
+            texts.append(" ".join(own))
+    got = {r["doc_id"]: r["class_id"] for r in near.classes_of(docs(spark, list(enumerate(texts))), rare=0.9, block_texts=block_texts).collect()}
+    whole = sum(got[i] == i // 151 * 151 for i in range(len(texts)))
+    assert whole >= 0.995 * len(texts)
+
+
+def test_all_pairs_of_a_block_are_compared():
+    rng = np.random.default_rng(9)
+    weights = near.Weights({int(h): 40 for h in rng.integers(0, 2 ** 63, 5)}, 100, 5, 0.1)
+    pool = np.concatenate([weights.keys, rng.integers(0, 2 ** 63, 60).astype(np.uint64)])
+    sets = []
+    for _ in range(60):
+        h = np.sort(pool[rng.permutation(65)[:rng.integers(45, 62)]])
+        sets.append((h, rng.integers(1, 4, len(h)).astype(np.uint32) if rng.random() < 0.3 else np.ones(len(h), np.uint32)))
+    ids = [b"%02d" % i for i in range(60)]
+    like = lambda i, j: near.similarity(weights.weighted(*sets[i]), weights.weighted(*sets[j])) >= 0.8
+    classes = lambda links: {frozenset(c) for c in _components(ids, links)}
+    want = [(ids[i], ids[j]) for i, j in itertools.combinations(range(60), 2) if like(i, j)]
+    got = near.spanning(ids, ids, sets, weights, 0.8, columns=16)
+    assert set(got) <= set(want) and classes(got) == classes(want) and len(got) < 60 < len(want)
+
+
+def _components(nodes, links):
+    of = {x: {x} for x in nodes}
+    for a, b in links:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for x in of[a]:
+                of[x] = of[a]
+    return list(of.values())
+
+
 def test_frequent_shingles_are_exact(spark, alike):
     rows = near.documents(docs(spark, alike)).repartition(5)
     counts, total = near.frequent_shingles(rows, 5, 0.1)
