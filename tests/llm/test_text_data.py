@@ -237,6 +237,17 @@ def test_large_group_keeps_links_through_one_member(spark, block_texts):
     assert whole >= 0.995 * len(texts)
 
 
+def test_similar_texts_that_agree_in_few_samples_are_linked(spark):
+    rng = random.Random(1464)                          # of 0.818 alike, and sharing a key, these agree in 16 of the first 30 samples
+    base = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(104)]
+    own = list(base)
+    for i in (30, 70):
+        own[i] = f"x{rng.randint(0, 10 ** 6)}"
+    others = [" ".join(f"o{k}w{i}" for i in range(50)) for k in range(10)]
+    got = {r["doc_id"]: r["class_id"] for r in near.classes_of(docs(spark, list(enumerate([" ".join(base), " ".join(own), *others]))), rare=0.9).collect()}
+    assert got == {0: 0, 1: 0} | {i: i for i in range(2, 12)}
+
+
 def test_all_pairs_of_a_block_are_compared():
     rng = np.random.default_rng(9)
     weights = near.Weights({int(h): 40 for h in rng.integers(0, 2 ** 63, 5)}, 100, 5, 0.1)
