@@ -3,10 +3,10 @@
 The terms are the words of the benchmark, folded to at most ``dims``.  Documents are written once as term numbers.  Their passages (32
 words) give a TF-IDF matrix whose document frequencies are counted over all documents; its right singular vectors come from a
 randomised SVD: every task folds its passages, with random signs, into ``sketch`` rows, the rows of all tasks are added up, and the
-small sketch is decomposed on the driver.  Passages and benchmark items are then projected, item by passage cosines give candidates,
-and each candidate is read closely: the longest common subsequence of the item's words and the words around the passage must hold
-``lcs_share`` of the item, and ``answer_share`` of its answer, its last sentence, must be there too, in order.  Paraphrases that drop,
-add or change some words still pass.
+small sketch is decomposed on the driver.  The longest common subsequence of the item's words and the words around the passage must
+hold ``lcs_share`` of the item, and ``answer_share`` of its answer, its last sentence, must be there too, in order.  Paraphrases that
+drop, add or change some words still pass.  Which passages are read for which items follows from that rule alone (``Bound``), so none
+is missed; the cosine of passage and item in the latent space is reported and ranks equal passages.
 
 The benchmark is the stated query set and goes to every task, with what it needs: (items + terms) x ``rank`` numbers.
 
@@ -158,7 +158,58 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, dims: int = 4096, sketch: int = 160, rank: int = 128, cosine: float = 0.45, lcs_share: float = 0.7, answer_share: float = 0.5,
+class Bound:
+    """Which passages can hold which items.  A common subsequence of ``least`` of an item's words leaves out at most the others, so
+    the words around the passage hold one of any ``others + 1`` of its words (the rarest are asked for), and ``least`` of all."""
+
+    def __init__(self, items: Items, df: np.ndarray, lcs_share: float):
+        n_terms = len(items.terms) + 1
+        self.lengths = np.array([len(w) for w in items.words])
+        self.least = [max(1, next(c for c in range(n + 1) if c / n >= min(lcs_share, 1.0))) for n in self.lengths.tolist()]
+        self.words, self.times, owner, term = [], [], [], []
+        for i, w in enumerate(items.words):
+            rarest = w[np.argsort(df[items.column(w)], kind="stable")][:len(w) - self.least[i] + 1]
+            owner.append(np.full(len(set(rarest.tolist())), i))
+            term.append(np.unique(rarest))
+            of, times = np.unique(w, return_counts=True)
+            self.words.append(of)
+            self.times.append(times)
+        owner, term = np.concatenate(owner), np.concatenate(term)
+        order = np.argsort(term, kind="stable")
+        self.owner, self.start = owner[order], np.searchsorted(term[order], np.arange(n_terms + 1))
+        self.local = np.zeros(n_terms, np.int32)
+
+    def __call__(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items and the chunks their passages may begin at.  ``first`` and ``last``: where the row of each chunk begins and ends."""
+        many = self.start[flat + 1] - self.start[flat]
+        at = np.flatnonzero(many)
+        many = many[at]
+        which = self.owner[np.repeat(self.start[flat[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        at = np.repeat(at, many)
+        order = np.argsort(which, kind="stable")
+        which, at = which[order], at[order]
+        ends = np.flatnonzero(np.append(which[1:] != which[:-1], True)) + 1 if len(which) else []
+        begin = 0
+        for end in ends:
+            i, own = int(which[begin]), at[begin:end]
+            begin = end
+            n = int(self.lengths[i])
+            # passages from chunk k on are read from n words before to n words behind, within their row
+            k = np.arange((2 * n + 2 * CHUNK) // CHUNK + 2)[None, :] + (own[:, None] - n) // CHUNK - 2
+            k = np.unique(k[(k >= 0) & (k < len(first))])
+            words = np.arange(k[0] * CHUNK - n, k[0] * CHUNK + 2 * CHUNK + n)[None, :] + ((k - k[0]) * CHUNK)[:, None]
+            inside = (words >= first[k][:, None]) & (words < last[k][:, None])
+            self.local[self.words[i]] = np.arange(1, len(self.words[i]) + 1)
+            found = self.local[flat[np.where(inside, words, 0)]] * inside
+            self.local[self.words[i]] = 0
+            there = np.zeros((len(k), len(self.words[i]) + 1), bool)
+            there[np.arange(len(k))[:, None], found] = True
+            k = k[there[:, 1:] @ self.times[i] >= self.least[i]]
+            if len(k):
+                yield i, k
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, dims: int = 4096, sketch: int = 160, rank: int = 128, lcs_share: float = 0.7, answer_share: float = 0.5,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of each item that a document holds."""
     spark = docs.sparkSession
@@ -167,50 +218,34 @@ def hits(docs: DataFrame, benchmark: DataFrame, dims: int = 4096, sketch: int =
     if not items.ids:
         return spark.createDataFrame([], schema)
     encoded = written(encode(docs, items, id_col, text_col))
-    place = projection(*statistics(encoded, items, sketch), rank)
+    sketched, df, passages = statistics(encoded, items, sketch)
+    place = projection(sketched, df, passages, rank)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    # an item is asked for as a whole and, where it is longer than a passage, by its passages
-    asked, owner = [], []
-    for i, w in enumerate(items.words):
-        starts = range(0, max(1, len(w) - CHUNK), CHUNK)
-        asked += [place[items.column(w[s:s + 2 * CHUNK])].sum(axis=0) for s in starts]
-        owner += [i] * len(starts)
-    asked, owner = unit(np.stack(asked)).astype(np.float32), np.array(owner)
-    sent = spark.sparkContext.broadcast((items, place, asked, owner))
+    # an item is compared as a whole and, where it is longer than a passage, by its passages
+    asked = [unit(np.stack([place[items.column(w[s:s + 2 * CHUNK])].sum(axis=0) for s in range(0, max(1, len(w) - CHUNK), CHUNK)])) for w in items.words]
+    sent = spark.sparkContext.broadcast((items, place, asked, Bound(items, df, lcs_share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, place, asked, owner = sent.value
-        lengths = np.array([len(w) for w in items.words])
-        longest, needed, there = lengths.max(), lcs_share * lengths, np.zeros(len(items.terms) + 1, bool)
+        items, place, asked, bound = sent.value
         for b in batches:
             best: dict[tuple[int, int], tuple] = {}
             ids = b.column(0).to_pylist()
             for flat, row in _slices(b):
-                chunks = place[items.column(flat)].reshape(len(row), CHUNK, -1).sum(axis=1)
-                joined = np.append(row[1:] == row[:-1], False)
-                chunks[:-1] += chunks[1:] * joined[:-1, None]
                 first = np.searchsorted(row, row) * CHUNK                  # where the row begins and ends in the slice
                 last = np.searchsorted(row, row, "right") * CHUNK
-                for lo in range(0, len(chunks), 4096):
-                    near = unit(chunks[lo:lo + 4096]) @ asked.T
-                    for k, p in ((p + lo, p) for p in np.flatnonzero((near >= cosine).any(axis=1))):
-                        # words of an item that occur around at all bound the subsequence
-                        wide = flat[max(first[k], k * CHUNK - longest):min(last[k], (k + 2) * CHUNK + longest)]
-                        there[wide] = True
-                        there[0] = False
-                        likely = [q for q in np.flatnonzero(near[p] >= cosine) if np.count_nonzero(there[items.words[owner[q]]]) >= needed[owner[q]]]
-                        there[wide] = False
-                        for q in likely:
-                            i = int(owner[q])
-                            n = len(items.words[i])
-                            around = flat[max(first[k], k * CHUNK - n):min(last[k], (k + 2) * CHUNK + n)]
-                            lcs = common(items.words[i], around) / n
-                            own = items.answers[i]
-                            said = common(own, around) / len(own) if len(own) else 1.0
-                            if lcs >= lcs_share and said >= answer_share:
-                                key, value = (ids[row[k]], items.ids[i]), (lcs, said, float(near[p, q]))
-                                if key not in best or value > best[key]:
-                                    best[key] = value
+                for i, chunks in bound(flat, first, last):
+                    n, own = len(items.words[i]), items.answers[i]
+                    for k in chunks.tolist():
+                        around = flat[max(first[k], k * CHUNK - n):min(last[k], (k + 2) * CHUNK + n)]
+                        lcs = common(items.words[i], around) / n
+                        if lcs < lcs_share:
+                            continue
+                        said = common(own, around) / len(own) if len(own) else 1.0
+                        if said >= answer_share:
+                            passage = unit(place[items.column(flat[k * CHUNK:min(last[k], (k + 2) * CHUNK)])].sum(axis=0)[None, :])
+                            key, value = (ids[row[k]], items.ids[i]), (lcs, said, float((asked[i] @ passage[0]).max()))
+                            if key not in best or value > best[key]:
+                                best[key] = value
             yield pa.RecordBatch.from_pylist([{"doc_id": d, "item_id": i, "cosine": c, "lcs_share": x, "answer_share": y} for (d, i), (x, y, c) in best.items()], schema=_HIT)
 
     found = encoded.mapInArrow(run, schema)
