@@ -6,9 +6,8 @@ mass so saved to its unigrams, and those give theirs to *shared* continuation co
 both classes).  A word or pair whose class counts do not differ for sure (``SURE``) has the shared probability in both models,
 so a rare expression tells nothing by being rare.
 
-All labelled words and word pairs are counted, distributed.  A word or pair is kept if it makes up at least ``least_share`` of
-all counted words; hence at most ``1 / least_share`` words and as many pairs are kept, whatever the size of the corpus, which
-bounds what is sent to the tasks.  The others fall back to the shared counts.
+All labelled words and word pairs are counted, distributed.  All that occur twice are kept, as tables; the frequent ones of
+those that tell the classes apart are sent to the tasks, up to a stated number, and the rest are joined.
 
 A logistic curve turns the mean difference into a probability.  It is fitted on a part of the labelled rows that the counts
 leave out (at most ``most_calibration`` rows).  Empty and null texts, and all texts if a class has no rows, get the share of toxic
@@ -24,10 +23,11 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import WORD, documents, written
+from attestra.llm.common import WORD, documents, hash_words, written
 
 DISCOUNT = 0.75
 #: deviance from which on the classes are held to use an expression differently (chi-square with one degree of freedom)
@@ -96,8 +96,8 @@ def deviance(seen: np.ndarray, share: np.ndarray | float) -> np.ndarray:
     return 2 * out
 
 
-def fit(rows: DataFrame, least_share: float = 2e-6, least_count: int = 2) -> Model:
-    """``rows``: text and toxic (0 or 1).  Reads them twice, for words and for pairs of kept words."""
+def fit(rows: DataFrame, least_share: float = 0.0, least_count: int = 2) -> Model:
+    """The model in memory, for small tables (``score`` uses ``tables``, which are held against it).  ``rows``: text and toxic (0 or 1).  Reads them twice, for words and for pairs of kept words."""
     spark = rows.sparkSession
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -151,6 +151,150 @@ def fit(rows: DataFrame, least_share: float = 2e-6, least_count: int = 2) -> Mod
     return Model(ids, ratio(unigram), ratio(left), key, ratio(full), base)
 
 
+def _told_apart(o, t, share):
+    """``deviance`` as a column."""
+    n = F.greatest(o + t, F.lit(1))
+    part = lambda c, p: F.when(c > 0, c * F.ln(c / F.greatest(n * p, F.lit(1e-9)))).otherwise(0.0)
+    return 2 * (part(o, 1 - share) + part(t, share))
+
+
+def tables(rows: DataFrame, least_count: int = 2) -> tuple[DataFrame | None, float, float]:
+    """What ``fit`` computes, over tables of all words and pairs that occur ``least_count`` times: (b, a, value, before, n), the log-ratio of
+    any other word, and the share of toxic rows.  A row is a word b whose ratio is ``value`` above the others' or that leaves ``before`` to
+    what follows it, or a pair (b, a) with what it adds to its parts.  None if a class has no words."""
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    base = sizes.get(1, 0) / max(1, sum(sizes.values()))
+
+    def pairs_of(text: str | None) -> zip:
+        h = _hashed(text)
+        return zip(h[:-1].tolist(), h[1:].tolist())
+
+    words = written(_counted(rows, lambda t: _hashed(t).tolist(), "key bigint"))
+    often = F.col("ordinary") + F.col("toxic") >= least_count
+    s = words.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in (
+        ("o", F.col("ordinary")), ("t", F.col("toxic")), ("size", F.when(often, 1)), ("to", F.when(often & (F.col("ordinary") > 0), 1)), ("tt", F.when(often & (F.col("toxic") > 0), 1)),
+        ("oo", F.when(~often, F.col("ordinary"))), ("ot", F.when(~often, F.col("toxic")))))).first()
+    if not s["o"] or not s["t"]:
+        return None, 0.0, base
+    kept = words.where(often)
+    pairs = _counted(rows, pairs_of, "key array<bigint>").select(F.col("key")[0].alias("b"), F.col("key")[1].alias("a"), "ordinary", "toxic")
+    for end in "ba":
+        pairs = pairs.join(kept.select(F.col("key").alias(end)), end, "left_semi")
+    pairs = written(pairs.select("b", "a", "ordinary", "toxic"))
+    places = pairs.count() + s["size"] + 1             # one place more for any other word
+    follows = pairs.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("follows"))
+    shared = (F.coalesce("follows", F.lit(0)) + 1) / F.lit(float(places))
+    unigram = lambda c, total, kinds: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * kinds / total * shared
+    words = written(kept.join(follows, "key", "left").select(
+        "key", "ordinary", "toxic", shared.alias("shared"), unigram("ordinary", s["o"], s["to"] + (s["oo"] > 0)).alias("u0"), unigram("toxic", s["t"], s["tt"] + (s["ot"] > 0)).alias("u1"),
+        (_told_apart(F.col("ordinary"), F.col("toxic"), F.lit(s["t"] / (s["o"] + s["t"]))) >= SURE).alias("told")))
+    r = words.agg(*(F.coalesce(F.sum(F.when(F.col("told") if own else ~F.col("told"), F.col(c))), F.lit(0.0)).alias(n) for n, c, own in (("u0", "u0", True), ("u1", "u1", True), ("shared", "shared", False)))).first()
+    rest = [(1 - r[c]) / (r["shared"] + 1 / places) for c in ("u0", "u1")]
+    other = float(np.log(rest[1]) - np.log(rest[0]))
+    words = words.select("key", "ordinary", "toxic", "told", *(F.when(F.col("told"), F.col(c)).otherwise(F.col("shared") * x).alias(c) for c, x in zip(("u0", "u1"), rest)))
+    both = (pairs.where(often).join(words.select(F.col("key").alias("b"), F.col("ordinary").alias("bo"), F.col("toxic").alias("bt")), "b")
+            .join(words.select(F.col("key").alias("a"), "told", "u0", "u1"), "a"))
+    awaited = F.col("bt") * F.col("u1") / (F.col("bo") * F.col("u0") + F.col("bt") * F.col("u1"))
+    direct = lambda c, of: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(of, F.lit(1))
+    sure = written(both.where(_told_apart(F.col("ordinary"), F.col("toxic"), awaited) >= SURE)
+                   .select("b", "a", (F.col("ordinary") + F.col("toxic")).alias("n"), "told", "u0", "u1", direct("ordinary", "bo").alias("d0"), direct("toxic", "bt").alias("d1")))
+    left = sure.groupBy("b").agg(*(F.greatest(1 - F.sum(f"d{c}"), F.lit(1e-3)).alias(f"l{c}") for c in (0, 1)))
+    ratio = F.when(F.col("told"), F.ln(F.col("u1") / F.col("u0"))).otherwise(other)
+    before = F.ln(F.col("l1") / F.col("l0"))
+    of_words = (words.withColumnRenamed("key", "b").join(left, "b", "left").where("told OR l0 IS NOT NULL")
+                .select("b", F.lit(None).cast("bigint").alias("a"), (ratio - other).alias("value"), F.coalesce(before, F.lit(0.0)).alias("before"), (F.col("ordinary") + F.col("toxic")).alias("n")))
+    full = F.ln((F.col("d1") + F.col("l1") * F.col("u1")) / (F.col("d0") + F.col("l0") * F.col("u0")))
+    of_pairs = sure.join(left, "b").select("b", "a", (full - before - ratio).alias("value"), F.lit(0.0).alias("before"), "n")
+    return written(of_words.union(of_pairs)), other, base
+
+
+def _hashed(text: str | None, seen: dict[str, int] | None = None) -> np.ndarray:
+    return hash_words(WORD.findall((text or "").lower()), _SEEN if seen is None else seen).view(np.int64)
+
+
+_SEEN: dict[str, int] = {}
+PAIR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Sent:
+    """The rows of ``tables`` that tasks hold, sorted by hash."""
+
+    def __init__(self, told):
+        b, a = told.column("b").to_numpy().view(np.uint64), told.column("a")
+        single = np.array(a.is_null())
+        value, before = told.column("value").to_numpy(), told.column("before").to_numpy()
+        order = np.argsort(b[single])
+        self.words, self.word, self.before = b[single][order], value[single][order], before[single][order]
+        key = b[~single] * PAIR ^ a.drop_null().to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        self.pairs, self.pair = key[order], value[~single][order]
+
+    @staticmethod
+    def places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Where ``asked`` stand among the keys; -1 for others."""
+        if not len(keys):
+            return np.full(len(asked), -1)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[at] == asked, at, -1)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = h.view(np.uint64)
+        return self.places(self.words, h), self.places(self.pairs, h[:-1] * PAIR ^ h[1:])
+
+
+def table_evidence(docs: DataFrame, told: DataFrame | None, other: float, most_sent: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``evidence`` by the rows of ``tables``.  The frequent ones, at most ``most_sent``, go to every task; words and pairs that are not among
+    them meet the others in a join, once for each different text."""
+    spark, rows, cut = docs.sparkSession, documents(docs, id_col, text_col), 0
+    if told is None:
+        told = spark.createDataFrame([], "b bigint, a bigint, value double, before double, n bigint")
+    taken = 0
+    for r in sorted(told.groupBy(F.floor(F.log2("n")).alias("l")).agg(F.count("*").alias("rows")).collect(), reverse=True):     # by powers of two
+        taken += r["rows"]
+        if taken > most_sent:
+            cut = 2 ** (r["l"] + 1)
+            break
+    sent = spark.sparkContext.broadcast(Sent(told.where(F.col("n") >= cut).select("b", "a", "value", "before").toArrow()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            sums, sizes, names = [], [], []
+            for text in b.column(1):
+                h = _hashed(text.as_py())
+                w, p = m.find(h)
+                early = w[:-1]
+                sums.append(float(m.word[w[w >= 0]].sum() + m.before[early[early >= 0]].sum() + m.pair[p[p >= 0]].sum()))
+                sizes.append(len(h))
+                names.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                if len(_SEEN) > FLUSH:
+                    _SEEN.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], ["doc_id", "t", "s", "n_words"])
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            for text in b.column(1):
+                h = _hashed(text.as_py())
+                if not len(h):
+                    continue
+                w, p = m.find(h)
+                own = Counter((x, None) for x in h[w < 0].tolist())
+                own.update(zip(h[:-1][p < 0].tolist(), h[1:][p < 0].tolist()))
+                last, keys = (int(h[-1]), None), list(own)
+                rows = [[xxhash.xxh3_128_digest(h.tobytes())] * len(keys), [k[0] for k in keys], [k[1] for k in keys], [own[k] for k in keys], [own[k] - (k == last) for k in keys]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), *(pa.array(x, pa.int64()) for x in rows[1:])], ["t", "b", "a", "times", "followed"])
+
+    found = rows.mapInArrow(run, "doc_id bigint, t binary, s double, n_words bigint")
+    if cut:
+        few = told.where(F.col("n") < cut).select(F.col("b").alias("fb"), F.col("a").alias("fa"), "value", "before")
+        asked = rows.mapInArrow(missing, "t binary, b bigint, a bigint, times bigint, followed bigint").distinct()
+        more = (asked.join(few, (F.col("b") == F.col("fb")) & F.col("a").eqNullSafe(F.col("fa")))
+                .groupBy("t").agg(F.sum(F.col("times") * F.col("value") + F.col("followed") * F.col("before")).alias("more")))
+        found = found.join(more, "t", "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0.0)))
+    return found.select("doc_id", F.when(F.col("n_words") > 0, other + F.col("s") / F.col("n_words")).alias("evidence"), "n_words")
+
+
 def evidence(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", words_at_once: int = 200_000) -> DataFrame:
     """doc_id, mean log-ratio (null without words) and number of words of each row."""
     spark = docs.sparkSession
@@ -189,22 +333,22 @@ def curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def score(docs: DataFrame, labels: DataFrame, learn_from, calibrate_on, threshold: float = 0.3, most_calibration: int = 50_000,
+def score(docs: DataFrame, labels: DataFrame, learn_from, calibrate_on, threshold: float = 0.3, most_calibration: int = 50_000, most_sent: int = 1_000_000,
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> DataFrame:
     """doc_id, score, predicted.  ``learn_from`` and ``calibrate_on`` are conditions on the id, apart from one another."""
     told = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     rows = documents(docs, id_col, text_col)
     # the labels grow with the documents, so the same join at every size
     learned = written(rows.where(learn_from).join(told.where(learn_from).hint("shuffle_merge"), "doc_id").select("text", "toxic"))
-    model = fit(learned, **how)
-    found = written(evidence(rows, model))
+    ratios, other, share = tables(learned, **how)
+    found = written(table_evidence(rows, ratios, other, most_sent))
     part = (found.where(calibrate_on).where("evidence IS NOT NULL").join(told.where(calibrate_on), "doc_id")
             .select("evidence", "toxic", F.xxhash64("doc_id", "evidence").alias("h")).orderBy("h").limit(most_calibration).select("evidence", "toxic").toArrow())
     x, y = part.column("evidence").to_numpy(), part.column("toxic").to_numpy().astype(float)
     slope, base = curve(x, y) if 0 < y.sum() < len(y) else (0.0, 0.0)
     if slope <= 0:                                     # nothing learned: the share of toxic rows
-        p = F.lit(model.base)
+        p = F.lit(share)
     else:
         p = 1 / (1 + F.exp(-(F.col("evidence") * slope + base)))
-    p = F.coalesce(p, F.lit(model.base))
+    p = F.coalesce(p, F.lit(share))
     return found.select("doc_id", p.alias("score"), F.when(p >= threshold, 1).otherwise(0).alias("predicted"), "n_words")

@@ -96,6 +96,20 @@ def test_toxicity_counts_and_evidence(spark):
     assert got[1] == pytest.approx(want / 5) and np.isnan(got[2]) and got[0] == pytest.approx(m.word[m.words["a"]])
 
 
+@pytest.mark.parametrize("most_sent", [10 ** 6, 3, 0])
+def test_toxicity_tables_keep_rare_words(spark, insults, most_sent):
+    """Tables give the evidence of the model in memory, also where tasks hold few of their rows; a toxic word of 1.4 millionths counts."""
+    d, labels = insults
+    rows = d.join(labels.where("toxic IN (0, 1)"), "doc_id").select("text", "toxic")
+    many = spark.createDataFrame([("vile " * 4, 1), ("pad " * 700_000, 0), ("pad " * 2_000_000, 1), ("gross thing", 1)] + [("vile gross", 1)] * 4, "text string, toxic int")
+    learned = rows.union(many)
+    told, other, _ = toxicity.tables(learned)
+    got = toxicity.table_evidence(d, told, other, most_sent).collect()
+    want = toxicity.evidence(d, toxicity.fit(learned)).collect()
+    of = lambda rs: sorted((str(r["doc_id"]), r["n_words"], round(r["evidence"] or 0.0, 9), r["evidence"] is None) for r in rs)
+    assert of(got) == of(want)
+
+
 @pytest.fixture(scope="module")
 def graded(spark):
     rng = np.random.default_rng(3)
