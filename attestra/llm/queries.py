@@ -147,7 +147,7 @@ ORACLE_SQL: dict[str, str] = {
              best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
              forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 10 * w.n THEN b.near_n END AS form_n
                        FROM words w LEFT JOIN best b ON w.word = b.word),
-             chain(word, at) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NOT NULL),
-             ends AS (SELECT c.word, c.at AS root FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NULL)
+             chain(word, tail) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.tail = f.word WHERE f.form IS NOT NULL),
+             ends AS (SELECT c.word, c.tail AS root FROM chain c JOIN forms f ON c.tail = f.word WHERE f.form IS NULL)
         SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON f.word = e.word""",
 }
