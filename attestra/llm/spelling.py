@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import documents, lists, written
+from attestra.llm.common import documents, written
 
 LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,7 +62,8 @@ def blocks_of(ws: DataFrame, groups: Sequence[str], block: int) -> DataFrame:
     cuts = ws.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
     dealt = ws.join(cuts, "cell").withColumn("sub", F.pmod(F.xxhash64("word"), F.col("cuts")).cast("int"))
     rows = dealt.groupBy("cell", "sub").agg(F.collect_list(F.struct("word", "n")).alias("w"))
-    return rows.select("cell", "sub", F.array_join("w.word", "").alias("letters"), F.col("w.n").alias("ns"))
+    # a row is copied to each of its neighbours: words of one length need no marks between them, and most counts have one digit
+    return rows.select("cell", "sub", F.array_join("w.word", "").alias("letters"), F.array_join(F.col("w.n").cast("array<string>"), ",").alias("ns"))
 
 
 def steps(groups: int) -> list[list[int]]:
@@ -125,21 +126,22 @@ def _text(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([w.decode("latin-1") for p in parts for w in p.tolist()], pa.string())
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], step: int = 64) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        ns = [lists(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("left_ns"), batch.column("right_ns"))]
-        plain = [batch.column(c).to_pylist() for c in ("length", "longer", "same", "left", "right")]
-        for length, longer, same, left, right, left_ns, right_ns in zip(*plain, *ns):
-            a, b = _codes(left, length), _codes(right, length + longer)
-            i, j = near_pairs(a, b, same)
-            if len(i):
-                own, other = a.view(f"S{length}").ravel(), b.view(f"S{length + longer}").ravel()
-                if same:
+        for at in range(0, batch.num_rows, step):
+            for u in batch.slice(at, step).to_pylist():
+                a, b = _codes(u["left"], u["length"]), _codes(u["right"], u["length"] + u["longer"])
+                i, j = near_pairs(a, b, u["same"])
+                if not len(i):
+                    continue
+                own, other = a.view(f"S{a.shape[1]}").ravel(), b.view(f"S{b.shape[1]}").ravel()
+                own_n, other_n = (np.array(u[c].split(","), np.int64) for c in ("left_ns", "right_ns"))
+                if u["same"]:
                     i, j = np.concatenate([i, j]), np.concatenate([j, i])
                 else:
-                    out.append(_best(j, i, other, own, left_ns))
-                out.append(_best(i, j, own, other, right_ns))
+                    out.append(_best(j, i, other, own, own_n))
+                out.append(_best(i, j, own, other, other_n))
         numbers = [pa.array(np.concatenate([o[k] for o in out]) if out else [], pa.int64()) for k in (1, 2)]
         yield pa.RecordBatch.from_arrays([_text([o[0] for o in out]), *numbers, _text([o[3] for o in out])], ["word", "n_near", "form_n", "form"])
 
