@@ -180,3 +180,38 @@ def test_citations_in_a_long_text(spark, make, reg):
     long = "x" * 20000 + " List A " + "y" * 20000
     rows = make([dict(prov_family=long, address="1"), dict(prov_family="list a", address="2"), dict(prov_family="none", address="3")])
     assert [(r.citing, r.cited) for r in L.citations(rows, reg).collect()] == [(long, "list a")]
+
+
+def test_best_offers_are_those_taken_one_by_one(spark):
+    rnd = random.Random(8)
+    offers = [(t, f"c{rnd.randrange(6)}", f"m{m}", None if m < 2 else f"s{m % 4}", m, rnd.choice([.5, .7, .7, .9, 1.0])) for t in "xyz" for m in range(8) for _ in range(3)]
+    offers = list({(o[0], o[1], o[2]): o for o in offers}.values())
+    want = set()
+    for t in "xyz":
+        left = [o for o in offers if o[0] == t]
+        while left:
+            top = min(left, key=lambda o: (-o[5], o[4], o[1]))
+            want.add((t, top[1], top[2], top[5]))
+            left = [o for o in left if o[1] != top[1] and (o[3] is None or o[3] != top[3])]
+    df = spark.createDataFrame(offers, "table string, column string, meaning string, slot string, place int, confidence double").repartition(4)
+    assert {tuple(r) for r in PF.best_offers(df).collect()} == want
+    assert PF.best_offers(df.limit(0)).count() == 0
+
+
+def test_tables_are_surveyed_together_as_alone(spark, reg):
+    tables = {"a": table(spark, ["address", "category", "chain"], [(HEX[i], "mixer", ["eth", "bsc"][i % 2]) for i in range(6)]),
+              "b": table(spark, ["date", "open", "high", "low", "volume"], [(f"2024-01-0{i}", "1", "2", "0.5", "100") for i in range(1, 5)]),
+              "c": table(spark, ["address", "category"], [(str(i), "mixer") for i in range(10)]),
+              "d": table(spark, ["wallet", "address", "note"], [(HEX[i], HEX[i + 1], None) for i in range(5)]), "e": table(spark, ["x"], [])}
+    choices = {"d": {"note": "attribution_label", "wallet": "attribution_entity", "gone": "chain", "address": "no_such"}}
+    s = PF.survey(tables, reg, choices)
+    assert {r["table"]: (r["dataset_type"], r["status"], r["n_rows"]) for r in s.tables.collect()} == {
+        "a": ("attribution_claims", "ready", 6), "b": ("market_timeseries", "unsupported", 4), "c": ("attribution_like_unresolved", "blocked", 10), "d": ("attribution_claims", "blocked", 5),
+        "e": ("non_crypto", "unsupported", 0)}
+    for t in "abc":
+        alone = PF.preflight(tables[t], reg)
+        assert {(p.column, p.meaning, p.status, p.confidence) for p in alone.columns} == {tuple(r) for r in s.parts.where(F.col("table") == t).select("column", "meaning", "status", "confidence").collect()}
+    assert {(r["column"], r["objection"]) for r in s.choices.collect()} == {("note", "no_values"), ("wallet", "holds_identifiers"), ("gone", "no_such_column"), ("address", "no_such_meaning")}
+    assert {r["column"]: r["meaning"] for r in s.parts.where("table = 'd'").collect()}["address"] == "subject_address"
+    roles = {r["table"]: r["role"] for r in L.table_roles(tables, reg).collect()}
+    assert roles == {"a": "claim_subject", "b": "lookup_or_provenance", "c": "attribution", "d": "claim_subject", "e": "unknown"}

@@ -698,10 +698,20 @@ def column_profiles(s, d):
 
 @query("PRF3 PRF5 PRF10 PRF15 UDF4")
 def preflight_columns(s, d):
-    u = upload(s, d)
-    pf = preflight.preflight(u, REG)
-    rows = [(m.column, m.meaning, m.confidence, m.status, m.origin, pf.dataset_type, pf.status, pf.chain_status) for m in pf.columns]
-    return s.createDataFrame(rows, "column string, meaning string, confidence double, status string, origin string, dataset_type string, table_status string, chain_status string")
+    """What each column of two uploads is taken for, where columns compete for one part, and what that makes of the tables."""
+    found = preflight.survey({"claims": upload(s, d), "rivals": W.load(s, d, W.RIVALS)}, REG)
+    kind = found.tables.select("table", "dataset_type", F.col("status").alias("table_status"), "chain", "chain_status", F.array_join("blockers", ",").alias("blockers"), "currency_basis")
+    return found.parts.select("table", "column", "meaning", "confidence", "status", "origin", "rejected_as_subject").join(kind, "table")
+
+
+def uploads(s, d):
+    return {t: upload(s, d) if t == "claims" else W.load(s, d, statement) for t, (statement, _) in W.UPLOADS.items()}
+
+
+@query("PRF14")
+def preflight_choices(s, d):
+    """A user's choices against the whole columns: one that holds, one that the values refuse, and two of things that are not there."""
+    return preflight.survey({"holders": uploads(s, d)["holders"]}, REG, W.UPLOAD_CHOICES).choices
 
 
 @query("PRF4 SRC17")
@@ -824,11 +834,10 @@ def table_relationships(s, d):
     return relational.relationships(t, REG)
 
 
-@query("PRF11")
+@query("PRF8 PRF9 PRF10 PRF11")
 def table_roles(s, d):
-    t = {n: df for n, df in _tables(s, d, "nation", "customer", "labels").items()}
-    t["uploads"] = upload(s, d).drop("row_id")
-    return relational.table_roles(t, REG)
+    """Eight uploads surveyed at once, every kind of table once."""
+    return relational.table_roles(uploads(s, d), REG, W.UPLOAD_CHOICES)
 
 
 JOINED_MAPPING = {"address": "orders__hex", "category": "customer__segment", "label": None, "source": "nation__n_name", "timestamp": "orders__day", "chain": None,

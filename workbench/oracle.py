@@ -2,6 +2,7 @@
 category sets and roots are counted with COUNT(DISTINCT), ties broken by window functions."""
 from __future__ import annotations
 
+from attestra import Registry
 from workbench import workload as W
 
 _GEN = "('illicit_unspec', 'licit_unspec')"
@@ -275,6 +276,102 @@ RULE_SQL = {"resolved_provenance_only": "resolved", "non_circular": "NOT circula
 CHOSEN = ["resolved_provenance_only", "non_circular", "current_only", "exclude_conflicts"]
 
 
+def survey(tables: dict[str, tuple[str, list[str]]], choices: dict[str, dict[str, str]] | None = None) -> str:
+    """The statements ``parts`` (a row per column) and ``kinds`` (a row per table) of a survey.  Columns are spelled as their normal names, and no cell is an identifier
+    of a chain other than hexadecimal ones."""
+    reg = Registry.load()
+    c, q = reg.intake, lambda x: "NULL" if x is None else f"'{x}'"
+    words = lambda xs: "CAST([" + ", ".join(q(x) for x in xs) + "] AS VARCHAR[])"
+    cells = " UNION ALL ".join(f"SELECT '{t}' AS tbl, {i} AS pos, '{x}' AS col, row_id, trim({x}) AS v FROM ({W.for_duckdb(sql)})" for t, (sql, cols) in tables.items() for i, x in enumerate(cols))
+    schema = ", ".join(f"('{t}', {i}, '{x}', {q((choices or {}).get(t, {}).get(x))})" for t, (_, cols) in tables.items() for i, x in enumerate(cols))
+    known = ", ".join(f"({i}, '{m}', '{t}', {q(r)}, {str(sh).lower()}, {words(wh)}, {words(wo)}, '{'subject' if m.startswith('subject_') else m}', {q(t.partition(':')[2] or None)})"
+                      for i, (m, (t, r, sh, wh, wo)) in enumerate(c["meanings"].items()))
+    aliases = ", ".join(f"('{a}', '{ch}')" for ch, spec in reg.chains.items() for a in {ch, *spec["aliases"]})
+    isin = lambda xs: "(" + ", ".join(q(x) for x in xs) + ")"
+    return f"""
+cells AS (SELECT * FROM ({cells}) WHERE v <> ''),
+aliases(alias, chain) AS (VALUES {aliases}),
+read AS (SELECT c.*, a.chain, regexp_full_match(v, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') AS num, regexp_full_match(v, '\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?') AND TRY_CAST(substr(v, 1, 10) AS DATE) IS NOT NULL AS day,
+           regexp_matches(lower(v), '^https?://') AS url, regexp_full_match(v, '0x[0-9a-fA-F]{{40}}') AS hexa, CASE WHEN regexp_full_match(v, '[+-]?\\d+') THEN TRY_CAST(v AS HUGEINT) END AS whole,
+           len(list_intersect(regexp_split_to_array(lower(v), '[^a-z]+'), (SELECT list(alias) FROM aliases))) > 0 AS asset
+         FROM cells c LEFT JOIN aliases a ON regexp_replace(regexp_replace(lower(v), '[^a-z0-9]+', '_', 'g'), '_mainnet$', '') = a.alias),
+prof AS (SELECT tbl, col, count(*) AS n, avg(num::INT) AS numeric_, avg(day::INT) AS date_, avg(url::INT) AS url_, avg((NOT (num OR day OR url))::INT) AS text_,
+           avg((chain IS NOT NULL)::INT) AS chain_named, list(DISTINCT chain) FILTER (chain IS NOT NULL) AS chains, avg(hexa::INT) AS valid, avg((v IN {isin(c["confidence_grades"])})::INT) AS graded,
+           count(*) >= 3 AND count(whole) = count(*) AND min(whole - row_id) = max(whole - row_id) AS counter, count(DISTINCT length(v)) AS lengths, min(length(v)) AS shortest, max(length(v)) AS longest,
+           bool_and(regexp_full_match(v, '[0-9a-zA-Z]+')) AS opaque, bool_or(asset) AS asset FROM read GROUP BY tbl, col),
+facts AS (SELECT s.tbl, s.pos, s.col, s.chosen, coalesce(n, 0) AS n, coalesce(counter, false) AS counter, chains, chain_named, lengths, shortest, longest, opaque, asset,
+            coalesce(numeric_, 0) AS numeric_, coalesce(date_, 0) AS date_, coalesce(url_, 0) AS url_, coalesce(text_, 0) AS text_, coalesce(graded, 0) AS graded, coalesce(valid, 0) AS valid,
+            coalesce(numeric_ >= 0.9, false) AS is_number, coalesce(date_ >= 0.8, false) AS is_date, coalesce(NOT counter AND numeric_ < 0.9 AND valid >= 0.3, false) AS is_identifier,
+            regexp_matches(s.col, 'address|wallet|addr|acct|account') AS address_named, regexp_matches(s.col, 'symbol|ticker|pair|coin|currency|asset|market') AS asset_named,
+            count(DISTINCT CASE WHEN numeric_ >= 0.9 AND s.col IN {isin(c["market"]["columns"])} THEN s.col END) OVER (PARTITION BY s.tbl) >= 3 AS market
+          FROM (VALUES {schema}) AS s(tbl, pos, col, chosen) LEFT JOIN prof p ON p.tbl = s.tbl AND p.col = s.col),
+meanings(place, meaning, test, role, shared, whole, words, slot, kind) AS (VALUES {known}),
+named AS (SELECT f.*, m.*, CASE WHEN list_contains(whole, col) THEN 1.0 WHEN list_has_any(words, string_split(col, '_')) THEN 0.7 ELSE 0.0 END AS name FROM facts f CROSS JOIN meanings m),
+valued AS (SELECT *, CASE WHEN n = 0 OR (is_identifier AND meaning IN {isin(c["never_identifiers"])}) THEN 0.0
+             WHEN test LIKE 'subject:%' THEN CASE WHEN counter THEN 0.0 WHEN kind IN ('entity', 'cluster') THEN 0.5 WHEN is_number OR kind = 'transaction' THEN 0.0 ELSE valid END
+             WHEN test = 'date' OR meaning = 'ts_market_candle' THEN date_ WHEN meaning IN ('market_numeric', 'numeric_unclassified') THEN numeric_ WHEN test = 'text' THEN text_ WHEN test = 'chain' THEN coalesce(chain_named, 0)
+             WHEN test = 'source' THEN CASE WHEN name > 0 OR chosen = meaning THEN least(1.0, url_ + text_) ELSE url_ END WHEN test = 'grade' THEN (is_number OR graded >= 0.9)::INT ELSE 0.0 END AS value FROM named),
+scored AS (SELECT *, round(0.4 * name + 0.6 * value, 4) AS confidence FROM valued),
+taken_slots AS (SELECT tbl, list(slot) AS slots FROM scored WHERE chosen = meaning AND NOT shared GROUP BY tbl),
+considered AS (SELECT s.* FROM scored s LEFT JOIN taken_slots t USING (tbl) WHERE chosen IS NULL AND NOT (market AND (is_number OR is_date)) AND test <> 'shape'
+               AND (shared OR NOT coalesce(list_contains(t.slots, slot), false)) AND (name > 0 OR meaning IN {isin(c["from_values_alone"])})),
+refused AS (SELECT DISTINCT tbl, col FROM considered WHERE confidence < 0.5 AND name > 0 AND slot = 'subject'),
+picks(tbl, cols, slots, col, meaning, confidence) AS (
+  SELECT DISTINCT tbl, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM facts
+  UNION ALL
+  SELECT p.tbl, list_append(p.cols, o.col), CASE WHEN o.shared THEN p.slots ELSE list_append(p.slots, o.slot) END, o.col, o.meaning, o.confidence
+  FROM picks p JOIN considered o ON o.tbl = p.tbl AND o.confidence >= 0.5 AND NOT list_contains(p.cols, o.col) AND (o.shared OR NOT list_contains(p.slots, o.slot))
+  QUALIFY row_number() OVER (PARTITION BY p.tbl ORDER BY o.confidence DESC, o.place, o.col) = 1),
+given AS (SELECT f.*, coalesce(chosen, CASE WHEN market AND is_number THEN 'market_numeric' WHEN market AND is_date THEN 'ts_market_candle' END, k.meaning,
+                               CASE WHEN is_date THEN 'ts_unclassified' WHEN is_number THEN 'numeric_unclassified' ELSE 'unmapped' END) AS meaning,
+            CASE WHEN chosen IS NULL THEN CASE WHEN market AND is_number THEN round(numeric_, 4) WHEN market AND is_date THEN round(date_, 4) WHEN k.confidence IS NOT NULL THEN k.confidence WHEN is_date THEN round(date_ * 0.6, 4) END END AS sure,
+            CASE WHEN chosen IS NULL THEN 'inferred' ELSE 'user' END AS origin, r.col IS NOT NULL AS rejected_as_subject
+          FROM facts f LEFT JOIN picks k ON k.tbl = f.tbl AND k.col = f.col LEFT JOIN refused r ON r.tbl = f.tbl AND r.col = f.col),
+objected AS (SELECT g.*, s.kind, s.role, s.name, s.value, list_filter([
+               CASE WHEN rejected_as_subject AND g.meaning IN ('unmapped', 'numeric_unclassified') THEN 'identifiers_do_not_fit_the_name' END,
+               CASE WHEN s.kind IN ('address', 'transaction') AND s.value < 0.3 THEN 'too_few_valid_identifiers' END,
+               CASE WHEN origin = 'user' AND g.meaning <> 'unmapped' AND g.n = 0 THEN 'no_values' END,
+               CASE WHEN origin = 'user' AND g.meaning LIKE 'ts\\_%' ESCAPE '\\' AND NOT g.is_date THEN 'not_dates' END,
+               CASE WHEN origin = 'user' AND g.is_identifier AND g.meaning IN {isin(c["never_identifiers"])} THEN 'holds_identifiers' END,
+               CASE WHEN origin = 'user' AND (g.meaning LIKE 'ts\\_%' ESCAPE '\\' OR g.meaning IN {isin(c["strict_values"])}) AND s.value < 0.5 THEN 'values_do_not_fit' END], lambda x: x IS NOT NULL) AS objections
+             FROM given g JOIN scored s ON s.tbl = g.tbl AND s.col = g.col AND s.meaning = g.meaning),
+first_parts AS (SELECT *, CASE WHEN origin = 'user' AND meaning <> 'unmapped' THEN round(value, 4) ELSE sure END AS confidence0,
+             CASE WHEN len(objections) > 0 THEN 'invalid' WHEN meaning IN ('unmapped', 'numeric_unclassified') THEN 'unused'
+                  WHEN origin = 'inferred' AND (meaning = 'ts_unclassified' OR (sure < 0.75 AND meaning NOT IN ('market_numeric', 'ts_market_candle'))) THEN 'review' ELSE 'ok' END AS status0 FROM objected),
+subjects_ AS (SELECT tbl, arg_min(col, pos) AS subject, arg_min(kind, pos) AS kind, arg_min(valid, pos) AS valid, arg_min(name, pos) AS name, arg_min(origin, pos) AS origin FROM first_parts WHERE kind IS NOT NULL GROUP BY tbl),
+columns_ AS (SELECT tbl, arg_min(col, pos) AS chain_col, arg_min(chains, pos) AS chains, arg_min(chain_named, pos) AS chain_named FROM first_parts WHERE meaning = 'chain' AND status0 <> 'invalid' GROUP BY tbl),
+chained AS (SELECT t.tbl, s.subject, s.kind, s.valid, s.name, s.origin, chain_col, CASE WHEN s.kind IS NULL OR s.kind IN ('entity', 'cluster') THEN 'not_required' WHEN len(chains) = 1 AND chain_named = 1 THEN 'determined'
+              WHEN len(chains) > 0 AND s.kind = 'address' THEN 'per_row' WHEN s.valid >= 0.3 THEN 'ambiguous' ELSE 'undetermined' END AS chain_status,
+              CASE WHEN s.kind IN ('address', 'transaction') AND len(chains) = 1 AND chain_named = 1 THEN chains[1] END AS chain
+            FROM (SELECT DISTINCT tbl FROM facts) t LEFT JOIN subjects_ s ON s.tbl = t.tbl LEFT JOIN columns_ k ON k.tbl = t.tbl),
+stated AS (SELECT k.tbl, round(avg((a.hexa AND n.chain <> 'bitcoin')::INT), 4) AS rate FROM chained k JOIN read n ON n.tbl = k.tbl AND n.col = k.chain_col AND n.chain IS NOT NULL
+           JOIN read a ON a.tbl = k.tbl AND a.col = k.subject AND a.row_id = n.row_id WHERE chain_status = 'per_row' GROUP BY k.tbl),
+parts AS (SELECT p.* EXCLUDE (confidence0, status0), CASE WHEN p.col = k.subject AND chain_status = 'per_row' THEN CASE WHEN p.origin = 'user' THEN coalesce(rate, 0) ELSE round(0.4 * p.name + 0.6 * coalesce(rate, 0), 4) END ELSE confidence0 END AS confidence,
+            CASE WHEN p.col = k.subject AND chain_status = 'per_row' THEN CASE WHEN coalesce(rate, 0) < 0.3 THEN 'invalid' WHEN p.origin = 'user' OR status0 = 'invalid' THEN status0
+                        WHEN round(0.4 * p.name + 0.6 * coalesce(rate, 0), 4) >= 0.75 THEN 'ok' ELSE 'review' END
+                 WHEN p.col = k.subject AND k.kind = 'address' AND k.chain IS NOT NULL AND (k.valid < 0.3 OR k.chain = 'bitcoin') THEN 'invalid' ELSE status0 END AS status
+          FROM first_parts p JOIN chained k USING (tbl) LEFT JOIN stated s USING (tbl)),
+summed AS (SELECT p.tbl, any_value(k.kind) AS kind, any_value(k.chain) AS chain, any_value(k.chain_status) AS chain_status, any_value(k.subject) AS subject,
+             bool_or(p.col = k.subject AND status <> 'invalid') AS good, bool_or(p.col = k.subject AND status = 'invalid') AS lost, bool_or(p.col = k.subject AND status = 'review') AS unsure,
+             count(*) FILTER (p.origin = 'user' AND status = 'invalid') AS wrong, count(*) FILTER (rejected_as_subject OR (p.kind IS NOT NULL AND status = 'invalid')) AS failed,
+             coalesce(arg_min(status, pos) FILTER (meaning = 'attribution_category' AND status <> 'invalid'), arg_min(status, pos) FILTER (meaning = 'attribution_label' AND status <> 'invalid'),
+                      arg_min(status, pos) FILTER (meaning = 'attribution_entity' AND status <> 'invalid')) AS label,
+             bool_or(meaning = 'chain' AND status <> 'invalid') AS has_chain, bool_or(meaning = 'chain') AS any_chain, bool_or(meaning = 'market_numeric' AND p.origin = 'inferred') AS market,
+             coalesce(max_by(p.valid, [p.valid + CASE WHEN address_named THEN 0.05 ELSE 0 END, -pos]) FILTER (n > 0), 0) < 0.05 AS none_valid,
+             coalesce(bool_or(address_named AND n >= 3 AND lengths <= 2 AND opaque AND shortest >= 18 AND longest <= 100), false) AS foreign_ids, coalesce(bool_or(asset_named AND asset), false) AS assets,
+             coalesce(arg_min(p.col, pos) FILTER (meaning = 'ts_attribution_last_verified' AND status <> 'invalid'), arg_min(p.col, pos) FILTER (meaning = 'ts_attribution_last_updated' AND status <> 'invalid')) AS currency_basis
+           FROM parts p JOIN chained k USING (tbl) GROUP BY p.tbl),
+typed AS (SELECT *, CASE WHEN good THEN CASE WHEN kind = 'address' THEN 'attribution_claims' ELSE 'unsupported_subject_kind' END WHEN wrong > 0 THEN 'mapping_unresolved'
+            WHEN label IS NOT NULL AND failed > 0 AND has_chain THEN 'attribution_like_unresolved' WHEN none_valid AND foreign_ids THEN 'unsupported_chain_attribution' WHEN market THEN 'market_timeseries'
+            WHEN label IS NOT NULL AND failed > 0 THEN 'attribution_like_unresolved' WHEN (none_valid AND assets) OR any_chain THEN 'crypto_non_attribution' ELSE 'non_crypto' END AS dataset_type FROM summed),
+blocked AS (SELECT *, CASE dataset_type
+     WHEN 'attribution_claims' THEN [CASE WHEN chain_status IN ('undetermined', 'ambiguous') THEN 'chain_required' END, CASE WHEN label IS NULL THEN 'missing_label' END, CASE WHEN unsure OR label = 'review' THEN 'needs_confirmation' END]
+     WHEN 'mapping_unresolved' THEN list_append(list_transform(range(wrong), lambda i: 'user_mapping_invalid'), CASE WHEN lost THEN 'subject_invalid' END)
+     WHEN 'unsupported_subject_kind' THEN ['subject_kind_unsupported'] ELSE [CASE WHEN lost THEN 'subject_invalid' ELSE 'missing_subject' END, CASE WHEN label IS NULL THEN 'missing_label' END] END AS b FROM typed),
+kinds AS (SELECT *, list_filter(b, lambda x: x IS NOT NULL) AS blockers, CASE WHEN dataset_type IN ('market_timeseries', 'crypto_non_attribution', 'non_crypto', 'unsupported_chain_attribution') THEN 'unsupported'
+            WHEN len(list_filter(b, lambda x: x IS NOT NULL AND x <> 'needs_confirmation')) > 0 THEN 'blocked' WHEN len(list_filter(b, lambda x: x IS NOT NULL)) > 0 THEN 'needs_confirmation' ELSE 'ready' END AS table_status FROM blocked)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["claims_normalised"] = _claims("""SELECT claim_seq, subject, address AS raw_address, source, canon, root, resolved AS prov_resolved, native AS prov_native, verified AS prov_verified,
@@ -557,6 +654,18 @@ def oracle_sql() -> dict[str, str]:
         keyed("roots", "", ["total", "identified"], "(SELECT count(DISTINCT root) AS total, count(DISTINCT CASE WHEN resolved THEN root END) AS identified FROM claims)"),
         keyed("currency", "coalesce(source, 'total')", ["current", "stale", "currency_unknown"], "freshness")])
     q["corpus_report"] = _subjects(f"SELECT key, value, 'LIVE' AS basis FROM ({report})", NAMED, PAIRS, FRESH, KAPPA)
+    q["preflight_columns"] = "WITH RECURSIVE " + survey({"claims": (W.UPLOAD, W.UPLOAD_COLUMNS), "rivals": (W.RIVALS, W.RIVAL_COLUMNS)}) + """
+        SELECT tbl AS "table", col AS "column", meaning, confidence, status, origin, rejected_as_subject, dataset_type, table_status, k.chain, chain_status, array_to_string(blockers, ',') AS blockers, currency_basis
+        FROM parts JOIN (SELECT tbl, dataset_type, table_status, chain, chain_status, blockers, currency_basis FROM kinds) k USING (tbl)"""
+    holders = {x: m for x, m in W.UPLOAD_CHOICES["holders"].items() if x not in ("phone", "street")}
+    q["preflight_choices"] = "WITH RECURSIVE " + survey({"holders": W.UPLOADS["holders"]}, {"holders": holders}) + """
+        SELECT 'holders' AS "table", col AS "column", meaning, unnest(CASE WHEN len(objections) > 0 THEN objections ELSE [NULL] END) AS objection, confidence FROM parts WHERE origin = 'user'
+        UNION ALL SELECT 'holders', 'phone', 'owner', 'no_such_meaning', NULL UNION ALL SELECT 'holders', 'street', 'chain', 'no_such_column', NULL"""
+    firsts = " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n_rows, {len(cols)} AS n_columns, count(*) = count(DISTINCT {cols[0]}) AS keyed FROM ({W.for_duckdb(sql)})" for t, (sql, cols) in W.UPLOADS.items())
+    q["table_roles"] = "WITH RECURSIVE " + survey(W.UPLOADS, {"holders": holders}) + f""",
+        best AS (SELECT tbl, max(coalesce(confidence, 0)) FILTER (kind IS NOT NULL AND status <> 'invalid') AS subject, max(coalesce(confidence, 0)) FILTER (meaning IN ('attribution_label', 'attribution_category') AND status <> 'invalid') AS label FROM parts GROUP BY tbl)
+        SELECT tbl AS "table", CASE WHEN b.subject IS NOT NULL THEN 'claim_subject' WHEN b.label IS NOT NULL THEN 'attribution' WHEN keyed THEN 'lookup_or_provenance' ELSE 'unknown' END AS role,
+          round(coalesce(b.subject, b.label, CASE WHEN keyed THEN 0.5 END, 0), 4) AS confidence, n_rows, n_columns, dataset_type FROM ({firsts}) f JOIN best b USING (tbl) JOIN (SELECT tbl, dataset_type FROM kinds) k USING (tbl)"""
     q["source_class"] = "SELECT count(*) AS n_rows, count(DISTINCT origin) AS n_distinct, count(DISTINCT origin) <= 12 AND count(*) > 10 * count(DISTINCT origin) AS is_class FROM (%s)" % W.for_duckdb(W.UPLOAD)
     q["build_manifest"] = _claims("SELECT source, count(*) AS claims, count(DISTINCT address) AS addresses, CAST(0 AS BIGINT) AS dropped FROM claims GROUP BY ROLLUP (source)")
     cf, uf, ff, nf = (f"({W.for_duckdb(x)})" for x in (W.CLASS_FILE, W.CURATED_FILE, W.FAMILY_FILE, W.NOTES_FILE))

@@ -120,6 +120,28 @@ UPLOAD_COLUMNS = ["wallet_address", "network", "categories", "origin", "updated_
 UPLOAD_MAPPING = {"address": "wallet_address", "chain": "network", "category": "categories", "label": None,
                   "source": "origin", "timestamp": "updated_at", "actor": None, "entity": None, "confidence": None}
 
+# Uploads of every kind that the intake tells apart, one for each, made from the given tables; text cells, and a number per row.
+UPLOADS = {
+    "claims": (UPLOAD, UPLOAD_COLUMNS),
+    "clusters": ("""SELECT c_custkey AS row_id, 'c' || cast(c_custkey * 7 % 1000 AS string) AS cluster_id, c_mktsegment AS label FROM {customer}""", ["cluster_id", "label"]),
+    "holders": ("""SELECT s_suppkey AS row_id, 'holder ' || s_name AS holder, 'tel ' || cast(s_suppkey AS string) AS phone, CASE s_nationkey % 2 WHEN 0 THEN 'exchange' ELSE 'mixer' END AS kind FROM {supplier}""", ["holder", "phone", "kind"]),
+    "numbered": ("""SELECT o_orderkey AS row_id, cast(o_custkey AS string) AS address, o_orderpriority AS category FROM {orders}""", ["address", "category"]),
+    "foreign": ("""SELECT p_partkey AS row_id, 'T' || upper(md5(cast(p_partkey AS string))) AS address, p_brand AS label FROM {part}""", ["address", "label"]),
+    "candles": ("""SELECT l_orderkey * 10 + l_linenumber AS row_id, cast(cast(l_shipdate AS date) AS string) AS day, cast(l_partkey AS string) AS open, cast(l_suppkey AS string) AS high,
+        cast(cast(l_quantity AS bigint) AS string) AS low, cast(l_orderkey % 977 AS string) AS volume FROM {lineitem}""", ["day", "open", "high", "low", "volume"]),
+    "quotes": ("""SELECT o_orderkey AS row_id, cast(cast(o_orderdate AS date) AS string) AS day, CASE o_orderkey % 2 WHEN 0 THEN 'BTC-USD' ELSE 'ETH-USD' END AS symbol,
+        cast(cast(floor(o_totalprice) AS bigint) AS string) AS price FROM {orders}""", ["day", "symbol", "price"]),
+    "nations": ("""SELECT n_nationkey AS row_id, 'land ' || n_name AS land, cast(n_regionkey * 3 % 4 AS string) AS size FROM {nation}""", ["land", "size"])}
+UPLOAD_CHOICES = {"holders": {"kind": "attribution_category", "holder": "subject_address", "phone": "owner", "street": "chain"}}
+# Columns that compete: two of identifiers, two of labels, two of dates of one kind, and a counter under a name of identifiers.
+RIVALS = """
+SELECT o_orderkey AS row_id, CASE o_orderkey % 10 WHEN 0 THEN 'none' ELSE '0x' || substring(md5('a' || cast(o_orderkey AS string)) || md5('b' || cast(o_orderkey AS string)), 1, 40) END AS wallet,
+       '0x' || substring(md5('c' || cast(o_custkey AS string)) || md5('d' || cast(o_custkey AS string)), 1, 40) AS address, cast(o_orderkey AS string) AS addr,
+       o_orderpriority AS tag, o_orderstatus AS label, cast(cast(o_orderdate AS date) AS string) AS updated,
+       CASE o_orderkey % 10 WHEN 1 THEN 'soon' ELSE cast(cast(o_orderdate AS date) AS string) END AS last_modified, 'polygon' AS network FROM {orders}
+"""
+RIVAL_COLUMNS = ["wallet", "address", "addr", "tag", "label", "updated", "last_modified", "network"]
+
 # Republished documents: the subject is the text itself, the source the collection it was found in.
 DOCUMENTS = """
 SELECT d.doc_id AS claim_seq, d.source AS source, md5(d.text) AS address, d.lang AS raw_label,
