@@ -5,13 +5,10 @@ unit that is independent, never rows.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import labels, stats
+from ..functions import draws, labels, stats
 from ..functions.text import ratio
 from ..registry import Registry
 from ..session import written
@@ -114,70 +111,55 @@ RATES = {"multi_source_rate": ("multi", "subjects"), "exact": ("exact", "multi")
          "hierarchical refinement": ("refined", "multi"), "licit/illicit conflict": ("opposed", "multi")}
 
 
-def _splitmix(x: int) -> int:
-    x = (x + 0x9E3779B97F4A7C15) & (2 ** 64 - 1)
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2 ** 64 - 1)
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & (2 ** 64 - 1)
-    return x ^ (x >> 31)
-
-
-def bootstrap_ratio(clusters: DataFrame, by: list[str], num: str, den: str, replicates: int, seed: int,
-                    confidence: float) -> DataFrame:
-    """Percentile interval of sum(num)/sum(den) from resampling clusters, for each group of ``by``.
-
-    Clusters with the same (num, den) are interchangeable, so they are first counted into classes;
-    drawing K clusters with replacement gives each class a multinomial count.  A multinomial is a
-    chain of binomials, so classes are dealt out over many parts: each part draws how many of the K
-    it holds and every replicate then sums the parts.  No task ever holds all classes.
-    """
-    parts = 64
-    keyed = clusters.withColumn("_group", F.to_json(F.struct(*by)) if by else F.lit("{}"))
-    classes = keyed.groupBy("_group", *by, F.col(num).alias("num"), F.col(den).alias("den")).agg(F.count("*").alias("m"))
-    classes = classes.withColumn("_part", F.pmod(F.xxhash64("num", "den"), F.lit(parts)).cast("int"))
-    classes = written(classes)       # a few rows, read three times below
-    sizes = classes.groupBy("_group", "_part").agg(F.sum("m").alias("size"))
-    # one row per group: its total and the sizes of its parts (at most ``parts`` of them)
-    layout = sizes.groupBy("_group").agg(F.sum("size").alias("k"), F.array_sort(F.collect_list(F.struct("_part", "size"))).alias("layout"))
-    schema = T.StructType([T.StructField("_group", T.StringType()), T.StructField("rep", T.LongType()),
-                           T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType())])
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        group, part = key[0], int(key[1])
-        salt = seed
-        for ch in group.encode():
-            salt = _splitmix(salt ^ ch)
-        layout_rows = pdf["layout"].iloc[0]
-        k = int(pdf["k"].iloc[0])
-        pids = [int(r["_part"]) for r in layout_rows]
-        share = np.array([r["size"] for r in layout_rows], dtype=float)
-        pdf = pdf.sort_values(["num", "den"])
-        value, weight = pdf[["num", "den"]].to_numpy(float), pdf["m"].to_numpy(float)
-        # every part repeats the same draw of part totals, then deals out its own share of them
-        totals = np.random.Generator(np.random.PCG64(salt)).multinomial(k, share / share.sum(), size=replicates)
-        rng = np.random.Generator(np.random.PCG64(_splitmix(salt ^ (part + 1))))
-        out = rng.multinomial(totals[:, pids.index(part)], weight / weight.sum()) @ value
-        return pd.DataFrame({"_group": group, "rep": np.arange(replicates), "num": out[:, 0], "den": out[:, 1]})
-
-    drawn = (classes.join(layout, "_group").select("_group", "_part", "num", "den", "m", "k", "layout")
-             .groupBy("_group", "_part").applyInPandas(draw, schema))
-    per_rep = drawn.groupBy("_group", "rep").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).where("den > 0")
-    # one ratio per replicate: as many values as replicates
-    ranked = per_rep.groupBy("_group").agg(F.array_sort(F.collect_list(F.col("num") / F.col("den"))).alias("v"))
+def resampled(clusters: DataFrame, by: list[str], values: list[str], replicates: int, seed: int, depth: int = 2) -> DataFrame:
+    """(by, rep, sums of the values) when as many clusters as there are get drawn with replacement, ``replicates`` times for each group of ``by``.
+
+    Clusters with equal values are interchangeable, so they are counted into classes; drawing gives each class a multinomial count.  Classes hang in a tree by the
+    digits of a hash of their values: the draws of a group are dealt to its 16 children, theirs to their own, and after ``depth`` levels to
+    the classes.  So no task holds all classes, and each draw depends on its name alone."""
+    spark = clusters.sparkSession
+    stream = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by)) if by else F.lit("")
+    classes = clusters.groupBy(*by, *values).agg(F.count("*").cast("double").alias("m")).withColumn("stream", stream)
+    classes = written(classes.withColumn("id", F.md5(F.concat_ws(",", *(F.col(v).cast("string") for v in values)).cast("binary"))))      # read once a level
+    rows = (classes.groupBy("stream", *by).agg(F.sum("m").alias("n")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("node", F.lit(""))
+            .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "stream", "rep"))      # little data, much work
+    key = F.concat_ws(":", F.lit(str(seed)), "stream", "rep")
+    for level in range(depth + 1):
+        node, leaf = F.substring("id", 1, level), level == depth
+        found = classes if leaf else classes.groupBy("stream", F.substring("id", 1, level + 1).alias("id")).agg(F.sum("m").alias("m"))
+        kept = ["id", "m", *(values if leaf else [])]
+        children = found.groupBy("stream", node.alias("node")).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("children"))
+        dealt = rows.join(children, ["stream", "node"]).withColumn("counts", draws.multinomial(F.col("n"), F.col("children"), key))
+        dealt = dealt.select("stream", *by, "rep", F.explode(F.arrays_zip("children", "counts")).alias("c")).where("c.counts > 0")
+        rows = dealt.select("stream", *by, "rep", F.col("c.children.id").alias("node"), F.col("c.counts").alias("n"), *(F.col(f"c.children.{v}").alias(v) for v in values if leaf))
+    return rows.groupBy(*by, "rep").agg(*(F.sum(F.col("n") * F.col(v)).alias(v) for v in values))
+
+
+def _intervals(points: DataFrame, drawn: DataFrame, by: list[str], confidence: float) -> DataFrame:
+    """Percentile intervals of num / den over the replicates whose denominator is not empty."""
+    ranked = drawn.where("den > 0").groupBy(*by).agg(F.array_sort(F.collect_list(F.col("num") / F.col("den"))).alias("v"))       # one ratio per replicate
     tail = (1 - confidence) / 2
-    point = classes.groupBy("_group", *by).agg(ratio(F.sum(F.col("num") * F.col("m")), F.sum(F.col("den") * F.col("m"))).alias("point"),
-                                               F.sum("m").alias("n_clusters"))
-    return (point.join(ranked, "_group", "left")
-            .select(*by, "n_clusters", "point", stats.index_percentile(F.col("v"), tail).alias("ci_low"),
-                    stats.index_percentile(F.col("v"), 1 - tail).alias("ci_high")))
+    met = points.join(ranked, by, "left") if by else points.join(ranked)
+    return met.select(*by, "n_clusters", "point", stats.index_percentile(F.col("v"), tail).alias("ci_low"), stats.index_percentile(F.col("v"), 1 - tail).alias("ci_high"))
+
+
+def bootstrap_ratio(clusters: DataFrame, by: list[str], num: str, den: str, replicates: int, seed: int, confidence: float) -> DataFrame:
+    """Percentile interval of sum(num)/sum(den) from resampling clusters, for each group of ``by``."""
+    named = clusters.select(*by, F.col(num).alias("num"), F.col(den).alias("den"))
+    points = named.groupBy(*by).agg(ratio(F.sum("num"), F.sum("den")).alias("point"), F.count("*").alias("n_clusters"))
+    return _intervals(points, resampled(named, by, ["num", "den"], replicates, seed), by, confidence)
 
 
 def bootstrap(claims: DataFrame, reg: Registry, upper: bool = False, replicates: int | None = None) -> DataFrame:
-    """Intervals of the corpus rates, resampling roots."""
+    """Intervals of the corpus rates, resampling roots; one set of draws serves all rates."""
     cfg = reg.analysis["bootstrap"]
-    clusters = cluster_counts(claims, reg, upper)
-    long = clusters.select(F.explode(F.array(*[
-        F.struct(F.lit(s).alias("statistic"), F.col(n).alias("num"), F.col(d).alias("den")) for s, (n, d) in RATES.items()])).alias("r")).select("r.*")
-    return bootstrap_ratio(long, ["statistic"], "num", "den", replicates or cfg["replicates"], cfg["seed"], cfg["confidence"])
+    counts = ["subjects", "multi", "exact", "refined", "opposed"]
+    clusters = written(cluster_counts(claims, reg, upper).select(*counts))
+    rates = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(n).alias("num"), F.col(d).alias("den")) for s, (n, d) in RATES.items()])).alias("r")
+    points = clusters.agg(*(F.sum(c).alias(c) for c in counts), F.count("*").alias("n_clusters")).select("n_clusters", rates).select("n_clusters", "r.*")
+    points = points.select("statistic", "n_clusters", ratio(F.col("num"), F.col("den")).alias("point"))
+    drawn = resampled(clusters, [], counts, replicates or cfg["replicates"], cfg["seed"]).select(rates).select("r.*")
+    return _intervals(points, drawn, ["statistic"], cfg["confidence"])
 
 
 def anchor_intervals(claims: DataFrame, truth: DataFrame, reg: Registry, replicates: int | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 """Rounding rules, intervals, resampling, metric records, pages."""
+import math
+
 import pytest
 from conftest import by, day, one
 from pyspark.sql import functions as F
 
-from attestra.functions import stats
+from attestra.functions import draws, stats
 from attestra.operators import anchors, explore, inheritance, metrics, verification as V
 from attestra.operators.subjects import subject_table
 
@@ -44,6 +46,37 @@ def test_resampling_is_exact_where_it_can_be(spark, make, reg):
     assert up["multi_source_rate"]["n_clusters"] == 17 and up["exact"]["point"] == 46 / 70
 
 
+def test_binomial_draws_have_the_exact_distribution(spark):
+    cases = [(1, .5), (9, .3), (20, .45), (1000, .004), (1000, .02), (300, .93), (10 ** 12, 1e-12), (10 ** 9, .37)]
+    rows = spark.createDataFrame([(float(n), p) for n, p in cases], "n double, p double").join(spark.range(20000))
+    drawn = rows.select("n", "p", draws.binomial(F.col("n"), F.col("p"), F.concat_ws(":", F.lit("7"), "n", "p", "id")).alias("k"))
+    for r in drawn.groupBy("n", "p").agg(F.avg("k").alias("mean"), F.variance("k").alias("var"), F.min("k").alias("low"), F.max("k").alias("high")).collect():
+        mean, var = r["n"] * r["p"], r["n"] * r["p"] * (1 - r["p"])
+        assert abs(r["mean"] - mean) < 5 * (var / 20000) ** .5 and abs(r["var"] / var - 1) < .06 and 0 <= r["low"] <= r["high"] <= r["n"]
+    # each probability of a small and of a middling binomial, the second by rejection
+    for n, p in ((9, .3), (300, .93)):
+        seen = {int(r["k"]): r["count"] for r in drawn.where((F.col("n") == n) & (F.col("p") == p)).groupBy("k").count().collect()}
+        for k in range(n + 1):
+            want = 20000 * math.comb(n, k) * p ** k * (1 - p) ** (n - k)
+            assert abs(seen.get(k, 0) - want) <= 5 * max(want, 1) ** .5
+    fixed = spark.range(3).select(draws.binomial(F.lit(0.0), F.lit(.5), F.lit("a")), draws.binomial(F.lit(7.0), F.lit(0.0), F.lit("a")), draws.binomial(F.lit(7.0), F.lit(1.0), F.lit("a")))
+    assert {tuple(r) for r in fixed.collect()} == {(0.0, 0.0, 7.0)}
+
+
+def test_resampling_draws_as_many_clusters_as_there_are(spark):
+    clusters = spark.createDataFrame([(g, i % k, 1) for g, k, n in (("a", 50, 700), ("b", 1, 3), ("c", 400, 400)) for i in range(n)], "g string, v int, one int")
+    got = anchors.resampled(clusters, ["g"], ["v", "one"], 200, 5).collect()
+    assert len(got) == 600 and {(r["g"], r["one"]) for r in got} == {("a", 700.0), ("b", 3.0), ("c", 400.0)}
+    v = [r["v"] for r in got if r["g"] == "c"]
+    mean, var = 400 * 199.5, 400 * (400 ** 2 - 1) / 12
+    assert abs(sum(v) / 200 - mean) < 4 * (var / 200) ** .5 and .7 < sum((x - mean) ** 2 for x in v) / 200 / var < 1.4
+    again = anchors.resampled(clusters.repartition(7), ["g"], ["v", "one"], 200, 5).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    deep = anchors.resampled(clusters, ["g"], ["v", "one"], 20, 5, depth=0).collect()
+    assert {(r["g"], r["one"]) for r in deep} == {("a", 700.0), ("b", 3.0), ("c", 400.0)}
+    assert anchors.resampled(clusters.limit(0), [], ["v"], 5, 1).count() == 0
+
+
 def test_anchors_exclude_their_own_root(spark, make, reg):
     truth = spark.createDataFrame([("1", "ransom", "ofac_sdn"), ("2", "cex", "ofac_sdn"), ("3", "nonsense", "ofac_sdn"), ("4", "cex", "ofac_sdn")], "address string, label string, root string")
     claims = make([dict(address="1", source="a", canon="ransomware", root="ofac_sdn"), dict(address="1", source="b", canon="ransomware", root="x"), dict(address="1", source="b", canon="scam", root="y"),

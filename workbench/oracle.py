@@ -75,7 +75,7 @@ _KIND = "CASE outcome WHEN 'licit/illicit conflict' THEN 'polarity' WHEN 'entity
 
 def _claims(body: str, *more: str, source: str = W.OBSERVATIONS) -> str:
     pre = CLAIMS % {"obs": W.for_duckdb(source), "day": _DAY}
-    return "WITH " + ",\n".join([pre, *more]) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join([pre, *more]) + "\n" + body
 
 
 def _subjects(body: str, *more: str, source: str = W.OBSERVATIONS) -> str:
@@ -372,6 +372,46 @@ kinds AS (SELECT *, list_filter(b, lambda x: x IS NOT NULL) AS blockers, CASE WH
             WHEN len(list_filter(b, lambda x: x IS NOT NULL AND x <> 'needs_confirmation')) > 0 THEN 'blocked' WHEN len(list_filter(b, lambda x: x IS NOT NULL)) > 0 THEN 'needs_confirmation' ELSE 'ready' END AS table_status FROM blocked)"""
 
 
+def resampling(classes: str, values: list[str], seed: int, replicates: int) -> str:
+    """The statement ``drawn`` (stream, rep, sums of the values): multinomial draws as chains of binomials down a tree of two hexadecimal digits, each binomial found
+    by inversion or by transformed rejection with the logarithms of factorials.  ``classes`` is a query of (stream, values, m)."""
+    number = lambda text, at: f"(CAST('0x' || substr(md5({text}), {at}, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+    start = "{'k': 0.0::DOUBLE, 'u': u0, 'f': exp(lft * ln(1 - q)), 'done': false}"
+    inverted = (f"list_reduce(list_transform(range(66), lambda i: {start}), lambda s, x: CASE WHEN s.done THEN s WHEN s.u <= s.f THEN {{'k': s.k, 'u': s.u, 'f': s.f, 'done': true}} "
+                "ELSE {'k': s.k + 1, 'u': s.u - s.f, 'f': s.f * q / (1 - q) * (lft - s.k) / (s.k + 1), 'done': false} END).k")
+    odds = "(lgamma(mode + 1) + lgamma(lft - mode + 1) - lgamma(t.k + 1) - lgamma(lft - t.k + 1) + (t.k - mode) * ln(q / (1 - q)))"
+    tried = ("list_transform([{'u': " + number("key || ':' || CAST(CAST(i AS INTEGER) AS VARCHAR)", 1) + " - 0.5, 'v': " + number("key || ':' || CAST(CAST(i AS INTEGER) AS VARCHAR)", 14) + "}], "
+             "lambda r: {'us': 0.5 - abs(r.u), 'v': r.v, 'k': floor((2 * a / (0.5 - abs(r.u)) + b) * r.u + lft * q + 0.5)})[1]")
+    accepted = (f"list_reduce(list_prepend(CAST(NULL AS DOUBLE), list_transform(range(1, 41), lambda i: CAST(i AS DOUBLE))), lambda got, i: CASE WHEN got IS NOT NULL THEN got ELSE list_transform([{tried}], lambda t: "
+                f"CASE WHEN t.k < 0 OR t.k > lft THEN NULL WHEN t.us >= 0.07 AND t.v <= 0.92 - 4.2 / b THEN t.k WHEN ln(t.v * alpha / (a / (t.us * t.us) + b)) <= {odds} THEN t.k END)[1] END)")
+    out = [f"classes AS (SELECT *, md5(concat_ws(',', {', '.join(values)})) AS id FROM ({classes}))",
+           f"walk0 AS (SELECT stream, CAST('' AS VARCHAR) AS id, rep, CAST(n AS DOUBLE) AS k FROM (SELECT stream, sum(m) AS n FROM classes GROUP BY stream) CROSS JOIN range({replicates}) r(rep))"]
+    for level in range(3):
+        child = "id" if level == 2 else f"substr(id, 1, {level + 1})"
+        out.append(f"""nodes{level + 1} AS (SELECT stream, node, id, CAST(m AS DOUBLE) AS m, row_number() OVER w AS idx, CAST(sum(m) OVER (PARTITION BY stream, node ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS rest
+            FROM (SELECT stream, substr(id, 1, {level}) AS node, {child} AS id, sum(m) AS m FROM classes GROUP BY ALL) WINDOW w AS (PARTITION BY stream, node ORDER BY id))""")
+        out.append(f"""steps{level + 1}(stream, node, rep, idx, id, lft, k) AS (
+            SELECT stream, id, rep, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), k, CAST(0 AS DOUBLE) FROM walk{level} WHERE k > 0
+            UNION ALL
+            SELECT stream, node, rep, idx, id, lft - k, k FROM (
+              SELECT *, CASE WHEN lft <= 0 OR p <= 0 THEN 0 WHEN p >= 1 THEN lft WHEN p > 0.5 THEN lft - kk ELSE kk END AS k FROM (
+                SELECT *, CASE WHEN lft <= 0 OR q <= 0 THEN 0 WHEN lft * q < 10 THEN least(lft, {inverted}) ELSE coalesce({accepted}, mode) END AS kk FROM (
+                  SELECT *, {number("key || ':0'", 1)} AS u0, -0.0873 + 0.0248 * b + 0.01 * q AS a, (2.83 + 5.1 / b) * sqrt(lft * q * (1 - q)) AS alpha, floor((lft + 1) * q) AS mode FROM (
+                    SELECT *, 1.15 + 2.53 * sqrt(lft * q * (1 - q)) AS b FROM (
+                      SELECT w.stream, w.node, w.rep, x.idx, x.id, w.lft, x.m / x.rest AS p, least(x.m / x.rest, 1 - x.m / x.rest) AS q, '{seed}:' || w.stream || ':' || w.rep || ':' || x.id AS key
+                      FROM steps{level + 1} w JOIN nodes{level + 1} x ON x.stream = w.stream AND x.node = w.node AND x.idx = w.idx + 1)))))),
+          walk{level + 1} AS (SELECT stream, id, rep, k FROM steps{level + 1} WHERE k > 0)""")
+    sums = ", ".join(f"sum(w.k * c.{v}) AS {v}" for v in values)
+    out.append(f"drawn AS (SELECT w.stream, w.rep, {sums} FROM walk3 w JOIN classes c ON c.stream = w.stream AND c.id = w.id GROUP BY w.stream, w.rep)")
+    return ",\n".join(out)
+
+
+def intervals(rate: str) -> str:
+    """(stream, lo, hi) of a rate over the draws."""
+    return (f"SELECT stream, v[1 + CAST(floor(0.025 * (len(v) - 1)) AS INTEGER)] AS lo, v[1 + CAST(floor(0.975 * (len(v) - 1)) AS INTEGER)] AS hi "
+            f"FROM (SELECT stream, list({rate} ORDER BY {rate}) FILTER ({rate} IS NOT NULL) AS v FROM drawn GROUP BY stream)")
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["claims_normalised"] = _claims("""SELECT claim_seq, subject, address AS raw_address, source, canon, root, resolved AS prov_resolved, native AS prov_native, verified AS prov_verified,
@@ -547,6 +587,20 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT a.address, a.canon, count(*) FILTER (WHERE m.root = a.anchor_root) AS s, count(*) FILTER (WHERE m.root <> a.anchor_root) AS i FROM anchor a LEFT JOIN met m USING (address) GROUP BY ALL))""", TRUTH)
     q["anchor_root_histogram"] = _claims("SELECT n_roots, count(*) AS n_anchors FROM (SELECT address, count(DISTINCT CASE WHEN resolved THEN root END) AS n_roots FROM indep GROUP BY address) GROUP BY 1", TRUTH)
     cols = "CAST(count(DISTINCT k) AS BIGINT) AS n_clusters, count(*) AS subjects, count(*) FILTER (WHERE m) AS multi, count(*) FILTER (WHERE m AND outcome = 'exact') AS exact, count(*) FILTER (WHERE m AND outcome = 'hierarchical refinement') AS refined, count(*) FILTER (WHERE m AND outcome = 'licit/illicit conflict') AS opposed"
+    cl = "cl AS (SELECT s.subject, s.outcome, s.n_sources >= 2 AS m, d.root, d.resolved FROM subjects s JOIN dominant d USING (subject))"
+    cfg = Registry.load().analysis["bootstrap"]
+    for name, unit in (("bootstrap_pooled", "root"), ("bootstrap_separate", "CASE WHEN resolved THEN root ELSE 'u:' || subject END")):
+        clusters = f"""clusters AS (SELECT count(*) AS subjects, count(*) FILTER (WHERE m) AS multi, count(*) FILTER (WHERE m AND outcome = 'exact') AS exact, count(*) FILTER (WHERE m AND outcome = 'hierarchical refinement') AS refined,
+            count(*) FILTER (WHERE m AND outcome = 'licit/illicit conflict') AS opposed FROM cl GROUP BY {unit})"""
+        rates = " UNION ALL ".join(f"SELECT '{stat}' AS statistic, (SELECT count(*) FROM clusters) AS n_clusters, (SELECT sum({num}) / sum({den}) FROM clusters) AS point, lo AS ci_low, hi AS ci_high FROM ({intervals(f'{num} / nullif({den}, 0)')})"
+                                   for stat, num, den in (("multi_source_rate", "multi", "subjects"), ("exact", "exact", "multi"), ("hierarchical refinement", "refined", "multi"), ("licit/illicit conflict", "opposed", "multi")))
+        q[name] = _subjects(rates, DOMINANT, cl, clusters, resampling("SELECT '' AS stream, *, count(*) AS m FROM clusters GROUP BY ALL", ["subjects", "multi", "exact", "refined", "opposed"], cfg["seed"], cfg["replicates"]))
+    per_root = """per_root AS (SELECT source, root, any_value(known) AS known, count(*) AS den, count(*) FILTER (WHERE outcome = 'exact') AS num FROM decided
+        WHERE anchor_canon IS NOT NULL AND label IS NOT NULL AND label <> 'unknown' GROUP BY source, root),
+        kept_roots AS (SELECT * FROM per_root WHERE source IN (SELECT source FROM per_root GROUP BY source HAVING count(*) FILTER (WHERE known) >= 2))"""
+    q["anchor_intervals"] = _claims(f"""SELECT p.source, n_clusters, point, lo AS ci_low, hi AS ci_high FROM (SELECT source, count(*) AS n_clusters, sum(num) / nullif(sum(den), 0) AS point FROM kept_roots GROUP BY source) p
+        LEFT JOIN ({intervals("num / nullif(den, 0)")}) i ON i.stream = p.source""", TRUTH, per_root,
+        resampling("SELECT source AS stream, num, den, count(*) AS m FROM kept_roots GROUP BY ALL", ["num", "den"], cfg["seed"], cfg["replicates"]))
     q["bootstrap_points"] = _subjects(f"SELECT 'pooled' AS bound, {cols} FROM (SELECT *, root AS k FROM cl) UNION ALL SELECT 'separate', {cols} FROM (SELECT *, CASE WHEN resolved THEN root ELSE 'u:' || subject END AS k FROM cl)",
                                       DOMINANT, "cl AS (SELECT s.subject, s.outcome, s.n_sources >= 2 AS m, d.root, d.resolved FROM subjects s JOIN dominant d USING (subject))")
     srcs = "srcs AS (SELECT subject, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT DISTINCT subject, source FROM claims) GROUP BY subject)"
