@@ -132,9 +132,8 @@ def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str |
     df = first.withColumns({"_address": cell(raw), "row_chain": chain, "_label": label, "_split": split_cell})
     df = df.withColumn("trimmed", F.col("_address") != raw)
     df = df.withColumn("state", identifiers.checksum_state(F.when(F.col("row_chain").isin(reg.evm_chains), F.col("_address"))))
-    bitcoin = F.col("row_chain").isin([c for c, s in reg.chains.items() if s["family"] == "bitcoin"])
-    valid = F.when(bitcoin, identifiers.bitcoin_valid(F.when(bitcoin, F.col("_address")))) \
-        .otherwise(F.coalesce(F.col("state").isin("not_encoded", "valid"), F.lit(False)))
+    valid = F.when(F.col("row_chain").isin(reg.evm_chains), F.coalesce(F.col("state").isin("not_encoded", "valid"), F.lit(False))) \
+        .otherwise(identifiers.address_valid(reg, F.col("row_chain"), F.col("_address"), without=("evm",)))
     df = df.withColumns({"_ok": valid, "checked": (F.col("_address") != "") & F.col("row_chain").isNotNull()})
     reason = (F.when(F.col("_address") == "", REASONS[1]).when(F.col("row_chain").isNull(), REASONS[2])
               .when(~F.col("_ok"), REASONS[3]))

@@ -6,9 +6,14 @@ here is ever shipped to executors as data.
 """
 from __future__ import annotations
 
+import dataclasses
 import functools
 import pathlib
-from dataclasses import dataclass
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column
 
 try:
     import yaml
@@ -109,6 +114,15 @@ def _source_rule(name: str, spec: dict) -> SourceRule:
     return SourceRule(**base)
 
 
+@dataclass(frozen=True)
+class Family:
+    """How the identifiers of a group of chains are told and spelled: functions of a Column of trimmed cells.  A check that Spark cannot express may
+    be a vectorised UDF inside ``address``; null counts as invalid."""
+    address: Callable[[Column], Column]
+    transaction: Callable[[Column], Column]
+    spelled: Callable[[Column], Column] | None = None
+
+
 @dataclass(frozen=True)
 class Registry:
     categories: dict[str, Category]
@@ -119,6 +133,18 @@ class Registry:
     intake: dict
     adapters: dict
     unknown: str = "unknown"
+    families: dict[str, Family] = field(default_factory=dict)
+
+    def with_family(self, name: str, family: Family, chains: dict[str, list[str]]) -> "Registry":
+        """A registry that also knows a family and its chains ({chain: names it goes by}); validation, profiling, intake and naming pick both up."""
+        if name in ("evm", "bitcoin") or (taken := set(chains) & set(self.chains)):
+            raise ValueError(f"already there: {name if name in ('evm', 'bitcoin') else ', '.join(sorted(taken))}")
+        plain = {c: [re.sub("[^a-z0-9]+", "_", a.lower()).strip("_") for a in aliases] for c, aliases in chains.items()}
+        names = [a for aliases in plain.values() for a in aliases]
+        if clash := sorted(set(names) & set(self.chain_aliases) | {a for a in names if names.count(a) > 1}):
+            raise ValueError(f"names of two chains: {', '.join(clash)}")
+        known = {**self.intake["chains"], **{c: {"family": name, "aliases": aliases} for c, aliases in plain.items()}}
+        return dataclasses.replace(self, intake={**self.intake, "chains": known}, families={**self.families, name: family})
 
     @classmethod
     def load(cls, directory: str | pathlib.Path | None = None, sources: dict | None = None) -> "Registry":

@@ -13,7 +13,7 @@ from attestra.functions.text import cell
 from attestra.operators import (agreement, anchors, claims as claim_ops, currency, explore, inheritance, lineage, metrics, overlap,
                                 preflight, profiling, relational, roots, subjects, target, trust, validation, verdict, verification)
 from attestra.plans import corpus_audit, upload_audit
-from attestra.registry import _source_rule
+from attestra.registry import Family, _source_rule
 from attestra.sinks import writers
 from attestra.sources import adapters, readers
 from workbench import workload as W
@@ -661,13 +661,45 @@ def checksum_states(s, d):
     return validated(s, d).checksum_states(REG)
 
 
-@query("VAL5 UDF3 PRF2")
+@query("VAL5 PRF2")
 def identifier_checks(s, d):
-    """Every checksum over every line item, whose part number picks a published vector."""
-    vectors = F.array(*[F.struct(F.lit(c).alias("chain"), F.lit(v).alias("value")) for c, v, _, _ in W.VECTORS])
-    rows = W.tables(s, d, "lineitem")["lineitem"].select(F.element_at(vectors, (F.col("l_partkey") % len(W.VECTORS) + 1).cast("int")).alias("v"), "l_quantity").select("v.*", "l_quantity")
-    return (rows.withColumns({"valid": identifiers.address_valid(REG, F.col("chain"), F.col("value")), "state": identifiers.checksum_state(F.col("value"))})
-            .groupBy("chain", "value", "valid", "state").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")))
+    """Every line item's own identifier, spelled with its checksum and in part broken, checked again and decoded."""
+    hex40, kind = F.col("hex40"), F.col("kind")
+    rows = W.load(s, d, W.IDENTIFIERS)
+    body = F.unhex(hex40)
+    right = identifiers.mixed_case(F.when(kind < 2, hex40))
+    last = lambda v, a, b: F.concat(v.substr(F.lit(1), F.length(v) - 1), F.when(v.endswith(a), b).otherwise(a))
+    legacy = identifiers.base58check(F.when(kind.isin(3, 4, 7), F.concat(F.unhex(F.when(kind == 4, "05").otherwise("00")), body)))
+    witness = identifiers.segwit(F.when(kind.isin(5, 6), kind - 5).cast("int"), F.when(kind == 5, body).when(kind == 6, F.concat(body, F.substring(body, 1, 12))))
+    made = rows.withColumns({"right": right, "legacy": legacy, "witness": witness})
+    made = made.withColumn("value", F.when(kind == 0, F.concat(F.lit("0x"), "right")).when(kind == 1, F.concat(F.lit("0x"), F.translate("right", "abcdefABCDEF", "ABCDEFabcdef")))
+                           .when(kind == 2, F.concat(F.lit("0x"), hex40)).when(kind.isin(3, 7), F.col("legacy")).when(kind == 4, last(F.col("legacy"), "2", "3"))
+                           .when(kind == 5, F.col("witness")).otherwise(last(F.col("witness"), "q", "p")))
+    chain = F.element_at(F.array(*(F.lit(c) for c, _, _ in W.IDENTIFIER_KINDS)), (kind + 1).cast("int"))
+    payload = F.substring(identifiers.base58_payload(F.when(kind.isin(3, 7), F.col("value"))), 2, 20)
+    judged = made.select("kind", chain.alias("chain"), "value", "hex40", "l_quantity", identifiers.address_valid(REG, chain, F.col("value")).alias("valid"),
+                         identifiers.checksum_state(F.col("value")).alias("state"), (payload == body).alias("decoded"))
+    return (judged.groupBy("kind", "chain", "valid", "state")
+            .agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"), F.count_if("decoded").alias("n_decoded"), F.sum("l_quantity").alias("quantity")))
+
+
+def ledger_family() -> Family:
+    """Records of a ledger: fifteen characters that are 1 modulo 97 behind their letters; case does not matter."""
+    fits = lambda v: F.upper(v).rlike(r"\AORD[0-9]{12}\z") & (F.substring(v, 4, 12).try_cast("bigint") % 97 == 1)
+    return Family(fits, lambda v: F.lit(False), F.upper)
+
+
+@query("UDF3 VAL4 PRF2 PRJ4")
+def registered_family(s, d):
+    """A family that the library does not know, registered and then validated, profiled and spelled like any other."""
+    reg = REG.with_family("order_ledger", ledger_family(), {"orders": ["ledger", "order ledger"]})
+    rows = W.load(s, d, W.LEDGER)
+    v = validation.validate(rows, {**{r: None for r in W.UPLOAD_MAPPING}, "address": "account", "chain": "network", "label": "label"}, reg, None)
+    named = v.judged.where("reason IS NULL").agg(F.count_distinct(identifiers.canonical_identifier(reg, F.col("row_chain"), F.col("account"))).alias("n_subjects"),
+                                                 F.count_if(identifiers.canonical_identifier(reg, F.col("row_chain"), F.col("account")) != F.col("account")).alias("n_respelled"))
+    share = profiling.column_profiles(profiling.column_cells(rows.select("row_id", "account")), reg).select(F.round("address_order_ledger", 6).alias("share"))
+    found = preflight.survey({"ledger": rows}, reg).tables.select("subject", "chain_status", "dataset_type", F.col("chain").alias("found_chain"))
+    return v.per_chain().join(named).join(share).join(found)                # one row each
 
 
 @query("VAL4")

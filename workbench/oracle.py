@@ -666,9 +666,12 @@ def oracle_sql() -> dict[str, str]:
     st = "SELECT row_chain AS chain, CASE WHEN regexp_full_match(addr, '0x[0-9a-fA-F]{40}') THEN 'not_encoded' ELSE 'not_an_address' END AS state, count(*) AS n_rows FROM judged WHERE addr <> '' AND row_chain IS NOT NULL AND row_chain <> 'bitcoin' GROUP BY ALL"
     q["checksum_states"] = U(st)
     sql = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper()      # noqa: E731
-    vectors = ", ".join(f"({k}, {', '.join(map(sql, v))})" for k, v in enumerate(W.VECTORS))
-    q["identifier_checks"] = f"""SELECT chain, value, valid, state, count(*) AS n, sum(l_quantity) AS quantity
-        FROM lineitem JOIN (VALUES {vectors}) v(k, chain, value, valid, state) ON l_partkey % {len(W.VECTORS)} = k GROUP BY ALL"""
+    known = ", ".join(f"({k}, '{c}', {str(v).lower()}, {'NULL' if st is None else repr(st)})" for k, (c, v, st) in enumerate(W.IDENTIFIER_KINDS))
+    q["identifier_checks"] = f"""SELECT i.kind, chain, valid, state, count(*) AS n, count(DISTINCT hex40) AS n_values, count(*) FILTER (WHERE i.kind IN (3, 7)) AS n_decoded, sum(l_quantity) AS quantity
+        FROM ({W.for_duckdb(W.IDENTIFIERS)}) i JOIN (VALUES {known}) k(kind, chain, valid, state) ON i.kind = k.kind GROUP BY ALL"""
+    q["registered_family"] = """SELECT 'orders' AS chain, count(*) AS checked, count(*) FILTER (WHERE bad) AS invalid, count(*) FILTER (WHERE NOT bad) AS valid_rows, count(*) FILTER (WHERE NOT bad) / count(*) AS valid_share,
+        count(*) FILTER (WHERE NOT bad) AS n_subjects, count(*) FILTER (WHERE NOT bad AND o_orderkey % 7 = 0) AS n_respelled, round(count(*) FILTER (WHERE NOT bad) / count(*), 6) AS share,
+        'account' AS subject, 'determined' AS chain_status, 'attribution_claims' AS dataset_type, 'orders' AS found_chain FROM (SELECT *, o_orderkey % 10 = 0 AS bad FROM orders)"""
     q["validation_limitations"] = U(f"""SELECT chain, 'identifiers_failed' AS limitation, invalid AS n_rows FROM ({chk}) WHERE invalid / checked > 0.7
         UNION ALL SELECT chain, 'no_checksum_encoded', n_rows FROM ({st}) WHERE state = 'not_encoded'""")
     q["validation_floor"] = U("""SELECT *, (n_checked - n_invalid) / n_checked AS valid_identifier_share, (n_checked - n_invalid) / n_checked >= 0.3 AS passes FROM (SELECT count(*) FILTER (WHERE addr <> '' AND row_chain IS NOT NULL) AS n_checked,
