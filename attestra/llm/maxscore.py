@@ -7,8 +7,8 @@ those that remain competitive are probed on the others, term by term.  Shards gi
 
 Queries are dealt into blocks and candidates into shards by hashes, each of a set size, and every block of queries meets every
 shard: a group of the two is one unit of work, and no pair of vectors is ever a row.  Vectors that are null, empty or hold null or non-finite components take no part.
-Equal rows count once; an id with several different vectors is several candidates, and as a query its smallest vector is
-taken.  A null id is a candidate that ties last, never a query.  Shorter vectors count as filled up with zeros.  An empty table
+Every row is a candidate and, if its id is asked, a query of its own, also where rows or ids repeat: a query leaves out its own row only, and is ranked by
+itself.  A null id is a candidate that ties last, never a query.  Shorter vectors count as filled up with zeros.  An empty table
 gives no rows.  Columns besides id and vector are left out.
 """
 from __future__ import annotations
@@ -24,15 +24,15 @@ NULL_ID = 2 ** 63 - 1
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """Distinct (id, floor(scale * x)) of the vectors that take part."""
+    """(id, floor(scale * x)) of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.when(ok, F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x).cast("bigint"))).alias("v"))
-            .where("v IS NOT NULL").distinct())
+            .where("v IS NOT NULL"))
 
 
-def shard_top(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, step: int = 4096, group: int = 8) -> list[tuple[int, int, int]]:
-    """(query, id, score) of the k best of a shard for each query; ties to the smaller id; a query's own id is left out.
+def shard_top(query_rows: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, step: int = 4096, group: int = 8) -> list[tuple[int, int, int]]:
+    """(query row, id, score) of the k best of a shard for each query; ties to the smaller id; a query's own row is left out.
 
     A term's contribution above its lower bound is never negative and at most its ``spread``.  The longest tail of terms whose
     spreads add up to less than the k-th best score (above all lower bounds) is non-essential.  Bounds are float64 with a
@@ -42,7 +42,7 @@ def shard_top(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarr
     high, low = m.max(axis=0).astype(np.float64), m.min(axis=0).astype(np.float64)
     postings = np.ascontiguousarray(m.T, np.float64)
     out = []
-    for own, v in zip(query_ids.tolist(), q):
+    for own, v in zip(query_rows.tolist(), q):
         vd = v.astype(np.float64)
         upper, lower = np.maximum(vd * high, vd * low), np.minimum(vd * high, vd * low)
         order = np.argsort(lower - upper, kind="stable")                         # largest spread first
@@ -67,7 +67,7 @@ def shard_top(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarr
                 keep = partial + most[min(j + group, width)] >= bar
                 alive, partial = alive[keep], partial[keep]
             found = alive + at
-            found = found[ids[found] != own]
+            found = found[rows[found] != own]
             if len(found):
                 s, i = np.concatenate([top_s, m[found] @ v]), np.concatenate([top_i, ids[found]])
                 first = np.lexsort((i, -s))[:k]
@@ -76,32 +76,35 @@ def shard_top(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarr
     return out
 
 
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own = t.column("row").to_numpy()
     ids = np.array([NULL_ID if i is None else i for i in t.column("vec_id").to_pylist()], np.int64)
     rows = t.column("v").combine_chunks()
     sizes = np.diff(rows.offsets.to_numpy())
     m = np.zeros((len(ids), sizes.max(initial=0)), np.int64)
     m[np.arange(m.shape[1])[None, :] < sizes[:, None]] = rows.flatten().to_numpy()
-    return ids, m
+    return own, ids, m
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, query_block: int = 512, shard: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, every: int = 50, query_block: int = 4096, shard: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k best of all rows for each row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
-    rows = written(integers(vectors, id_col, vector_col))
-    # one vector for an id, so that a rank has one meaning
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    # rows are numbered where they are written, so that equal ones stay apart
+    rows = written(integers(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
+    asked = written(rows.where(F.col("vec_id") % every == 0))         # a table of its own: the two sides of a cogroup must not share columns
     blocks, shards = -(-asked.count() // query_block), -(-rows.count() // shard)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(shards, 1))).cast("int")).withColumn("block", numbers(blocks))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1))).cast("int")).withColumn("shard", numbers(shards))
+    left = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(max(shards, 1))).cast("int")).withColumn("block", numbers(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(max(blocks, 1))).cast("int")).withColumn("shard", numbers(shards))
 
     def best(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
         if candidates.num_rows and queries.num_rows:
-            found = shard_top(*_matrix(queries), *_matrix(candidates), k)
-        return pa.table([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+            asking, ids, q = _matrix(queries)
+            name = dict(zip(asking.tolist(), ids.tolist()))
+            found = [(row, name[row], *rest) for row, *rest in shard_top(asking, q, *_matrix(candidates), k)]
+        return pa.table([pa.array([f[j] for f in found], pa.int64()) for j in range(4)], ["row", "query_id", "vec_id", "score"])
 
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(best, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(best, "row bigint, query_id bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return (found.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", "rank", F.when(F.col("vec_id") != NULL_ID, F.col("vec_id")).alias("vec_id"), "score"))

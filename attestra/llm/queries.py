@@ -55,6 +55,7 @@ def op6_pii(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces in as few sequences of 2048 tokens as best fit finds."""
     return packing.pack(table(spark, d, "documents"), tokenizer())
 
 
@@ -69,6 +70,7 @@ def op9_token_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_maxscore(spark: SparkSession, d: str) -> DataFrame:
+    """The five best of all other rows for every vector whose id is divisible by 50."""
     return maxscore.search(table(spark, d, "embeddings"))
 
 
@@ -110,11 +112,11 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN NULL ELSE TRUE END AS verified
         FROM f""",
     "op10_maxscore": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-                   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        WITH v AS (SELECT vec_id, row_number() OVER () AS row_, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+             s AS (SELECT q.row_ AS row_, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.row_ <> c.row_ WHERE q.vec_id % 50 = 0),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_ ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op11_url_filter": """
         WITH p AS (SELECT page_id, url, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\\??[^#]*)', ['h', 'p', 'q']) AS u FROM pages),

@@ -157,26 +157,27 @@ def test_top_k_equals_brute_force(spark):
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)], "q") for i in range(0, 700)]
     rows[50] = (50, rows[60][1], "q")
     rows += [(800, None, "q"), (801, [], "q"), (850, [1.0, None], "q"), (851, [float("nan")] * 8, "q"), (852, [float("inf")] * 8, "q"), (60, rows[60][1], "q"), (None, [9.0] * 8, "q"),
-             (900, [0.5, 0.5], "q")]
+             (900, [0.5, 0.5], "q"), (100, rows[100][1], "q"), (100, rows[60][1], "q"), (7, rows[150][1], "q"), (7, rows[150][1], "q")]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score string").repartition(3)
-    good = {(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     want = []
-    for q, v in good:
-        if q is not None and q % 50 == 0:
-            best = sorted(((-dot(v, w), 2 ** 63 if i is None else i, i) for i, w in good if i != q))[:5]
+    for own, (q, v) in enumerate(good):
+        if q is not None and q % 50 == 0:           # every other row is a candidate, equal ones and those of the same id too
+            best = sorted(((-dot(v, w), 2 ** 63 if i is None else i, str(i)) for row, (i, w) in enumerate(good) if row != own))[:5]
             want += [(q, k, i, -s) for k, (s, _, i) in enumerate(best, 1)]
     got = maxscore.search(table, query_block=4, shard=100).collect()
-    assert sorted((r["query_id"], r["rank"], str(r["vec_id"]), r["score"]) for r in got) == sorted((q, k, str(i), s) for q, k, i, s in want)
+    assert sorted((r["query_id"], r["rank"], str(r["vec_id"]), r["score"]) for r in got) == sorted(want)
+    assert [r["vec_id"] for r in got if r["query_id"] == 150].count(7) == 2
     assert maxscore.search(table.limit(0)).count() == 0
-    assert maxscore.search(table.where("vec_id = 100")).count() == 0
+    assert maxscore.search(table.where("vec_id = 200")).count() == 0
 
 
 def test_maxscore_skips_work_without_losing_ties():
     rng = np.random.default_rng(8)
     m = rng.integers(-3, 4, (3000, 12))                # many equal scores
     ids = rng.permutation(3000)
-    got = maxscore.shard_top(ids[:20], m[:20], ids, m, 5, step=64)
+    got = maxscore.shard_top(ids[:20], m[:20], ids, ids, m, 5, step=64)
     for q in range(20):
         s = m @ m[q]
         want = sorted((-int(x), int(i)) for x, i in zip(s, ids) if i != ids[q])[:5]
