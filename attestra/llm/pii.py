@@ -115,7 +115,7 @@ def candidate_spans(text: Column, base: Column) -> Column:
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), kind.alias("kind"), votes.alias("votes"), features.alias("features"))
 
     apart = F.filter(matches(text, CANDIDATE), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return F.when(text.rlike("[0-9]{2}"), F.transform(apart, judged)).otherwise(_none("start:int,end:int,kind:string,votes:array<tinyint>,features:array<string>"))
+    return F.when(text.rlike("[0-9]"), F.transform(apart, judged)).otherwise(_none("start:int,end:int,kind:string,votes:array<tinyint>,features:array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
