@@ -110,3 +110,20 @@ def sampled_column(rows: DataFrame, column: str, n: int, seed: int = 0) -> DataF
     v = F.trim(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")))
     return seeded_rows(rows.select("row_id", v.alias("value")).where("value <> ''"), n, seed).orderBy("row_id")
 
+
+def sampled_columns(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(column, row_id, value): for every column at once, the ``n`` non-empty cells whose seeded hash is smallest.
+
+    Each task keeps its ``n`` smallest of a column before anything moves, so what moves does not grow with the table; no order or split of
+    the rows changes the sample."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias("value")) for c in rows.columns if c != "row_id"))
+    long = rows.select("row_id", F.inline(cells)).where("value <> ''").withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), "column", F.col("row_id").cast("string")).cast("binary")))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("draw", "row_id"))
+    return long.withColumn("place", place).where(F.col("place") <= n).select("column", "row_id", "value")
+
+
+def sampled_pairs(rows: DataFrame, first: str, second: str, n: int, seed: int = 0) -> DataFrame:
+    """(row_id, first, second) of ``n`` rows in which both cells are filled, drawn by a seeded hash of the row."""
+    cell = lambda c: F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))
+    both = rows.select("row_id", cell(first).alias("first"), cell(second).alias("second")).where("first <> '' AND second <> ''")
+    return both.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_id").cast("string")).cast("binary")), "row_id").limit(n)

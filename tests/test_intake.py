@@ -215,3 +215,16 @@ def test_tables_are_surveyed_together_as_alone(spark, reg):
     assert {r["column"]: r["meaning"] for r in s.parts.where("table = 'd'").collect()}["address"] == "subject_address"
     roles = {r["table"]: r["role"] for r in L.table_roles(tables, reg).collect()}
     assert roles == {"a": "claim_subject", "b": "lookup_or_provenance", "c": "attribution", "d": "claim_subject", "e": "unknown"}
+
+
+def test_citations_among_long_texts_of_many_lengths(spark, make, reg):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefghij ") for _ in range(n)).strip() for n in range(3, 603)] + ["Aaa", "aaaa", "AAAAA", "ab", "İ-list", "the i̇-list of 2020", "line\nbreak here", "e\nb"]
+    long = ["".join(rnd.choice("abcdefghij ") for _ in range(10_000)) for _ in range(3)]
+    long[1] = long[1][:5000] + texts[300] + long[1][5000:]
+    long[2] = texts[1] + long[2] + texts[590]
+    rows = make([dict(address=str(i), prov_family=x) for i, x in enumerate(texts + [x.strip() for x in long])])
+    distinct = {x for x in (x.strip() for x in texts + long) if x}
+    want = {(a, b) for a in distinct for b in distinct if a != b and len(b) >= 3 and b.lower() in a.lower()}
+    assert {(r.citing, r.cited) for r in L.citations(rows.repartition(5), reg).collect()} == want and len(want) > 20
+    assert L.citations(rows.limit(0), reg).count() == 0

@@ -1,4 +1,5 @@
 """Readers and adapters on tiny files of each public shape, and what is written back."""
+import hashlib
 import gzip
 import json
 
@@ -144,3 +145,15 @@ def test_formula_cells_are_neutralised(spark):
     cells = ["=1+1", "+x", "-x", "@x", "\tx", "\rx", "x=1", "", "1-2"]
     df = wr.safe_cells(spark.createDataFrame([(c,) for c in cells] + [(None,)], "c string"))
     assert [r.c for r in df.collect()] == ["'=1+1", "'+x", "'-x", "'@x", "'\tx", "'\rx", "x=1", "", "1-2", ""]
+
+
+def test_columns_are_sampled_at_once(spark):
+    rows = spark.range(500).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, " ").otherwise(F.concat(F.lit(" v"), "id")).alias("a"), (F.col("id") * 2).cast("string").alias("b"), F.lit(None).cast("string").alias("c"))
+    got = {tuple(r) for r in R.sampled_columns(rows, 40, 9).collect()}
+    assert got == {tuple(r) for r in R.sampled_columns(rows.orderBy(F.desc("row_id")).repartition(7), 40, 9).collect()}
+    draw = lambda c, i: hashlib.md5(f"9:{c}:{i}".encode()).hexdigest()
+    want = {("a", i, f"v{i}") for i in sorted((i for i in range(500) if i % 3), key=lambda i: draw("a", i))[:40]} | {("b", i, str(2 * i)) for i in sorted(range(500), key=lambda i: draw("b", i))[:40]}
+    assert got == want
+    pairs = R.sampled_pairs(rows, "a", "b", 30, 2).collect()
+    assert len(pairs) == 30 and all(r["row_id"] % 3 and r["first"] == f"v{r['row_id']}" for r in pairs)
+    assert R.sampled_columns(rows.limit(0), 5).count() == 0

@@ -751,6 +751,18 @@ def chain_pair_sample(s, d):
     return profiling.chain_pairs(upload(s, d), "network", "wallet_address", REG)
 
 
+@query("SRC17")
+def column_sample(s, d):
+    """Two hundred cells of every column of the upload, drawn in one aggregation."""
+    return readers.sampled_columns(upload(s, d), 200, 3)
+
+
+@query("SRC17")
+def paired_sample(s, d):
+    """Two hundred rows that state both an identifier and its chain."""
+    return readers.sampled_pairs(upload(s, d), "wallet_address", "network", 200, 5)
+
+
 @query("PRF6")
 def multi_label_column(s, d):
     return profiling.multi_label(upload(s, d), "categories", REG)

@@ -685,6 +685,9 @@ def oracle_sql() -> dict[str, str]:
         (SELECT count(*) FROM a WHERE n >= 2) AS n_established_tokens, ',' AS separator)""" % W.for_duckdb(W.UPLOAD)
     up = W.for_duckdb(W.UPLOAD)
     whole = f"upl AS ({up})"
+    long_upload = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", row_id, trim({c}) AS value FROM upl WHERE trim({c}) <> ''" for c in W.UPLOAD_COLUMNS)
+    q["column_sample"] = f"""WITH upl AS ({up}), s AS ({long_upload}) SELECT "column", row_id, value FROM s QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY md5('3:' || "column" || ':' || row_id), row_id) <= 200"""
+    q["paired_sample"] = f"""WITH upl AS ({up}) SELECT row_id, trim(wallet_address) AS first, trim(network) AS second FROM upl WHERE trim(wallet_address) <> '' AND trim(network) <> '' ORDER BY md5('5:' || row_id), row_id LIMIT 200"""
     q["spread_sample"] = f"WITH upl AS ({up}) SELECT * FROM upl ORDER BY md5('0:' || CAST(row_id AS VARCHAR)), row_id LIMIT 200"
     named = """CASE network WHEN 'Ethereum' THEN 'ethereum' WHEN 'eth' THEN 'ethereum' WHEN 'Polygon-Mainnet' THEN 'polygon' WHEN 'BSC' THEN 'bnb_smart_chain'
         WHEN 'btc' THEN 'bitcoin' WHEN 'avalanche c chain' THEN 'avalanche_c' END"""
