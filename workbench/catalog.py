@@ -814,6 +814,16 @@ def adapters_build(s, d):
     return made.unionByName(rest, allowMissingColumns=True)
 
 
+@query("SRC10 UDF5")
+def tag_pack_observations(s, d):
+    """Tag packs written and read again: inherited fields, one currency, categories by word and by label, and packs that cannot be read."""
+    root = W.as_written(s, d, "packs", lambda path: W.load(s, d, W.PACKS).write.mode("overwrite").option("maxRecordsPerFile", 1).text(f"{path}/packs"))
+    found = adapters.tag_packs(s, root, REG, pattern="*.txt")
+    rows = found.rows.groupBy("canon", "prov_family", "lastmod", "subcat", "raw_label").agg(F.count("*").alias("n_rows"), F.count_distinct("address").alias("n_addresses"))
+    bad = found.warnings.groupBy(F.lit("(warning)").alias("canon"), F.col("warning").alias("prov_family")).agg(F.sum("n_rows").alias("n_rows"))
+    return rows.unionByName(bad, allowMissingColumns=True)
+
+
 @query("SRC12 SRC13 SET3")
 def values_and_anchors(s, d):
     f = _files(s, d)

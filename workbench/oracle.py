@@ -688,6 +688,13 @@ def oracle_sql() -> dict[str, str]:
     long_upload = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", row_id, trim({c}) AS value FROM upl WHERE trim({c}) <> ''" for c in W.UPLOAD_COLUMNS)
     q["column_sample"] = f"""WITH upl AS ({up}), s AS ({long_upload}) SELECT "column", row_id, value FROM s QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY md5('3:' || "column" || ':' || row_id), row_id) <= 200"""
     q["paired_sample"] = f"""WITH upl AS ({up}) SELECT row_id, trim(wallet_address) AS first, trim(network) AS second FROM upl WHERE trim(wallet_address) <> '' AND trim(network) <> '' ORDER BY md5('5:' || row_id), row_id LIMIT 200"""
+    words = Registry.load().adapters["tag_categories"]
+    by_word = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items()) + " END"
+    by_label = "CASE " + " ".join(f"WHEN contains(lower(label), '{k.replace('_', ' ')}') THEN '{v}'" for k, v in words.items()) + " END"
+    q["tag_pack_observations"] = f"""WITH t AS (SELECT pack, address, currency, category, CASE WHEN label = '' THEN 'scam list' ELSE label END AS label, CASE WHEN confidence = '' THEN 'web_crawl' ELSE confidence END AS confidence FROM ({W.for_duckdb(W.PACK_TAGS)}))
+        SELECT coalesce({by_word}, {by_label}, 'unknown') AS canon, 'tagpack:' || CASE WHEN pack % 2 = 0 THEN 'crew ' || CAST(CAST(pack % 3 AS BIGINT) AS VARCHAR) ELSE 'unknown' END AS prov_family, '2024-01-0' || CAST(CAST(pack % 9 + 1 AS BIGINT) AS VARCHAR) AS lastmod,
+          confidence AS subcat, label AS raw_label, count(*) AS n_rows, count(DISTINCT address) AS n_addresses FROM t WHERE pack % 7 <> 3 AND currency <> 'ETH' GROUP BY ALL
+        UNION ALL SELECT '(warning)', 'unreadable pack: ParserError', NULL, NULL, NULL, count(DISTINCT pack), NULL FROM t WHERE pack % 7 = 3 HAVING count(*) > 0"""
     q["spread_sample"] = f"WITH upl AS ({up}) SELECT * FROM upl ORDER BY md5('0:' || CAST(row_id AS VARCHAR)), row_id LIMIT 200"
     named = """CASE network WHEN 'Ethereum' THEN 'ethereum' WHEN 'eth' THEN 'ethereum' WHEN 'Polygon-Mainnet' THEN 'polygon' WHEN 'BSC' THEN 'bnb_smart_chain'
         WHEN 'btc' THEN 'bitcoin' WHEN 'avalanche c chain' THEN 'avalanche_c' END"""

@@ -209,6 +209,20 @@ def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _WRITTEN[key]
 
 
+# Orders as packs of up to 512 tags with defaults that tags inherit; JSON is YAML too.  Every seventh pack cannot be read.
+PACK_TAGS = """
+SELECT floor(o_orderkey / 512) AS pack, o_orderkey, 'ord' || lpad(cast(o_orderkey AS string), 20, '0') AS address, CASE o_orderkey % 5 WHEN 0 THEN 'ETH' WHEN 1 THEN 'btc' ELSE '' END AS currency,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'mixing_service' WHEN '2-HIGH' THEN 'unheard of' ELSE '' END AS category,
+       CASE o_orderstatus WHEN 'F' THEN 'a child abuse material site' WHEN 'O' THEN '' ELSE 'plain' END AS label, CASE WHEN o_orderkey % 3 = 0 THEN 'forensic' ELSE '' END AS confidence FROM {orders}
+"""
+PACKS = """
+SELECT CASE WHEN pack % 7 = 3 THEN '{{broken: [' ELSE to_json(named_struct('title', cast(pack AS string), 'creator', CASE WHEN pack % 2 = 0 THEN 'crew ' || cast(pack % 3 AS string) END, 'label', 'scam list',
+         'confidence', 'web_crawl', 'lastmod', '2024-01-0' || cast(pack % 9 + 1 AS string), 'tags', collect_list(named_struct('address', address, 'currency', currency, 'category', category, 'label', label,
+         'confidence', confidence)))) END AS value
+FROM (""" + PACK_TAGS + """) AS t GROUP BY pack
+"""
+
+
 # the same customers and orders in the file shapes the adapters read
 CLASS_FILE = """SELECT CASE WHEN c_custkey % 10 = 0 THEN 'c' || cast(c_custkey AS string) ELSE 'cust' || lpad(cast(c_custkey AS string), 20, '0') END AS address,
        cast(c_nationkey % 4 AS string) AS class FROM {customer}"""
