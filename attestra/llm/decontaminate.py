@@ -11,7 +11,8 @@ is missed; the cosine of passage and item in the latent space is reported and ra
 The benchmark is the stated query set and goes to every task, with what it needs: (items + terms) x ``rank`` numbers.
 
 Null and empty texts hold no passages, and null or empty items ask for nothing.  Rows may repeat: equal (doc_id, item_id) give one
-hit, the best one.  Ties take the first passage.  With either table empty there are no hits.  Long texts are read in slices, whole.
+hit, the best one.  Ties take the first passage.  With either table empty there are no hits.  Long texts are read in slices, whole: slices
+overlap by as much as the longest item needs.
 Columns besides ids and texts are left out.
 """
 from __future__ import annotations
@@ -75,14 +76,15 @@ def encode(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: str
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, terms binary")
 
 
-def _slices(b: pa.RecordBatch, words: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Term numbers of several rows, each filled up to whole chunks, and the row of each chunk."""
+def _slices(b: pa.RecordBatch, words: int = 100_000, shared: int = 2 * CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Term numbers of several rows, each filled up to whole chunks, and the row of each chunk.  Neighbouring slices of a long text have ``shared`` words, in
+    whole chunks, in common."""
+    shared += -shared % CHUNK
     held, rows, n = [], [], 0
     for i, raw in enumerate(b.column(1)):
         t = np.frombuffer(raw.as_buffer(), np.int32)
         for lo in range(0, len(t), words):
-            # neighbouring slices of a long text share two passages
-            part = t[max(0, lo - 2 * CHUNK):lo + words]
+            part = t[max(0, lo - shared):lo + words]
             held.append(np.pad(part, (0, -len(part) % CHUNK)))
             rows.append(np.full(len(held[-1]) // CHUNK, i))
             n += len(held[-1])
@@ -227,10 +229,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, dims: int = 4096, sketch: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, place, asked, bound = sent.value
+        # a passage is read from an item's length before it to as much behind it: some slice holds all of that
+        shared = 2 * max(len(w) for w in items.words) + 4 * CHUNK
         for b in batches:
             best: dict[tuple[int, int], tuple] = {}
             ids = b.column(0).to_pylist()
-            for flat, row in _slices(b):
+            for flat, row in _slices(b, shared=shared):
                 first = np.searchsorted(row, row) * CHUNK                  # where the row begins and ends in the slice
                 last = np.searchsorted(row, row, "right") * CHUNK
                 for i, chunks in bound(flat, first, last):

@@ -416,3 +416,17 @@ def test_pipeline_stages(spark):
     assert seen[3][1].where("n_chars <> char_length(text)").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, d, SF)
     assert ids(packed) == ids(d)
+
+
+def test_an_item_across_the_border_of_two_slices_is_found(spark):
+    rng = random.Random(12)
+    item = " ".join(f"q{rng.randint(0, 400)}" for _ in range(190)) + ". " + " ".join(f"answer{i}" for i in range(10)) + "."
+    rows = []
+    for at in (0, 50_000, 99_790, 99_850, 99_900, 99_999, 100_000, 100_050, 119_800):
+        words = [f"w{i % 977}" for i in range(120_000)]
+        words[at:at + 200] = item.split()
+        rows.append((at, " ".join(words)))
+    table = spark.createDataFrame(rows + [(1, " ".join(f"w{i % 977}" for i in range(120_000)))], "doc_id bigint, text string").repartition(4)
+    benchmark = spark.createDataFrame([(5, item), (6, "another short item of the list with words.")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["lcs_share"] for r in decontaminate.hits(table, benchmark).collect()}
+    assert set(got) == {(at, 5) for at, _ in rows} and min(got.values()) == 1.0
