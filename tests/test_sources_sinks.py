@@ -1,6 +1,6 @@
 """Readers and adapters on tiny files of each public shape, and what is written back."""
-import hashlib
 import gzip
+import hashlib
 import json
 
 import pytest
