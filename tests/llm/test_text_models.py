@@ -194,3 +194,9 @@ def test_pii_plan_has_no_python(spark):
 
 def test_words():
     assert WORD.findall("Über-Zeit a_b 12") == ["Über", "Zeit", "a_b", "12"]
+
+
+def test_candidates_need_no_two_digits_in_a_row(spark):
+    rows = spark.createDataFrame([(1, "token = aB3xK9qLm2ZpT7vRw4Ys"), (2, "token = aB3xK9qLm2ZpT7vRw4Ys 12"), (3, "no digits at all, token = abcdefghijklmnop")], "doc_id bigint, text string")
+    got = {r["doc_id"]: [(c["start"], c["end"], c["kind"]) for c in r["candidates"]] for r in pii.scan(rows).collect()}
+    assert got[1] == got[2] == [(8, 28, "secret")] and got[3] == []
