@@ -28,6 +28,16 @@ def nodes(edge_rows: DataFrame) -> DataFrame:
     return datasets.unionByName(roots)
 
 
+def measured_nodes(node_rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """Nodes with the claims and subjects found under each: a dataset's own, and those of a root or, where its name ends in a star, of the roots that begin so."""
+    said = claims.groupBy("source", "root", "subject").agg(F.count("*").alias("n"))                 # a subject counts once for each node below
+    star = F.col("label").endswith("*")
+    fits = F.when(F.col("type") == "dataset", F.col("source") == F.col("label")).when(star, F.col("root").startswith(F.expr("substring(label, 1, length(label) - 1)"))).otherwise(F.col("root") == F.col("label"))
+    under = said.join(F.broadcast(node_rows.select("type", "label")), fits)                         # as many nodes as the rules name
+    found = under.groupBy("type", "label", "subject").agg(F.sum("n").alias("n")).groupBy("type", "label").agg(F.sum("n").alias("n_claims"), F.count("*").alias("n_subjects"))
+    return node_rows.join(found, ["type", "label"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_claims", "n_subjects")})
+
+
 def annotated(edge_rows: DataFrame, decode_rows: DataFrame, residue: DataFrame, contained: DataFrame, propagated: DataFrame) -> DataFrame:
     """Edges with the evidence measured for each: decoded codes, names left in labels, containment in
     the root's owner, and how much of the root's own list reappears.  All sides are small results."""

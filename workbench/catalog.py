@@ -297,6 +297,12 @@ def lineage_edges(s, d):
     return e.select("dataset", "root", "kind", "owner", "shared_root", "decoded_subjects", "residue_claims", "contained_share", "propagated_subjects")
 
 
+@query("PRJ19")
+def lineage_nodes(s, d):
+    """Datasets and roots of the lineage with what the corpus holds under each."""
+    return lineage.measured_nodes(lineage.nodes(lineage.edges(s, REG)), corpus(s, d))
+
+
 # ------------------------------------------------------------------ currency, tiers, overview
 @query("AGG23 PRJ13")
 def freshness(s, d):

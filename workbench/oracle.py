@@ -501,6 +501,11 @@ def oracle_sql() -> dict[str, str]:
         FROM e LEFT JOIN residue r ON r.dataset = e.dataset AND r.root = e.root AND r.root <> 'unmarked'
         LEFT JOIN matrix m ON m.source = e.dataset AND m.other = e.owner AND m.intersection > 0 LEFT JOIN propagation p ON p.source = e.dataset AND p.root = e.root""",
         NAMED, PAIRS, DECODE, RESIDUE, PROPAGATION, f"e AS (SELECT col0 AS dataset, col1 AS root, col2 AS kind, col3 AS owner FROM (VALUES {values}))")
+    q["lineage_nodes"] = _claims("""SELECT n.type, n.label, n.owner, n.n_datasets, n.n_datasets > 1 AS shared, count(c.subject) AS n_claims, count(DISTINCT c.subject) AS n_subjects
+        FROM (SELECT DISTINCT 'dataset' AS type, dataset AS label, CAST(NULL AS VARCHAR) AS owner, CAST(0 AS BIGINT) AS n_datasets FROM e
+              UNION ALL SELECT CASE WHEN root IN ('elliptic_undisclosed', 'schnoering_other', 'rodwald_own_*') THEN 'root_unresolved' ELSE 'root' END, root, max(owner), count(DISTINCT dataset) FROM e GROUP BY root) n
+        LEFT JOIN claims c ON CASE WHEN n.type = 'dataset' THEN c.source = n.label WHEN ends_with(n.label, '*') THEN starts_with(c.root, rtrim(n.label, '*')) ELSE c.root = n.label END GROUP BY ALL""",
+        f"e AS (SELECT col0 AS dataset, col1 AS root, col2 AS kind, col3 AS owner FROM (VALUES {values}))")
     q["freshness"] = _claims("SELECT * FROM freshness", FRESH)
     q["tier_tally"] = _claims("SELECT source, tier, count(*) AS n_claims FROM claims GROUP BY ALL")
     q["subject_flags"] = _subjects("""SELECT subject, concat_ws(',', CASE WHEN n_sources >= 2 AND outcome IN ('licit/illicit conflict', 'entity-type conflict') THEN 'conflicting' END,
