@@ -13,10 +13,13 @@ Null texts count as empty.  A row is judged by itself, so repeated rows have equ
 Columns besides id and text are left out.  Offsets are code points, ends exclusive.  Spans of one kind never overlap; spans of
 different base kinds may, and are ordered by start, then by kind.  Patterns take possessive quantifiers where that changes
 nothing, so that a very long run of digits or name characters neither exhausts the stack nor is read over and over.
+The time for one text grows about as its length and its number of matches do: no array or text is grown match by match, places
+are running sums, and a match is met with the pieces around it instead of the whole text.
 """
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,26 +37,86 @@ PATTERNS = {
 }
 EXTRA = ("account", "identity", "local_phone", "secret")
 CANDIDATE = (r"(?<![\p{L}\p{N}_])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9](?:[ -]?+[0-9]){7,18}|"
-             r"(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,})(?![\p{L}\p{N}_])")
+             r"(?:(?<![A-Za-z0-9_-])|(?<=[^\x00-\x7F]-)|(?<=\G-))(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,})(?![\p{L}\p{N}_])")
 SENSITIVE = r"(?i)\b(?:token|key|secret|password|passwd|pwd|credential|auth|bearer|ssn|social|passport|identity|account|iban|phone|tel|mobile|call|fax|pin)\b"
 HARMLESS = r"(?i)\b(?:page|isbn|issn|version|section|chapter|year|copyright|figure|table|volume|edition|checksum|commit|build|revision)\b"
 LABELERS = ("shape", "checksum", "sensitive_word", "harmless_word", "assigned", "in_address", "among_numbers")
-REACH = 32
+REACH = 32      # characters around a candidate that labelers look at
+BLOCK = 1024    # characters
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body and its lambdas name it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """0, and what ``merge`` makes of 0 and all values up to each one.  An array grows by copying it, so values go in parts of about the
+    cube root of their number: first what each part makes, then each part from there on.  That copies n^(4/3) numbers, not n^2."""
+    def grow(start: Column, part: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda acc, x: F.array_append(acc, merge(F.element_at(acc, -1), x)))
+
+    def dealt(v: Column, width: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / width).cast("int")), lambda i: F.slice(v, i * width + 1, width))
+
+    def joined(parts: Column) -> Column:
+        made = grow(F.lit(0), F.transform(parts, lambda p: F.aggregate(p, F.lit(0), merge)))
+        return let(made, lambda m: F.concat(F.array(F.lit(0)), F.flatten(F.transform(parts, lambda p, k: F.slice(grow(F.get(m, k), p), F.lit(2), F.size(p))))))
+
+    width = lambda v: F.greatest(F.ceil(F.cbrt(2.0 * F.size(v))), F.lit(1)).cast("int")
+    return let(values, lambda v: let(width(v), lambda w: let(dealt(v, w), joined)))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """The text cut before and after each leftmost non-overlapping match: every second piece is one."""
+    return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+
+
+def _ends(pieces: Column) -> Column:
+    return running(F.transform(pieces, F.char_length), lambda a, b: a + b)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, value).  The text is marked around each match and cut at the
-    marks; every second piece is a match, and its place is the length of the pieces before."""
-    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    """Leftmost non-overlapping matches: array of (start, end, value)."""
+    def of(pieces: Column, ends: Column) -> Column:
+        placed = F.transform(pieces, lambda p, k: F.struct(F.get(ends, k).alias("start"), F.get(ends, k + 1).alias("end"), p.alias("value")))
+        return F.filter(placed, lambda _, k: k % 2 == 1)
+
+    return let(_pieces(text, pattern), lambda p: let(_ends(p), lambda e: of(p, e)))
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.char_length(piece)
-        own = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("value"))
-        return F.struct(end.alias("at"), (1 - acc["odd"]).alias("odd"), F.when(acc["odd"] == 1, F.array_append(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("odd"), none.alias("out"))
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+def matches_in_place(text: Column, pattern: str) -> Column:
+    """``matches`` with up to REACH characters before and after each.  They are taken from the pieces around it; as each match of
+    CANDIDATE has 8 characters or more, REACH / 8 matches and the pieces between them hold them."""
+    near = REACH // 4
+
+    def of(pieces: Column, ends: Column, heads: Column, tails: Column) -> Column:
+        placed = F.transform(pieces, lambda p, k: F.struct(
+            F.get(ends, k).alias("start"), F.get(ends, k + 1).alias("end"), p.alias("value"),
+            F.right(F.array_join(F.slice(tails, F.greatest(k - near + 1, F.lit(1)), F.least(k, F.lit(near))), ""), F.lit(REACH)).alias("before"),
+            F.left(F.array_join(F.slice(heads, k + 2, F.lit(near)), ""), F.lit(REACH)).alias("after")))
+        return F.filter(placed, lambda _, k: k % 2 == 1)
+
+    return let(_pieces(text, pattern), lambda p: let(_ends(p), lambda e: let(F.transform(p, lambda x: F.left(x, F.lit(REACH))), lambda h: let(
+        F.transform(p, lambda x: F.right(x, F.lit(REACH))), lambda t: of(p, e, h, t)))))
+
+
+def apart(found: Column, base: Column) -> Column:
+    """Those of ``found`` that share no character with a base span.  In the order of all starts, a match is met by a span before it that
+    ends behind its start, or by the next span, if that starts before its end."""
+    far = 2 ** 31 - 1
+
+    def free(all_: Column, before: Column, behind: Column) -> Column:
+        kept = F.filter(all_, lambda u, k: (u["place"] >= 0) & (F.get(before, k) <= u["start"]) & (far - F.get(behind, F.size(all_) - 1 - k) >= u["end"]))
+        return F.transform(kept, lambda u: F.get(found, u["place"]))
+
+    own = F.transform(found, lambda m, k: F.struct(m["start"].alias("start"), m["end"].alias("end"), k.alias("place")))
+    theirs = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(-1).alias("place")))
+    larger = lambda a, b: F.greatest(a, b)
+    met = let(F.sort_array(F.concat(own, theirs)), lambda u: let(
+        running(F.transform(u, lambda x: F.when(x["place"] < 0, x["end"]).otherwise(0)), larger), lambda before: let(
+            running(F.reverse(F.transform(u, lambda x: F.when(x["place"] < 0, far - x["start"]).otherwise(0))), larger), lambda behind: free(u, before, behind))))
+    return F.when((F.size(base) == 0) | (F.size(found) == 0), found).otherwise(met)
 
 
 def _holds(kind: str, value: Column) -> Column:
@@ -82,7 +145,7 @@ def base_spans(text: Column) -> Column:
         spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
         return F.when(may[kind], spans).otherwise(_none("start:int,rank:int,end:int,kind:string"))
 
-    return F.array_sort(F.concat(*[of(i, kind) for i, kind in enumerate(BASE)]))
+    return F.sort_array(F.concat(*[of(i, kind) for i, kind in enumerate(BASE)]))
 
 
 def _sign(plus: Column, minus: Column) -> Column:
@@ -94,12 +157,11 @@ def candidate_spans(text: Column, base: Column) -> Column:
     def judged(m: Column) -> Column:
         value = m["value"]
         digits = F.regexp_replace(value, "[^0-9]", "")
-        before = F.substring(text, F.greatest(m["start"] - REACH + 1, F.lit(1)), F.least(m["start"], F.lit(REACH)))
-        after = F.substring(text, m["end"] + 1, F.lit(REACH))
+        before, after = m["before"], m["after"]
         kind = (F.when(value.rlike("[A-Za-z_]"), "secret").when(value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "identity")
                 .when(value.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), "local_phone").otherwise("account"))
         votes = F.array(
-            _sign(((kind == "secret") & value.rlike("[0-9].*[A-Za-z].*[0-9].*[A-Za-z]")) | kind.isin("identity", "local_phone"),
+            _sign(((kind == "secret") & value.rlike("^[^0-9]*+[0-9][^A-Za-z]*+[A-Za-z][^0-9]*+[0-9][^A-Za-z]*+[A-Za-z]")) | kind.isin("identity", "local_phone"),
                   value.rlike("^(.)\\1+$") | ((kind == "account") & (F.length(digits) < 10))),
             _sign((kind == "account") & F.call_function("luhn_check", digits), (kind == "account") & ~F.call_function("luhn_check", digits)),
             _sign(before.rlike(SENSITIVE), F.lit(False)),
@@ -114,8 +176,8 @@ def candidate_spans(text: Column, base: Column) -> Column:
                            F.concat(F.lit("sign:"), F.when(before.rlike("[=:]\\s*[\"']?$"), "y").otherwise("n")))
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), kind.alias("kind"), votes.alias("votes"), features.alias("features"))
 
-    apart = F.filter(matches(text, CANDIDATE), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return F.when(text.rlike("[0-9]"), F.transform(apart, judged)).otherwise(_none("start:int,end:int,kind:string,votes:array<tinyint>,features:array<string>"))
+    free = let(matches_in_place(text, CANDIDATE), lambda found: apart(found, base))
+    return F.when(text.rlike("[0-9]"), F.transform(free, judged)).otherwise(_none("start:int,end:int,kind:string,votes:array<tinyint>,features:array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
@@ -175,7 +237,7 @@ def spans(scanned: DataFrame, judge: Judge) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(EXTRA) for x in (k, len(BASE) + i)])
     kept = F.transform(F.filter("candidates", lambda c: judge.keeps(c["features"])),
                        lambda c: F.struct(c["start"].alias("start"), rank[c["kind"]].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return scanned.withColumn("spans", F.array_sort(F.concat("base", kept)))
+    return scanned.withColumn("spans", F.sort_array(F.concat("base", kept)))
 
 
 def listed(found: Column) -> Column:
@@ -192,6 +254,23 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def _replaced(text: Column, found: Column) -> Column:
+    """The text with its ordered spans replaced.  It is cut into blocks once, so that a stretch is taken from the blocks it lies in."""
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        first, last = (F.floor(x / BLOCK).cast("int") for x in (start, end))
+        of = lambda i, at, n: F.substring(F.coalesce(F.get(blocks, i), F.lit("")), at + 1, n)
+        over = F.concat(of(first, start % BLOCK, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), of(last, F.lit(0), end % BLOCK))
+        return F.when(first == last, of(first, start % BLOCK, end - start)).otherwise(over)
+
+    def joined(blocks: Column, reached: Column) -> Column:
+        parts = F.transform(found, lambda s, k: F.when(s["start"] >= F.get(reached, k), F.concat(cut(blocks, F.get(reached, k), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+                            .otherwise(""))
+        return F.concat(F.array_join(parts, ""), cut(blocks, F.element_at(reached, -1), F.char_length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(blocks, lambda b: let(running(F.transform(found, lambda s: s["end"]), lambda x, y: F.greatest(x, y)), lambda r: joined(b, r)))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with each stretch of personal data replaced by its kind in brackets; overlapping spans become one
     stretch, named after the first.  All columns stay as they are but the text; a null text stays null."""
@@ -200,12 +279,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scanned = written(scan(packed, id_col, text_col, "row"))
     found = spans(scanned, learn(scanned))
     text = F.col("row")[text_col]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(F.col("spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return found.select(*[F.when(text.isNull() | (F.size("spans") == 0), text).otherwise(clean).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
+    return found.select(*[F.when(text.isNull() | (F.size("spans") == 0), text).otherwise(_replaced(text, F.col("spans"))).alias(c)
+                          if c == text_col else F.col("row")[c].alias(c) for c in names])

@@ -200,3 +200,65 @@ def test_candidates_need_no_two_digits_in_a_row(spark):
     rows = spark.createDataFrame([(1, "token = aB3xK9qLm2ZpT7vRw4Ys"), (2, "token = aB3xK9qLm2ZpT7vRw4Ys 12"), (3, "no digits at all, token = abcdefghijklmnop")], "doc_id bigint, text string")
     got = {r["doc_id"]: [(c["start"], c["end"], c["kind"]) for c in r["candidates"]] for r in pii.scan(rows).collect()}
     assert got[1] == got[2] == [(8, 28, "secret")] and got[3] == []
+
+
+def test_pii_estimates_equal_a_plain_loop_over_candidates(spark):
+    rng = np.random.default_rng(8)
+    ways = [lambda k: f'token = "aB3xK9qLm2ZpT7vRw4Y{k:04d}" said', lambda k: f"page {k:04d}{k * 7919 % 10**7:07d} of it", lambda k: f"call 415-555-{k:04d} now", lambda k: f"ssn {k % 900 + 100}-22-{k:04d}",
+            lambda k: f"/x/{'ab' * 9}{k:04d}/ and {k * 104729 % 10**11:011d}, {k * 1299709 % 10**11:011d}, 12345678901"]
+    rows = docs(spark, [(k, " . ".join(ways[int(w)](k) for w in rng.integers(0, 5, 3)), None) for k in range(200)])
+    found = [c for r in pii.scan(rows).collect() for c in r["candidates"]]
+    votes = np.array([[int(v) for v in c["votes"]] for c in found])
+    trust, share = np.full(len(pii.LABELERS), 0.8), 0.5
+
+    def belief():
+        odds = votes @ np.log(trust / (1 - trust)) + np.log(share / (1 - share))
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(15):
+        p = belief()
+        right = ((votes == 1) * p[:, None] + (votes == -1) * (1 - p)[:, None]).sum(0)
+        trust, share = np.clip((right + 8) / ((votes != 0).sum(0) + 10), 0.6, 0.99), min(max(p.mean(), 0.02), 0.5)
+    p, total = belief(), len(found)
+    judge = pii.learn(pii.scan(rows))
+    assert judge.share == pytest.approx(share) and [judge.reliability[x] for x in pii.LABELERS] == pytest.approx(trust.tolist())
+    told = {f: (sum(p[i] for i, c in enumerate(found) if f in c["features"]), sum(1 - p[i] for i, c in enumerate(found) if f in c["features"])) for c in found for f in c["features"]}
+    assert judge.log_odds == pytest.approx({f: np.log((y + 0.5) / (share * total + 1)) - np.log((n + 0.5) / ((1 - share) * total + 1)) for f, (y, n) in told.items()})
+    want = [np.log(share / (1 - share)) + sum(judge.log_odds[f] for f in c["features"]) > 0 for c in found]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(rows).collect()}
+    kept = {(r["doc_id"], f"{c['kind']}:{c['start']}:{c['end']}") for r in pii.scan(rows).collect() for c in r["candidates"] if f"{c['kind']}:{c['start']}:{c['end']}" in got[r["doc_id"]].split(",")}
+    assert len(kept) == sum(want) and 0 < sum(want) < total
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """Places, contexts, overlaps and replacement against plain Python, with base spans and candidates mixed at random."""
+    rng = np.random.default_rng(9)
+    words = ["mail a@b.co", "é😀", "1.2.3.4", "4111 1111 1111 1111", "415-555-1234", "token = aB3xK9qLm2ZpT7vRw4Ys", "+49 30 1234567890", "123-45-6789", "x" * 1500, "12345678"]
+    texts = [" ".join(words[int(w)] for w in rng.integers(0, len(words), int(n))) for n in (1, 2, 3, 7, 50, 400, 3000)]
+    rows = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
+    pattern = re.compile(r"(?<![\w])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9](?:[ -]?[0-9]){7,18}|"
+                         r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,})(?!\w)")
+    for r in pii.scan(rows).collect():
+        t = texts[r["doc_id"]]
+        base = base_spans(t)
+        assert [(b["start"], b["end"], b["kind"]) for b in r["base"]] == [(a, e, k) for a, _, e, k in base]
+        free = [m for m in pattern.finditer(t) if not any(a < m.end() and m.start() < e for a, _, e, _ in base)]
+        assert [(c["start"], c["end"]) for c in r["candidates"]] == [m.span() for m in free]
+        for c, m in zip(r["candidates"], free):
+            left = t[max(0, m.start() - 32):m.start()]
+            assert c["votes"][2] == bool(re.search(pii.SENSITIVE, left)) and ("sign:y" in c["features"]) == bool(re.search("[=:]\\s*$", left))
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(rows).collect()}
+    for r in pii.redact(rows).collect():
+        t, at, out = texts[r["doc_id"]], 0, ""
+        for s in filter(None, spans[r["doc_id"]].split(",")):
+            kind, a, e = s.split(":")[0], *map(int, s.split(":")[1:])
+            if a >= at:
+                out += t[at:a] + f"[{kind.upper()}]"
+            at = max(at, e)
+        assert r["text"] == out + t[at:]
+
+
+def test_pii_time_of_one_text_follows_its_matches(spark):
+    text = " ".join(f"a{i}@b.co" if i % 2 else f"token = aB3xK9qLm2ZpT7vRw4Ys{i}" for i in range(60000))
+    got = pii.report(docs(spark, [(1, text, None), (2, "-" * 200000 + "a-" * 100000, None)])).collect()
+    assert {r["doc_id"]: r["n_email"] for r in got} == {1: 30000, 2: 0}
