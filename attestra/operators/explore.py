@@ -1,12 +1,17 @@
 """Looking into a corpus: the index of comparable subjects, pages, filters, one subject explained."""
 from __future__ import annotations
 
+from bisect import bisect_right
+from dataclasses import dataclass
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evidence, provenance
 from ..functions.text import lookup
 from ..registry import Registry
+from ..session import written
 from . import claims as claim_ops
 from .subjects import KIND_OF_OUTCOME, flags_and_tier, source_lists, subject_table
 
@@ -85,6 +90,54 @@ def conflicts_page(index: DataFrame, reg: Registry, offset: int = 0, limit: int
     return page(filter_conflicts(index, **filters), ["subject"], offset, limit, after)
 
 
+@dataclass(frozen=True)
+class Pages:
+    """A table in a stated order, cut into parts of known length, so that a page anywhere reads the part or parts it lies in.
+
+    ``starts`` holds the rows before each part and, last, all rows: one number per part of the table, on the driver."""
+    rows: DataFrame
+    order: tuple[str, ...]
+    starts: tuple[int, ...]
+
+    @property
+    def total(self) -> int:
+        return self.starts[-1]
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """Rows ``offset`` to ``offset + limit`` of the whole order; fewer, or none, where the table ends."""
+        if limit < 1 or offset < 0:
+            raise ValueError(f"no page has {limit} rows from row {offset} on")
+        offset = min(offset, self.total)
+        first = max(bisect_right(self.starts, offset) - 1, 0)
+        last = max(bisect_right(self.starts, min(offset + limit, self.total) - 1) - 1, first)
+        read = self.rows.where(F.col(PART).between(first, last)).drop(PART)
+        return read.orderBy(*self.order).offset(offset - self.starts[first]).limit(limit)
+
+
+PART = "page_part"
+
+
+def pages(df: DataFrame, order: list[str], rows_per_part: int = 1_000_000) -> Pages:
+    """Writes ``df`` once, dealt by ranges of ``order``, and counts each range.
+
+    Ranges come from a sample of the keys and so are of about ``rows_per_part`` rows, however the keys are distributed, as long as the
+    order tells rows apart; rows that tie in all of it stay in one part.  Nulls come first, an empty table has no page with rows."""
+    if PART in df.columns:
+        raise ValueError(f"{PART} is the name of the part a row lies in")
+    n = -(-df.count() // rows_per_part)
+    if n == 0:
+        return Pages(df.withColumn(PART, F.lit(0)).limit(0), tuple(order), (0,))
+    ranged = df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id())
+    rows = written(ranged.sortWithinPartitions(PART, *order), None, (PART,))
+    counts = {r[PART]: r["n"] for r in rows.groupBy(PART).agg(F.count("*").alias("n")).collect()}       # a row per part
+    return Pages(rows, tuple(order), tuple(accumulate((counts.get(i, 0) for i in range(n)), initial=0)))
+
+
+def claims_pages(claims: DataFrame, reg: Registry, rows_per_part: int = 1_000_000) -> Pages:
+    view = claim_ops.claim_view(claims, reg).withColumn("chain", F.coalesce("chain", F.lit("")))
+    return pages(view, ["address", "chain", "source", "claim_seq"], rows_per_part)
+
+
 def page_totals(claims: DataFrame) -> DataFrame:
     """What a page header states: claims and distinct subjects behind the filters."""
     per_subject = claims.groupBy("subject").agg(F.count("*").alias("n"))
@@ -100,6 +153,20 @@ def conflict_export(claims: DataFrame, index: DataFrame, reg: Registry) -> DataF
                     "root_kind", "provenance", F.coalesce("lastmod", F.lit("")).alias("lastmod"), F.coalesce("chain", F.lit("")).alias("chain")))
 
 
+def by_address(claims: DataFrame, row_group_bytes: int = 16 << 20) -> DataFrame:
+    """The claims laid out for questions about one identifier: ranges of addresses, so that least and largest values exclude most files and
+    row groups, and a Bloom filter that excludes those in between.  ``claim_seq`` divides an address with very many claims."""
+    ranged = claims.repartitionByRange("address", "claim_seq").sortWithinPartitions("address", "claim_seq")
+    return written(ranged, **{"parquet.bloom.filter.enabled#address": "true", "parquet.block.size": str(row_group_bytes)})
+
+
+def ambiguous_identifiers(claims: DataFrame) -> DataFrame:
+    """Identifiers that the table states on several chains, with those chains: each is more than one subject."""
+    stated = claims.where(F.coalesce("chain", F.lit("")) != "").groupBy("address", "chain").agg(F.count("*").alias("n"))
+    return (stated.groupBy("address").agg(F.count("*").alias("n_chains"), F.array_sort(F.collect_list("chain")).alias("chains"), F.sum("n").alias("n_claims"))
+            .where("n_chains > 1"))
+
+
 def chains_of(claims: DataFrame, address: str) -> DataFrame:
     """The chains a table states an identifier on: more than one means more than one subject."""
     return claims.where((F.col("address") == address) & (F.coalesce("chain", F.lit("")) != "")).select("chain").distinct()

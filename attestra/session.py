@@ -42,12 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Write an intermediate that several steps read, and read it back as a table.
+def written(df: DataFrame, name: str | None = None, parts: tuple[str, ...] = (), **options) -> DataFrame:
+    """Write an intermediate that several steps read, and read it back as a table; ``parts`` become folders, ``options`` go to the writer.
 
     Later steps then scan only their columns, plans do not repeat the expressions behind them, and
     a lost executor re-reads files instead of recomputing from the start."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name or uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*parts).options(**options).parquet(path)
     return spark.read.parquet(path)

@@ -1,6 +1,7 @@
 """Rounding rules, intervals, resampling, metric records, pages."""
 import math
 
+import numpy as np
 import pytest
 from conftest import by, day, one
 from pyspark.sql import functions as F
@@ -135,3 +136,43 @@ def test_an_identifier_on_several_chains_is_ambiguous(make, reg):
     assert e["outcome"] == "entity-type conflict" and e["flags"] == ["conflicting", "circular", "currency-unknown"]
     assert not one(explore.explain(rows, reg, "nobody", day("2024-01-01")))["found"]
     assert subject_table(rows, reg).count() == 3
+
+
+def test_pages_anywhere_read_only_their_parts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if rng.random() < 0.1 else str(int(rng.integers(0, 5))), i, "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, i bigint, part string")
+    p = explore.pages(df, ["k", "i"], rows_per_part=60)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert p.total == 1000 and len(p.starts) == 18
+    for offset, limit in [(0, 10), (990, 60), (137, 300), (p.starts[5], 1), (p.starts[5] - 1, 2), (999, 1), (0, 5000)]:
+        assert [tuple(r) for r in p.page(offset, limit).collect()] == want[offset:offset + limit]
+    assert p.page(1000, 5).count() == p.page(10 ** 12, 5).count() == 0
+    late = p.page(995, 5)
+    assert "PartitionFilters: [isnotnull(page_part" in late._jdf.queryExecution().executedPlan().toString()
+    whole = lambda f: {r[0] for r in f.select(F.input_file_name()).distinct().collect()}
+    assert len(whole(p.rows.where(F.col("page_part") == 16))) == 1 and len(whole(p.rows)) == 17
+    none = explore.pages(df.limit(0), ["k", "i"])
+    assert none.total == 0 and none.page(0, 5).columns == df.columns and none.page(0, 5).count() == 0
+    with pytest.raises(ValueError):
+        p.page(0, 0)
+    with pytest.raises(ValueError):
+        explore.pages(df.withColumnRenamed("part", "page_part"), ["k"])
+
+
+def test_layout_by_address_skips_and_answers_alike(spark, reg, make):
+    rows = make([dict(address=str(i % 400), source=f"s{i % 3}", seq=i) for i in range(4000)] + [dict(address="hot", seq=4000 + i) for i in range(4000)])
+    laid_out = explore.by_address(rows, row_group_bytes=1 << 20)
+    for a in ("7", "hot", "nobody"):
+        assert one(explore.explain(laid_out, reg, a, day("2024-01-01"))) == one(explore.explain(rows, reg, a, day("2024-01-01")))
+    assert sorted(map(tuple, laid_out.select(*rows.columns).collect()), key=lambda r: r[0]) == sorted(map(tuple, rows.collect()), key=lambda r: r[0])
+    assert "PushedFilters: [IsNotNull(address), EqualTo(address,7)]" in laid_out.where("address = '7'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ambiguous_identifiers(spark, reg, make):
+    rows = make([dict(address="a", chain="x"), dict(address="a", chain="y"), dict(address="a", chain="y"), dict(address="b", chain="x"), dict(address="b"), dict(address="c", chain=""), dict(address="c", chain="x")])
+    assert one(explore.ambiguous_identifiers(rows)) == dict(address="a", n_chains=2, chains=["x", "y"], n_claims=3)
+    assert explore.ambiguous_identifiers(rows.limit(0)).count() == 0
+    for chain, found in ((None, False), ("x", True), ("z", False)):
+        e = one(explore.explain(rows, reg, "a", day("2024-01-01"), chain))
+        assert e["found"] is found and e["ambiguous"] is (chain is None)

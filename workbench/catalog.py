@@ -506,6 +506,36 @@ def claims_page_after(s, d):
     return explore.claims_page(corpus(s, d), REG, limit=40, after=dict(address="500", chain="", source="schnoering", claim_seq=0))
 
 
+def _claims_pages(s, d):
+    key = (s.sparkContext.applicationId, d, "claims")
+    if key not in _PAGES:
+        _PAGES[key] = explore.claims_pages(corpus(s, d), REG, rows_per_part=20_000)
+    return _PAGES[key]
+
+
+def _conflict_pages(s, d):
+    key = (s.sparkContext.applicationId, d, "conflicts")
+    if key not in _PAGES:
+        ix = W.once(s, d, "subject_index", lambda: explore.subject_index(corpus(s, d), REG))
+        _PAGES[key] = explore.pages(explore.filter_conflicts(ix), ["subject"], rows_per_part=1_000)
+    return _PAGES[key]
+
+
+_PAGES: dict[tuple, explore.Pages] = {}
+
+
+@query("TOP5")
+def claims_page_late(s, d):
+    p = _claims_pages(s, d)
+    return p.page(max(p.total - 100, 0), 60)
+
+
+@query("TOP6")
+def conflicts_page_late(s, d):
+    p = _conflict_pages(s, d)
+    return p.page(max(p.total - 40, 0), 100).select("subject", "outcome", "kind", "relationship", "circular", F.array_join("sources", ",").alias("sources"))
+
+
 @query("TOP6 FLT4")
 def conflicts_page(s, d):
     ix = W.once(s, d, "subject_index", lambda: explore.subject_index(corpus(s, d), REG))
@@ -539,11 +569,31 @@ def conflict_export(s, d):
 
 @query("AUD9")
 def explain_subject(s, d):
-    e = explore.explain(corpus(s, d), REG, "7", _as_of())
+    laid_out = W.once(s, d, "by_address", lambda: explore.by_address(corpus(s, d)))
+    e = explore.explain(laid_out, REG, "7", _as_of())
     return e.select("address", "found", "n_claims", F.array_join("datasets", ",").alias("datasets"), F.array_join("roots", ",").alias("roots"),
                     "apparent_corroboration", "actual_corroboration", "circular", "outcome", "tier", F.array_join("flags", ",").alias("flags"))
 
 
+def _on_two_chains(s, d):
+    """The audited table, with the second claim of an order stated on a chain of its own."""
+    return audited(s, d).withColumn("chain", F.when(F.col("claim_seq") % 8 == 1, "polygon").otherwise(F.col("chain")))
+
+
+@query("AUD9")
+def ambiguous_identifiers(s, d):
+    return explore.ambiguous_identifiers(_on_two_chains(s, d)).withColumn("chains", F.array_join("chains", ","))
+
+
+@query("AUD9")
+def explain_ambiguous(s, d):
+    claims = _on_two_chains(s, d)
+    least = explore.ambiguous_identifiers(claims).agg(F.min("address")).first()[0] or ""
+    answers = [explore.explain(claims, AUDIT_REG, least, _as_of(), chain).withColumn("asked", F.lit(chain or "any")) for chain in (None, "polygon", "dogecoin")]
+    return (answers[0].unionByName(answers[1]).unionByName(answers[2])
+            .select("asked", "address", "ambiguous", "found", F.array_join("chains", ",").alias("chains"), F.coalesce("n_claims", F.lit(0)).alias("n_claims")))
+
+
 # ------------------------------------------------------------------ documents as claims
 @query("AGG17 AGG16")
 def document_overlap(s, d):

@@ -617,6 +617,16 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN NOT resolved THEN 'unresolved' WHEN native THEN 'resolved' ELSE 'inherited' END AS provenance, tier, nullif(lastmod, '') AS lastmod FROM claims)"""
     q["claims_page"] = _claims("SELECT * FROM view ORDER BY address, chain, source, claim_seq LIMIT 60 OFFSET 120", view)
     q["claims_page_after"] = _claims("SELECT * FROM view WHERE (address, chain, source, claim_seq) > ('500', '', 'schnoering', 0) ORDER BY address, chain, source, claim_seq LIMIT 40", view)
+    q["claims_page_late"] = _claims("""SELECT * FROM view QUALIFY row_number() OVER (ORDER BY address, chain, source, claim_seq)
+        BETWEEN greatest(count(*) OVER () - 100, 0) + 1 AND greatest(count(*) OVER () - 100, 0) + 60""", view)
+    q["conflicts_page_late"] = _subjects(f"""SELECT subject, outcome, {_KIND} AS kind, relationship, circular, sources FROM subjects JOIN srcs USING (subject)
+        WHERE n_sources >= 2 AND outcome <> 'exact' QUALIFY row_number() OVER (ORDER BY subject) > count(*) OVER () - 40""", srcs)
+    two = f"""WITH t AS (SELECT address, CASE WHEN claim_seq % 8 = 1 THEN 'polygon' ELSE chain END AS chain FROM ({W.for_duckdb(W.TARGET)}) AS x),
+        m AS (SELECT address, count(DISTINCT chain) AS n_chains, string_agg(DISTINCT chain, ',' ORDER BY chain) AS chains, count(chain) AS n_claims FROM t GROUP BY 1 HAVING count(DISTINCT chain) > 1)"""
+    q["ambiguous_identifiers"] = two + " SELECT * FROM m"
+    q["explain_ambiguous"] = two + """, h AS (SELECT * FROM t WHERE address = (SELECT min(address) FROM m)), a AS (SELECT col0 AS asked FROM (VALUES ('any'), ('polygon'), ('dogecoin')))
+        SELECT asked, (SELECT min(address) FROM m) AS address, count(DISTINCT chain) > 1 AS ambiguous, count(h.address) > 0 AND count(DISTINCT chain) <= 1 AS found,
+        coalesce(string_agg(DISTINCT chain, ',' ORDER BY chain), '') AS chains, count(h.address) AS n_claims FROM a LEFT JOIN h ON asked = 'any' OR h.chain IS NULL OR h.chain = asked GROUP BY asked"""
     q["conflicts_page"] = _subjects("""SELECT subject, outcome, circular, sources FROM subjects JOIN srcs USING (subject) WHERE n_sources >= 2 AND outcome = 'entity-type conflict' AND relationship = 'unresolved'
         AND sources LIKE '%tagpack%' AND sources LIKE '%rodwald_ransom%' AND subject LIKE '%1%' ORDER BY subject LIMIT 500 OFFSET 10""", srcs)
     q["filtered_claims"] = _claims("""SELECT claim_seq, subject, raw_label, root FROM claims WHERE source = 'tagpack' AND tier = 'derived' AND currency = 'stale' AND resolved AND native AND lower(raw_label) LIKE '%ransom%'""")
