@@ -228,3 +228,16 @@ def test_citations_among_long_texts_of_many_lengths(spark, make, reg):
     want = {(a, b) for a in distinct for b in distinct if a != b and len(b) >= 3 and b.lower() in a.lower()}
     assert {(r.citing, r.cited) for r in L.citations(rows.repartition(5), reg).collect()} == want and len(want) > 20
     assert L.citations(rows.limit(0), reg).count() == 0
+
+
+def test_equal_cells_are_judged_once(spark, reg):
+    values = [BTC[0], HEX[0], "7", "2024-01-02", "mixer", "btc", " "]
+    rows = table(spark, ["a", "b"], [(values[i % 7], str(i + 5)) for i in range(700)])
+    df = P.column_profiles(P.column_cells(rows), reg)
+    got = by(df, "column")
+    a, b = got["a"], got["b"]
+    assert (a["n"], a["distinct"], a["counter"], b["n"], b["distinct"], b["counter"]) == (600, 6, False, 700, 700, True)
+    assert (a["numeric"], a["date"], a["address_bitcoin"], a["address_evm"]) == pytest.approx((1 / 6,) * 4) and a["chains"] == ["bitcoin"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.rindex("HashAggregate")          # checksums come after equal cells are one
+    assert "Exchange" in plan[plan.rindex("ArrowEvalPython"):]
