@@ -157,3 +157,13 @@ def test_columns_are_sampled_at_once(spark):
     pairs = R.sampled_pairs(rows, "a", "b", 30, 2).collect()
     assert len(pairs) == 30 and all(r["row_id"] % 3 and r["first"] == f"v{r['row_id']}" for r in pairs)
     assert R.sampled_columns(rows.limit(0), 5).count() == 0
+
+
+def test_samples_order_only_cells_that_can_be_drawn(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("row_id"), F.concat(F.lit("v"), "id").alias("a"), F.when(F.col("id") < 7, "x").alias("b"))
+    df = R.sampled_columns(rows, 40, 9)
+    draw = lambda c, i: hashlib.md5(f"9:{c}:{i}".encode()).hexdigest()
+    want = {("a", i, f"v{i}") for i in sorted(range(30_000), key=lambda i: draw("a", i))[:40]} | {("b", i, "x") for i in range(7)}
+    assert {tuple(r) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan[plan.index("row_number"):]           # cells meet their column's bound before they are ordered
