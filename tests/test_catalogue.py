@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from attestra import session
 from workbench import catalog, run_queries, workload
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +31,12 @@ def test_query_equals_its_sql(spark, con, name):
 def test_entry_and_registration(spark):
     assert entry.entry(spark).columns == ["outcome", "n", "share"]
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalog.COVERS) == set(catalog.QUERIES)
+
+
+def test_tasks_do_not_grow_with_the_tables(spark):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+    if os.path.isdir(SF):
+        catalog.QUERIES["corpus_table"](spark, SF)
+        assert all(spark.conf.get(k) == v for k, v in session.SIZES.items())
+    many = workload.dealt(spark.range(7 * workload.ROWS_PER_TASK - 5))
+    assert many.rdd.getNumPartitions() == max(7, spark.sparkContext.defaultParallelism) and many.count() == 7 * workload.ROWS_PER_TASK - 5
