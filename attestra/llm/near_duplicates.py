@@ -1,8 +1,10 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
 A shingle is five words in a row (a shorter text is one shingle) and weighs its count in the text times its inverse document
-frequency ``ln(1 + N / df)``.  The frequency is held to be at least ``rare`` (a tenth) of all documents, so it lowers what very
-many documents share and leaves all other shingles equal; only shingles as frequent as that need counting.  They are found
+frequency ``ln(1 + N / df)``.  With ``rare=None`` every shingle has its own frequency, counted over all documents: texts are dealt
+over chunks, what a chunk holds is counted in it, the counts are added up by ranges of the hash, and each chunk gets back those of
+its shingles that occur elsewhere too.  With a number, the frequency is held to be at least ``rare`` of all documents, so it lowers
+what very many documents share and leaves all other shingles equal; only shingles as frequent as that need counting.  They are found
 exactly: a shingle that a tenth of all documents hold is held by a tenth of the documents of some chunk.
 
 Texts with equal words are one text from then on.  Each text gets ``bands`` keys of ``rows`` samples.  First each text meets the
@@ -17,12 +19,13 @@ left out.  Long texts are hashed whole.
 """
 from __future__ import annotations
 
-from typing import Iterator
+import functools
+from typing import Callable, Iterator, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import WORD, documents, hash_words, written
@@ -30,6 +33,12 @@ from attestra.llm.common import WORD, documents, hash_words, written
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POOL = 1 << 18
 KNOWN_WORDS = 500_000
+#: characters of text in a chunk, some two million shingles
+CHUNK = 12_000_000
+#: tables of hits for one weight (1 MB each), and how often a weight is met before it gets one
+TABLES, MET = 32, 30
+SKETCH = pa.schema([("doc_id", pa.int64()), ("t", pa.binary()), ("samples", pa.binary()), ("weight", pa.float64())])
+SET = pa.schema([("t", pa.binary()), ("h", pa.binary()), ("n", pa.binary()), ("w", pa.binary())])
 
 
 def shingles(words: list[str], size: int, seen: dict[str, int]) -> np.ndarray:
@@ -60,32 +69,36 @@ class Sampler:
         self.b = rng.random(POOL)
         self.by = rng.integers(1, 2 ** 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.plain: dict[float, np.ndarray] = {}
+        self.met: dict[float, int] = {}
 
-    def _first(self, weight: float) -> np.ndarray:
-        """When a shingle of this weight is hit, for the whole pool."""
+    def _first(self, weight: float) -> np.ndarray | None:
+        """When a shingle of this weight is hit, for the whole pool; only for weights that are met often."""
         if weight not in self.plain:
-            if len(self.plain) > 8:
-                self.plain.clear()
+            if len(self.met) > 10_000:
+                self.met.clear()
+            self.met[weight] = self.met.get(weight, 0) + 1
+            if self.met[weight] < MET or len(self.plain) >= TABLES:
+                return None
             level = np.floor(np.log(weight) / self.r + self.b)
             self.plain[weight] = (self.c - self.r * (level - self.b + 1)).astype(np.float32)
         return self.plain[weight]
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray, at_once: int = 20_000) -> np.ndarray:
         """``hashes`` sorted and different; one 64-bit sample for each."""
-        values, counts = np.unique(weights, return_counts=True)
-        usual = float(values[counts.argmax()])
+        usual = float(np.partition(weights, len(weights) // 2)[len(weights) // 2])
         common = self._first(usual)
         every = np.arange(self.samples)
         best, place = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.int64)
         with np.errstate(over="ignore"):
             for lo in range(0, len(hashes), at_once):
                 h, w = hashes[lo:lo + at_once], weights[lo:lo + at_once]
-                at = (self.by[:, None] * h) >> np.uint64(64 - 18)
-                when = common[at]
-                if len(values) > 1:
-                    odd = np.flatnonzero(w != usual)
-                    r, b = self.r[at[:, odd]], self.b[at[:, odd]]
-                    when[:, odd] = self.c[at[:, odd]] - r * (np.floor(np.log(w[odd]) / r + b) - b + 1)
+                at = ((self.by[:, None] * h) >> np.uint64(64 - 18)).view(np.int64)
+                when = np.empty(at.shape, np.float32) if common is None else common.take(at)
+                odd = np.arange(len(w)) if common is None else np.flatnonzero(w != usual)
+                if len(odd):
+                    j = at[:, odd]
+                    r, b = self.r.take(j), self.b.take(j)
+                    when[:, odd] = self.c.take(j) - r * (np.floor(np.log(w[odd]) / r + b) - b + 1)
                 i = when.argmin(axis=1)
                 new = when[every, i] < best
                 best, place = np.where(new, when[every, i], best), np.where(new, lo + i, place)
@@ -96,6 +109,12 @@ class Sampler:
             return x ^ (x >> np.uint64(31))
 
 
+@functools.cache
+def sampler(samples: int) -> Sampler:
+    """One for each worker."""
+    return Sampler(samples)
+
+
 def _texts(b: pa.RecordBatch, column: int = 1) -> Iterator[list[str]]:
     for text in b.column(column):
         yield WORD.findall((text.as_py() or "").lower())
@@ -170,6 +189,13 @@ class Weights:
         self.keys = np.array(sorted(counts), np.uint64)
         self.idf = np.array([np.log1p(total / counts[k]) for k in sorted(counts)])
 
+    @classmethod
+    def of(cls, keys: np.ndarray, idf: np.ndarray, usual: float, size: int) -> Weights:
+        """Inverse frequencies by sorted shingles, and that of all others."""
+        new = cls({}, 0, size, 1)
+        new.keys, new.idf, new.usual = keys, idf, usual
+        return new
+
     def __call__(self, words: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         return self.weighted(*np.unique(shingles(words, self.size, seen), return_counts=True))
 
@@ -193,13 +219,85 @@ def name(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
-def sketches(rows: DataFrame, weights: Weights, bands: int, band_rows: int) -> DataFrame:
+class Counted(NamedTuple):
+    """Document counts of the shingles that several documents hold, for each chunk of texts that holds them."""
+    told: DataFrame
+    chunks: int
+    total: int
+    size: int
+
+    def chunk(self) -> Column:
+        return _chunk(self.chunks)
+
+
+def _chunk(chunks: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+
+
+def packed(h: np.ndarray) -> bytes:
+    """Sorted hashes as steps, byte by byte, so that equal high bytes compress."""
+    return np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def counted_shingles(rows: DataFrame, size: int) -> Counted:
+    """Document counts of all shingles, exactly.  What moves of a shingle is its hash, once for each chunk that holds it."""
+    total, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    chunks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-chars // CHUNK))
+    block = "chunk int, part int, h binary, n binary"
+
+    def own(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        seen: dict[str, int] = {}
+        held = [np.unique(shingles(words, size, seen)) for b in texts.to_batches() for words in _texts(b, 0) if words]
+        h, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        part = ((h >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)
+        parts, at = np.unique(part, return_index=True)
+        cut = list(zip(at, [*at[1:], len(h)]))
+        return pa.table([pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array(parts.astype(np.int32)), pa.array([packed(h[a:b]) for a, b in cut], pa.binary()),
+                         pa.array([n[a:b].astype(np.uint32).tobytes() for a, b in cut], pa.binary())], ["chunk", "part", "h", "n"])
+
+    def over_all(blocks: pa.Table) -> pa.Table:
+        sets = [unpacked(b) for b in blocks.column("h").to_pylist()]
+        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in blocks.column("n").to_pylist()])
+        _, at = np.unique(np.concatenate(sets), return_inverse=True)
+        df, out, lo = np.bincount(at, counts).astype(np.uint32)[at], [], 0
+        for h in sets:
+            d = df[lo:lo + len(h)]
+            lo += len(h)
+            out.append((packed(h[d > 1]), d[d > 1].tobytes()))
+        return pa.table([blocks.column("chunk"), blocks.column("part"), pa.array([h for h, _ in out], pa.binary()), pa.array([d for _, d in out], pa.binary())], ["chunk", "part", "h", "n"])
+
+    told = (rows.where("text IS NOT NULL").select("text", _chunk(chunks).alias("chunk")).groupBy("chunk").applyInArrow(own, block)
+            .groupBy("part").applyInArrow(over_all, block).where("length(h) > 0"))
+    return Counted(written(told), chunks, total, size)
+
+
+def weighed(rows: DataFrame, weights: Weights | Counted, run: Callable[[Weights, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """``run`` over the rows (their last column is the chunk) and the weights of their shingles: the same for all, or those of their chunk."""
+    if isinstance(weights, Weights):
+        sent = rows.sparkSession.sparkContext.broadcast(weights)
+        return rows.mapInArrow(lambda batches: run(sent.value, batches), ddl)
+    total, size = weights.total, weights.size
+
+    def both(own: pa.Table, told: pa.Table) -> pa.Table:
+        h = np.concatenate([np.empty(0, np.uint64), *map(unpacked, told.column("h").to_pylist())])
+        n = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(b, np.uint32) for b in told.column("n").to_pylist())])
+        order = np.argsort(h)
+        weigh = Weights.of(h[order], np.log1p(total / n[order]), float(np.log1p(total)), size)
+        return pa.Table.from_batches(run(weigh, own.to_batches()), schema)
+
+    return rows.groupBy("chunk").cogroup(weights.told.groupBy("chunk")).applyInArrow(both, ddl)
+
+
+def sketches(rows: DataFrame, weights: Weights | Counted, bands: int, band_rows: int) -> DataFrame:
     """doc_id, t (null without words), the samples of each row, as bytes, and its weight in all."""
-    sampler = rows.sparkSession.sparkContext.broadcast((weights, bands * band_rows))
+    samples = bands * band_rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, samples = sampler.value
-        draw, seen, last = Sampler(samples), {}, {}
+    def run(weigh: Weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw, seen, last = sampler(samples), {}, {}
         for b in batches:
             t, s, w = [], [], []
             for words in _texts(b):
@@ -215,9 +313,9 @@ def sketches(rows: DataFrame, weights: Weights, bands: int, band_rows: int) -> D
                     last[t[-1]] = draw(*own).tobytes(), float(own[1].sum())
                 s.append(last[t[-1]][0])
                 w.append(last[t[-1]][1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t, pa.binary()), pa.array(s, pa.binary()), pa.array(w, pa.float64())], ["doc_id", "t", "samples", "weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t, pa.binary()), pa.array(s, pa.binary()), pa.array(w, pa.float64())], schema=SKETCH)
 
-    return rows.mapInArrow(run, "doc_id bigint, t binary, samples binary, weight double")
+    return weighed(rows, weights, run, SKETCH, "doc_id bigint, t binary, samples binary, weight double")
 
 
 def band_keys(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
@@ -227,23 +325,21 @@ def band_keys(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
     return texts.select("t", "weight", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("b")).select("b.band", "b.key", "t", "weight")
 
 
-def _check(pairs: DataFrame, sets: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those (a, b) whose similarity reaches the threshold."""
-    sent = pairs.sparkSession.sparkContext.broadcast(weights)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = sent.value
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             keep = []
             for i in range(batch.num_rows):
-                of = lambda h, n: weigh.weighted(np.frombuffer(c[h][i].as_buffer(), np.uint64), np.frombuffer(c[n][i].as_buffer(), np.uint32))
-                keep.append(similarity(of("ha", "na"), of("hb", "nb")) >= threshold)
+                read = lambda k, kind: np.frombuffer(c[k][i].as_buffer(), kind)
+                of = lambda end: (read(f"h{end}", np.uint64), read(f"w{end}", np.float64) * read(f"n{end}", np.uint32))
+                keep.append(similarity(of("a"), of("b")) >= threshold)
             yield pa.RecordBatch.from_arrays([c["a"], c["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.withColumnsRenamed({"t": "a", "h": "ha", "n": "na"})
-    two = sets.withColumnsRenamed({"t": "b", "h": "hb", "n": "nb"})
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ha", "na", "hb", "nb").mapInArrow(run, "a binary, b binary").distinct()
+    one = sets.withColumnsRenamed({"t": "a", "h": "ha", "n": "na", "w": "wa"})
+    two = sets.withColumnsRenamed({"t": "b", "h": "hb", "n": "nb", "w": "wb"})
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ha", "na", "wa", "hb", "nb", "wb").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -317,10 +413,9 @@ def spanning(ids: list[bytes], own: list[bytes], sets: list[tuple[np.ndarray, np
     return out
 
 
-def remaining(keys: DataFrame, sets: DataFrame, classes: DataFrame, weights: Weights, threshold: float, block_texts: int, block_shingles: int) -> DataFrame:
+def remaining(keys: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float, block_texts: int, block_shingles: int) -> DataFrame:
     """Links between texts of different classes under one key.  A key's texts are dealt over blocks of about ``block_texts`` texts or
     ``block_shingles`` shingles at most, and every two blocks are one task's piece of work, so all pairs of a key are compared."""
-    sent = keys.sparkSession.sparkContext.broadcast(weights)
     sized = sets.select("t", (F.length("h") / 8).alias("size"))
     rows = written(keys.join(classes, "t", "left").join(sized, "t").select("band", "key", "t", "size", F.coalesce("c", "t").alias("c")))
     # the two of a key of two have met, as one of them leads it; keys of a single class have nothing to find, and keys with the same texts find the same
@@ -332,7 +427,7 @@ def remaining(keys: DataFrame, sets: DataFrame, classes: DataFrame, weights: Wei
     dealt = (rows.join(open_, ["band", "key"]).select("band", "key", "t", "c", "blocks", block.alias("own"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR own <> other")
              .select("band", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "t", "c"))
-    dealt = dealt.join(sets, "t").select("band", "key", "one", "two", "t", "c", "h", "n")
+    dealt = dealt.join(sets, "t").select("band", "key", "one", "two", "t", "c", "h", "n", "w")
     dealt = dealt.repartition("band", "key", "one", "two").sortWithinPartitions("band", "key", "one", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,12 +435,16 @@ def remaining(keys: DataFrame, sets: DataFrame, classes: DataFrame, weights: Wei
         at = None
 
         def out() -> pa.RecordBatch:
-            sets = [(np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32)) for _, _, h, n in held]
-            found = spanning([r[0] for r in held], [r[1] for r in held], sets, sent.value, threshold) if held else []
+            sets = [(np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], np.uint32)) for r in held]
+            found = []
+            if held:
+                keys, first = np.unique(np.concatenate([h for h, _ in sets]), return_index=True)
+                weights = Weights.of(keys, np.concatenate([np.frombuffer(r[4], np.float64) for r in held])[first], 0.0, 0)
+                found = spanning([r[0] for r in held], [r[1] for r in held], sets, weights, threshold)
             return pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], pa.binary()) for j in (0, 1)], ["a", "b"])
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(8))):
+            for row in zip(*(b.column(i).to_pylist() for i in range(9))):
                 if row[:4] != at:
                     yield out()
                     at, held = row[:4], []
@@ -355,13 +454,16 @@ def remaining(keys: DataFrame, sets: DataFrame, classes: DataFrame, weights: Wei
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def classes_of(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 12, band_rows: int = 3, rare: float = 0.1,
+def classes_of(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 12, band_rows: int = 3, rare: float | None = 0.1,
                block_texts: int = 400, block_shingles: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_docs of each row; ``t`` names its text (null without words).  Of pairs as similar as the threshold, about two in
     ten thousand share no key."""
     rows = documents(docs, id_col, text_col)
-    counts, total = frequent_shingles(rows, size, rare)
-    weights = Weights(counts, total, size, rare)
+    if rare is None:
+        weights = counted_shingles(rows, size)
+        rows = rows.withColumn("chunk", weights.chunk())
+    else:
+        weights = Weights(*frequent_shingles(rows, size, rare), size, rare)
     sketched = written(sketches(rows, weights, bands, band_rows))
     texts = written(sketched.where("t IS NOT NULL").groupBy("t").agg(F.min("samples").alias("samples"), F.min("weight").alias("weight"), F.min("doc_id").alias("first_id")))
     keys = band_keys(texts, bands, band_rows)
@@ -371,8 +473,8 @@ def classes_of(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: in
     near = F.least("weight", "heavy") >= threshold * (1 - 1e-9) * F.greatest("weight", "heavy")
     pairs = shared.where("t <> b").where(near).select(F.col("t").alias("a"), "b").distinct()
     sets = written(_sets(rows, shared.select("t").distinct().join(texts.select("t", "first_id"), "t").withColumnRenamed("first_id", "doc_id"), weights))
-    classes = components(written(_check(pairs, sets, weights, threshold)))
-    more = written(remaining(shared.select("band", "key", "t"), sets, classes, weights, threshold, block_texts, block_shingles))
+    classes = components(written(_check(pairs, sets, threshold)))
+    more = written(remaining(shared.select("band", "key", "t"), sets, classes, threshold, block_texts, block_shingles))
     if not more.isEmpty():
         classes = _merged(classes, more)
     placed = sketched.select("doc_id", "t").join(classes, "t", "left").withColumn("c", F.coalesce("c", "t"))
@@ -382,22 +484,20 @@ def classes_of(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: in
     return worded.join(named, "c").select("doc_id", "class_id", "n_docs", "t").union(alone)
 
 
-def _sets(rows: DataFrame, asked: DataFrame, weights: Weights) -> DataFrame:
-    """(t, h, n): shingles and their counts of the texts asked for, each read where its first id is."""
-    size = weights.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(rows: DataFrame, asked: DataFrame, weights: Weights | Counted) -> DataFrame:
+    """(t, h, n, w): shingles, their counts and the weight of each of the texts asked for, each read where its first id is."""
+    def run(weigh: Weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for b in batches:
             out = []
             for t, words in zip(b.column(0).to_pylist(), _texts(b)):
                 if words and name(words) == t:         # an id may have several texts
-                    h, n = np.unique(shingles(words, size, seen), return_counts=True)
-                    out.append((t, h.tobytes(), n.astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.binary()) for j in range(3)], ["t", "h", "n"])
+                    h, n = np.unique(shingles(words, weigh.size, seen), return_counts=True)
+                    out.append((t, h.tobytes(), n.astype(np.uint32).tobytes(), weigh.weighted(h, np.ones(len(h)))[1].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.binary()) for j in range(4)], schema=SET)
 
-    told = rows.join(asked, rows["doc_id"].eqNullSafe(asked["doc_id"])).select("t", "text")
-    return told.mapInArrow(run, "t binary, h binary, n binary")
+    told = rows.join(asked, rows["doc_id"].eqNullSafe(asked["doc_id"])).select("t", "text", *([] if isinstance(weights, Weights) else ["chunk"]))
+    return weighed(told, weights, run, SET, "t binary, h binary, n binary, w binary")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -61,7 +61,7 @@ def op7_packing(spark: SparkSession, d: str) -> DataFrame:
 
 def op8_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """The near-duplicate class of every document, named by its smallest doc_id, and its size."""
-    return near_duplicates.classes_of(table(spark, d, "documents")).select("doc_id", "class_id", "n_docs")
+    return near_duplicates.classes_of(table(spark, d, "documents"), rare=None).select("doc_id", "class_id", "n_docs")
 
 
 def op9_token_rows(spark: SparkSession, d: str) -> DataFrame:

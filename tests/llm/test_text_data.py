@@ -220,6 +220,60 @@ def test_near_duplicate_classes_equal_brute_force(spark, alike):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i, _ in alike}) and kept.columns == docs(spark, []).columns
 
 
+@pytest.mark.parametrize("chars", [near.CHUNK, 5000])
+def test_every_shingle_has_its_own_document_frequency(spark, alike, tmp_path, monkeypatch, chars):
+    monkeypatch.setattr(near, "CHUNK", chars)
+    rng = random.Random(5)
+    groups = []                                        # a group shares what few of all documents hold, and its members differ in what no other one holds
+    for g in range(3):
+        same = " ".join(f"s{g}w{i}" for i in range(60))
+        groups += [same + " " + " ".join(f"o{g}c{c}w{i}" for i in range(rng.choice([1, 6, 9]))) for c in range(9)]
+    texts = alike + [(1000 + i, t) for i, t in enumerate(groups)] + [(3, alike[3][1]), (None, groups[0])]
+    sets = [(i, *np.unique(near.shingles(w, 5, {}), return_counts=True)) for i, t in texts if (w := near.WORD.findall((t or "").lower()))]
+    df = defaultdict(int)
+    for _, h, _ in sets:
+        for x in h.tolist():
+            df[x] += 1
+    weighted = [(i, (h, n * np.array([np.log1p(len(texts) / df[x]) for x in h.tolist()]))) for i, h, n in sets]
+    part = list(range(len(weighted)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(weighted)), 2):
+        if near.similarity(weighted[a][1], weighted[b][1]) >= 0.8:
+            x, y = find(a), find(b)
+            part[max(x, y)] = min(x, y)
+    members = defaultdict(list)
+    for k, (i, _) in enumerate(weighted):
+        members[find(k)].append(i)
+    want = sorted((i if i is not None else -1, min(x for x in ids if x is not None), len(ids)) for ids in members.values() for i in ids)
+    worded = {i for i, _ in weighted}
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_near_duplicates(spark, str(tmp_path)).collect()
+    assert sorted((-1 if r[0] is None else r[0], r[1], r[2]) for r in got if r[0] in worded) == want
+    assert len(got) == len(texts)
+    flat = {(r[0], r[1]) for r in near.classes_of(docs(spark, texts)).select("doc_id", "class_id").collect()}
+    assert flat != {(r[0], r[1]) for r in got}
+    kept = corpus_pipeline.keep_one_of_each(spark, docs(spark, texts).withColumns({c: F.lit("") for c in corpus_pipeline.COLUMNS[2:]}), "")
+    assert {r["doc_id"] for r in kept.collect()} == {r[1] for r in got}
+    assert near.classes_of(docs(spark, []), rare=None).count() == 0
+
+
+def test_weights_met_often_are_sampled_as_others():
+    rng = np.random.default_rng(2)
+    h = np.sort(rng.integers(0, 2 ** 63, 50).astype(np.uint64))
+    w = rng.choice([1.5, 2.5, 7.0], 50)
+    draw = near.Sampler(8)
+    first = draw(h, w)
+    for _ in range(2 * near.MET):
+        assert (draw(h, w) == first).all()
+    assert draw.plain
+    assert (near.unpacked(near.packed(h)) == h).all() and len(near.unpacked(near.packed(h[:0]))) == 0
+
+
 @pytest.mark.parametrize("block_texts", [400, 50])
 def test_large_group_keeps_links_through_one_member(spark, block_texts):
     """Copies are like their original but not like one another, so a group hangs on one text, wherever that stands under a key."""
