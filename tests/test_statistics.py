@@ -176,3 +176,8 @@ def test_ambiguous_identifiers(spark, reg, make):
     for chain, found in ((None, False), ("x", True), ("z", False)):
         e = one(explore.explain(rows, reg, "a", day("2024-01-01"), chain))
         assert e["found"] is found and e["ambiguous"] is (chain is None)
+
+
+def test_parts_of_a_shuffle_follow_what_moves(spark):
+    keys = spark.range(600_000, numPartitions=4).select(F.sha2(F.col("id").cast("string"), 512).alias("k"))
+    assert keys.groupBy("k").count().select(F.spark_partition_id()).distinct().count() > 8          # the session asks for 4
