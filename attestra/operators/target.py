@@ -83,7 +83,8 @@ def _matched_pairs(target: DataFrame, reference: DataFrame, reg: Registry, flagg
     met = (theirs.join(subjects, "address").where(claim_ops.same_chain(F.col("chain"), F.col("source_chain"))).drop("source_chain"))
     pairs = mine.unionByName(met.select(*mine.columns))
     if flagged is not None:
-        pairs = pairs.join(flagged.select("source", F.lit(True).alias("flagged")), "source", "left")
+        # few sources: each is in the configuration or holds nearly all audited identifiers.  A shuffle by source would put all pairs of one into one task
+        pairs = pairs.join(F.broadcast(flagged.select("source", F.lit(True).alias("flagged"))), "source", "left")
         pairs = pairs.withColumn("flagged", F.coalesce("flagged", F.lit(False)) & ~F.col("is_target"))
     return pairs
 

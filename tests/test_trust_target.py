@@ -89,6 +89,18 @@ def test_partial_flagging(spark, make, reg):
     assert (r["comparability"], r["resolution"]) == (target.UNRESOLVED, "partially_resolved")
 
 
+def test_pairs_are_never_dealt_by_source_alone(spark, make, reg):
+    flagged = spark.createDataFrame([("ransomwhere",)], "source string")
+    mine = make([dict(address="a", source="up", root="up:unresolved", resolved=False)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # as when Spark cannot tell that few sources are flagged
+    try:
+        plan = target.audit_subjects(mine, make(REF), reg, flagged)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(subject#" in plan and "hashpartitioning(source#" not in plan
+
+
 BASE = dict(n_input=100, n_rejected=0, n_subjects=100, n_contradicting=0, n_claims=100, n_uninterpretable=0, comparable=80, no_match=20, same_provenance=0, exact=80,
             refined=0, entity_conflict=0, polarity_conflict=0, unresolved=0, stale=0, staleness_computed=True)
 
