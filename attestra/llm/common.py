@@ -5,12 +5,13 @@ import re
 from typing import Iterable
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.session import written
 
-__all__ = ["WORD", "documents", "table", "fold", "lists", "hash_words", "written", "partitions"]
+__all__ = ["WORD", "documents", "table", "fold", "lists", "Hashes", "hash_words", "written", "partitions"]
 
 #: a word of every word-based operator: a run of letters, digits and underscores of the lower-cased text
 WORD = re.compile(r"\w+")
@@ -40,11 +41,18 @@ def lists(offsets: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def hash_words(words: Iterable[str], seen: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of words, equal in every process (Python's own hash is not)."""
-    import xxhash
+class Hashes(dict[str, int]):
+    """64-bit hashes of words, equal in every process (Python's own hash is not); each is computed when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
 
+
+def hash_words(words: Iterable[str], seen: dict[str, int]) -> np.ndarray:
+    """The hashes of ``Hashes``, kept in ``seen``; a plain dictionary is filled first, which takes longer."""
     words = list(words)
-    for w in set(words).difference(seen):
-        seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    if not isinstance(seen, Hashes):
+        for w in set(words).difference(seen):
+            seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
     return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import WORD, documents, hash_words, written
+from attestra.llm.common import WORD, Hashes, documents, hash_words, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POOL = 1 << 18
@@ -127,7 +127,7 @@ def frequent_shingles(rows: DataFrame, size: int, rare: float) -> tuple[dict[int
     exactly; one whose reports, with the most that silent chunks may hold, stay below ``rare`` is not frequent; only for others are
     the texts read again."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, n, kept = {}, [], 0, 0
+        seen, held, n, kept = Hashes(), [], 0, 0
 
         def out() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
@@ -166,7 +166,7 @@ def _counted(rows: DataFrame, asked: np.ndarray, size: int) -> dict[int, int]:
     sent = rows.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, asked = {}, sent.value
+        seen, asked = Hashes(), sent.value
         count = np.zeros(len(asked), np.int64)
         for b in batches:
             for words in _texts(b):
@@ -250,7 +250,7 @@ def counted_shingles(rows: DataFrame, size: int) -> Counted:
     block = "chunk int, part int, h binary, n binary"
 
     def own(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
-        seen: dict[str, int] = {}
+        seen = Hashes()
         held = [np.unique(shingles(words, size, seen)) for b in texts.to_batches() for words in _texts(b, 0) if words]
         h, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
         part = ((h >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)
@@ -283,10 +283,10 @@ def weighed(rows: DataFrame, weights: Weights | Counted, run: Callable[[Weights,
     total, size = weights.total, weights.size
 
     def both(own: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by("part")                    # parts are ranges of the hash, so the whole is sorted
         h = np.concatenate([np.empty(0, np.uint64), *map(unpacked, told.column("h").to_pylist())])
         n = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(b, np.uint32) for b in told.column("n").to_pylist())])
-        order = np.argsort(h)
-        weigh = Weights.of(h[order], np.log1p(total / n[order]), float(np.log1p(total)), size)
+        weigh = Weights.of(h, np.log1p(total / n), float(np.log1p(total)), size)
         return pa.Table.from_batches(run(weigh, own.to_batches()), schema)
 
     return rows.groupBy("chunk").cogroup(weights.told.groupBy("chunk")).applyInArrow(both, ddl)
@@ -297,7 +297,7 @@ def sketches(rows: DataFrame, weights: Weights | Counted, bands: int, band_rows:
     samples = bands * band_rows
 
     def run(weigh: Weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw, seen, last = sampler(samples), {}, {}
+        draw, seen, last = sampler(samples), Hashes(), {}
         for b in batches:
             t, s, w = [], [], []
             for words in _texts(b):
@@ -487,7 +487,7 @@ def classes_of(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: in
 def _sets(rows: DataFrame, asked: DataFrame, weights: Weights | Counted) -> DataFrame:
     """(t, h, n, w): shingles, their counts and the weight of each of the texts asked for, each read where its first id is."""
     def run(weigh: Weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen = Hashes()
         for b in batches:
             out = []
             for t, words in zip(b.column(0).to_pylist(), _texts(b)):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attestra.llm import decontaminate, maxscore, near_duplicates as near, packing, pii, quality, queries, token_rows, tokens, warc
-from attestra.llm.common import written
+from attestra.llm.common import Hashes, hash_words, written
 from workbench import run_queries
 
 SF = "/root/testdata/sf0.001"
@@ -329,6 +329,12 @@ def _components(nodes, links):
     return list(of.values())
 
 
+def test_words_are_hashed_when_first_asked_for():
+    words, seen = ["a", "bé", "a", "\ud800", "c"], Hashes(c=7)
+    got = hash_words(words, seen)
+    assert got[:4].tolist() == hash_words(words, {})[:4].tolist() and got[4] == 7 and seen.keys() == {"a", "bé", "\ud800", "c"}
+
+
 def test_frequent_shingles_are_exact(spark, alike):
     rows = near.documents(docs(spark, alike)).repartition(5)
     counts, total = near.frequent_shingles(rows, 5, 0.1)
