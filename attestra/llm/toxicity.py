@@ -16,6 +16,7 @@ are scored each, and equally.  An empty table gives no rows.  Columns besides id
 """
 from __future__ import annotations
 
+import functools
 import itertools
 from collections import Counter
 from dataclasses import dataclass
@@ -33,6 +34,8 @@ DISCOUNT = 0.75
 #: deviance from which on the classes are held to use an expression differently (chi-square with one degree of freedom)
 SURE = 15.0
 FLUSH = 400_000
+#: pairs that a task sorts and adds up at a time
+PAIRS_AT_ONCE = 1_000_000
 
 
 @dataclass
@@ -158,17 +161,60 @@ def _told_apart(o, t, share):
     return 2 * (part(o, 1 - share) + part(t, share))
 
 
-def tables(rows: DataFrame, least_count: int = 2) -> tuple[DataFrame | None, float, float]:
+def _pair_counts(rows: DataFrame, part: int, parts: int) -> DataFrame:
+    """(b, a, ordinary, toxic) of the pairs whose first word's hash falls to ``part``: sorted and added up within a task by some many at a time, then by Spark."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, bool]] = []
+
+        def out():
+            b, a = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            toxic = np.repeat(np.array([x[2] for x in held], np.int64), [len(x[0]) for x in held])
+            held.clear()
+            order = np.lexsort((a, b))
+            b, a, toxic = b[order], a[order], toxic[order]
+            first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])))
+            n, t = np.diff(np.append(first, len(b))), np.add.reduceat(toxic, first)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (b[first], a[first], n - t, t)], ["b", "a", "ordinary", "toxic"])
+
+        size = 0
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1)):
+                h = _hashed(text.as_py())
+                if len(_SEEN) > FLUSH:
+                    _SEEN.clear()
+                mine = np.flatnonzero(h[:-1].view(np.uint64) % np.uint64(parts) == part)
+                if len(mine):
+                    held.append((h[mine], h[mine + 1], toxic.as_py() == 1))
+                    size += len(mine)
+                if size > PAIRS_AT_ONCE:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    # no word is null; said here, as the join of ``_pairs`` would say it for one of its two readers only, and the shuffle serves both
+    counted = rows.select("text", "toxic").mapInArrow(run, "b bigint, a bigint, ordinary bigint, toxic bigint").where("b IS NOT NULL")
+    return counted.groupBy("b", "a").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def _pairs(rows: DataFrame, kept: DataFrame, often, part: int, parts: int) -> DataFrame:
+    """One part of the pairs of kept words: a row (b, a, ordinary, toxic) for each pair that is kept itself, as both its words then are, and of the others
+    only how many end in a (``follows``)."""
+    counted = _pair_counts(rows, part, parts)
+    rare = (counted.where(~often).join(kept.select(F.col("key").alias("b")), "b", "left_semi").groupBy("a").agg(F.count("*").alias("follows"))
+            .select(F.lit(None).cast("bigint").alias("b"), "a", *(F.lit(None).cast("bigint").alias(c) for c in ("ordinary", "toxic")), "follows"))
+    return written(counted.where(often).withColumn("follows", F.lit(None).cast("bigint")).union(rare))
+
+
+def tables(rows: DataFrame, least_count: int = 2, parts: int = 4) -> tuple[DataFrame | None, float, float]:
     """What ``fit`` computes, over tables of all words and pairs that occur ``least_count`` times: (b, a, value, before, n), the log-ratio of
     any other word, and the share of toxic rows.  A row is a word b whose ratio is ``value`` above the others' or that leaves ``before`` to
-    what follows it, or a pair (b, a) with what it adds to its parts.  None if a class has no words."""
+    what follows it, or a pair (b, a) with what it adds to its parts.  None if a class has no words.
+
+    Pairs are counted in ``parts`` by their first word, one after the other, so that what is shuffled of them at a time is that part of the whole."""
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
 
-    def pairs_of(text: str | None) -> zip:
-        h = _hashed(text)
-        return zip(h[:-1].tolist(), h[1:].tolist())
-
     words = written(_counted(rows, lambda t: _hashed(t).tolist(), "key bigint"))
     often = F.col("ordinary") + F.col("toxic") >= least_count
     s = words.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in (
@@ -177,12 +223,11 @@ def tables(rows: DataFrame, least_count: int = 2) -> tuple[DataFrame | None, flo
     if not s["o"] or not s["t"]:
         return None, 0.0, base
     kept = words.where(often)
-    pairs = _counted(rows, pairs_of, "key array<bigint>").select(F.col("key")[0].alias("b"), F.col("key")[1].alias("a"), "ordinary", "toxic")
-    for end in "ba":
-        pairs = pairs.join(kept.select(F.col("key").alias(end)), end, "left_semi")
-    pairs = written(pairs.select("b", "a", "ordinary", "toxic"))
-    places = pairs.count() + s["size"] + 1             # one place more for any other word
-    follows = pairs.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("follows"))
+    found = [_pairs(rows, kept, often, part, parts) for part in range(parts)]
+    pairs = functools.reduce(DataFrame.union, found).where("b IS NOT NULL").drop("follows")
+    follows = written(functools.reduce(DataFrame.union, found).select(F.col("a").alias("key"), F.coalesce("follows", F.lit(1)).alias("n"))
+                      .groupBy("key").agg(F.sum("n").alias("follows")).join(kept.select("key"), "key", "left_semi"))
+    places = (follows.agg(F.sum("follows").alias("n")).first()["n"] or 0) + s["size"] + 1             # one place more for any other word
     shared = (F.coalesce("follows", F.lit(0)) + 1) / F.lit(float(places))
     unigram = lambda c, total, kinds: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * kinds / total * shared
     words = written(kept.join(follows, "key", "left").select(
@@ -192,7 +237,7 @@ def tables(rows: DataFrame, least_count: int = 2) -> tuple[DataFrame | None, flo
     rest = [(1 - r[c]) / (r["shared"] + 1 / places) for c in ("u0", "u1")]
     other = float(np.log(rest[1]) - np.log(rest[0]))
     words = words.select("key", "ordinary", "toxic", "told", *(F.when(F.col("told"), F.col(c)).otherwise(F.col("shared") * x).alias(c) for c, x in zip(("u0", "u1"), rest)))
-    both = (pairs.where(often).join(words.select(F.col("key").alias("b"), F.col("ordinary").alias("bo"), F.col("toxic").alias("bt")), "b")
+    both = (pairs.join(words.select(F.col("key").alias("b"), F.col("ordinary").alias("bo"), F.col("toxic").alias("bt")), "b")
             .join(words.select(F.col("key").alias("a"), "told", "u0", "u1"), "a"))
     awaited = F.col("bt") * F.col("u1") / (F.col("bo") * F.col("u0") + F.col("bt") * F.col("u1"))
     direct = lambda c, of: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(of, F.lit(1))
@@ -339,7 +384,7 @@ def score(docs: DataFrame, labels: DataFrame, learn_from, calibrate_on, threshol
     told = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     rows = documents(docs, id_col, text_col)
     # the labels grow with the documents, so the same join at every size
-    learned = written(rows.where(learn_from).join(told.where(learn_from).hint("shuffle_merge"), "doc_id").select("text", "toxic"))
+    learned = written(rows.where(learn_from).join(told.where(learn_from).hint("shuffle_merge"), "doc_id").select("text", "toxic"), compression="zstd")
     ratios, other, share = tables(learned, **how)
     found = written(table_evidence(rows, ratios, other, most_sent))
     part = (found.where(calibrate_on).where("evidence IS NOT NULL").join(told.where(calibrate_on), "doc_id")

@@ -1,6 +1,7 @@
 """Language, quality, toxicity and personal data on small tables: held-out accuracy, brute force and odd rows."""
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,6 +111,26 @@ def test_toxicity_tables_keep_rare_words(spark, insults, most_sent):
     assert of(got) == of(want)
 
 
+def test_toxicity_pairs_by_part(spark):
+    """A part shuffles and keeps only its own pairs: those kept themselves, and of rare ones how many kept words lead to each word."""
+    texts = ["a b c a b", "a b d", "b c x", "c y d", "y", "z c", "", None, "a"] + [f"u{i} c" for i in range(5)]
+    rows = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, toxic int").repartition(3)
+    words = Counter(w for t in texts for w in (t or "").split())
+    pairs = Counter(p for t in texts for p in zip((t or "").split(), (t or "").split()[1:]))
+    h = {w: int(toxicity._hashed(w)[0]) for w in words}
+    kept = spark.createDataFrame([(h[w],) for w, n in words.items() if n >= 2], "key bigint")
+    often = F.col("ordinary") + F.col("toxic") >= 2
+    got = [r for part in range(3) for r in toxicity._pairs(rows, kept, often, part, 3).collect()]
+    assert {(r["b"], r["a"], r["ordinary"] + r["toxic"]) for r in got if r["b"] is not None} == {(h[b], h[a], n) for (b, a), n in pairs.items() if n >= 2}
+    rare = Counter()
+    for r in got:
+        rare.update({r["a"]: r["follows"] or 0})
+    want = Counter(h[a] for (b, a), n in pairs.items() if n < 2 and words[b] >= 2)
+    assert {k: n for k, n in rare.items() if n} == want
+    parts = [toxicity._pair_counts(rows, part, 3) for part in range(3)]
+    assert all(r["b"] % 2 ** 64 % 3 == part for part, p in enumerate(parts) for r in p.collect()) and sum(p.count() for p in parts) == len(pairs)
+
+
 @pytest.fixture(scope="module")
 def graded(spark):
     rng = np.random.default_rng(3)
