@@ -2,9 +2,15 @@
 
 "First occurrence" is a minimum over row ids, which combines on the map side, so a row or claim
 repeated millions of times never gathers in one task the way a window over the copies would.
+
+Rows move once, to meet their copies, and what moves at a time is bounded: large tables are read in slices of about ``SLICE`` rows by
+a hash, and what a slice shuffled goes when its part is written.  From then on claims are a digest and a token, and only rows that may
+be valid meet the tokens they are the first to state.
 """
 from __future__ import annotations
 
+import functools
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +24,8 @@ from .claims import declared_source
 
 #: Fixed value: reasons in the order they are tested.
 REASONS = ["duplicate row", "empty address", "unresolved chain", "invalid address", "missing label", "duplicate claim"]
+#: rows that are shuffled at a time, about
+SLICE = 50_000_000
 
 
 @dataclass
@@ -100,23 +108,33 @@ def label_tokens(text: Column, multi_label: dict | None, reg: Registry) -> Colum
     return F.when((F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(pattern)), parts).otherwise(whole)
 
 
-def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str | None = None, dedupe: bool = True,
-             multi_label: dict | None = None, single_label: bool = False, keep: bool = True) -> Validation:
+def digest(*cells: Column) -> Column:
+    """16 bytes that stand for text cells, null ones too."""
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells])))
+
+
+def _slices(df: DataFrame, by: list[str], slices: int) -> list[DataFrame]:
+    """The rows in so many tables; those that agree in ``by`` are in one."""
+    return [df] if slices == 1 else [df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by]), F.lit(slices)) == i) for i in range(slices)]
+
+
+def _kept(parts: list[DataFrame], keep: bool) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, [written(p, compression="zstd") if keep else p for p in parts])
+
+
+def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str | None = None, dedupe: bool = True, multi_label: dict | None = None,
+             single_label: bool = False, keep: bool = True, carry: Collection[str] | None = None) -> Validation:
     """Judge every row of ``rows`` (a unique ``row_id`` and text cells).
 
     A blank chain cell falls back to ``default_chain``; a chain name that resolves to nothing is
     rejected, never replaced.  A row with several labels is a duplicate only when none is new.
     ``single_label`` reads the mapped category, or else label, column alone (joined tables).
     ``keep`` writes the rows with their first tests to the shared folder, so identifiers are checked once.
+    ``carry`` names the cells that the judged rows still have (all, if not given); without the address no list of rejected rows can be made.
     """
     if default_chain is None and not mapping.get("chain"):
         raise ValueError("address validation needs a chain: none was given or mapped")
     cells = [c for c in rows.columns if c != "row_id"]
-    if dedupe:
-        # the group keys are the row, so the first occurrence is the aggregate's own output
-        first = rows.groupBy(*[F.col(f"`{c}`") for c in cells]).agg(F.min("row_id").alias("row_id"), F.count("*").alias("copies"))
-    else:
-        first = rows.withColumn("copies", F.lit(1).cast("bigint"))
     raw = F.coalesce(F.col(f"`{mapping['address']}`"), F.lit("")) if mapping.get("address") else F.lit("")
     chain = F.lit(default_chain).cast("string")
     if mapping.get("chain"):
@@ -129,45 +147,58 @@ def validate(rows: DataFrame, mapping: dict, reg: Registry, default_chain: str |
         here = cell(F.col(f"`{f}`"))
         split_cell = F.when(here != "", F.lit(bool(multi_label) and multi_label.get("column") == f)).otherwise(split_cell)
         label = F.when(here != "", here).otherwise(label)
-    df = first.withColumns({"_address": cell(raw), "row_chain": chain, "_label": label, "_split": split_cell})
-    df = df.withColumn("trimmed", F.col("_address") != raw)
-    df = df.withColumn("state", identifiers.checksum_state(F.when(F.col("row_chain").isin(reg.evm_chains), F.col("_address"))))
-    valid = F.when(F.col("row_chain").isin(reg.evm_chains), F.coalesce(F.col("state").isin("not_encoded", "valid"), F.lit(False))) \
-        .otherwise(identifiers.address_valid(reg, F.col("row_chain"), F.col("_address"), without=("evm",)))
-    df = df.withColumns({"_ok": valid, "checked": (F.col("_address") != "") & F.col("row_chain").isNotNull()})
-    reason = (F.when(F.col("_address") == "", REASONS[1]).when(F.col("row_chain").isNull(), REASONS[2])
-              .when(~F.col("_ok"), REASONS[3]))
-    if fields:
-        reason = reason.when(F.col("_label") == "", REASONS[4])
-    df = df.withColumn("reason", reason).drop("_ok")
-    if keep:
-        df = written(df)          # read twice below: once for the claims of each row, once for the rows
-    tokens = F.when(F.col("_split"), label_tokens(F.col("_label"), multi_label, reg)).otherwise(F.array("_label"))
-    df = df.withColumns({"_tokens": tokens, "_declared": declared_source(mapping),
-                         "_subject": identifiers.canonical_identifier(reg, F.col("row_chain"), F.col("_address"))})
+    own = [c for c in cells if carry is None or c in carry]
     listed = F.size("_tokens") > 1
+
+    def tested(first: DataFrame) -> DataFrame:
+        df = first.withColumns({"_address": cell(raw), "row_chain": chain, "_label": label, "_split": split_cell})
+        df = df.withColumn("trimmed", F.col("_address") != raw)
+        df = df.withColumn("state", identifiers.checksum_state(F.when(F.col("row_chain").isin(reg.evm_chains), F.col("_address"))))
+        valid = F.when(F.col("row_chain").isin(reg.evm_chains), F.coalesce(F.col("state").isin("not_encoded", "valid"), F.lit(False))) \
+            .otherwise(identifiers.address_valid(reg, F.col("row_chain"), F.col("_address"), without=("evm",)))
+        df = df.withColumns({"_ok": valid, "checked": (F.col("_address") != "") & F.col("row_chain").isNotNull()})
+        reason = (F.when(F.col("_address") == "", REASONS[1]).when(F.col("row_chain").isNull(), REASONS[2])
+                  .when(~F.col("_ok"), REASONS[3]))
+        if fields:
+            reason = reason.when(F.col("_label") == "", REASONS[4])
+        tokens = F.when(F.col("_split"), label_tokens(F.col("_label"), multi_label, reg)).otherwise(F.array("_label"))
+        # what a claim says beside its token
+        base = digest(F.col("row_chain"), identifiers.canonical_identifier(reg, F.col("row_chain"), F.col("_address")), declared_source(mapping))
+        df = df.withColumns({"reason": reason, "_tokens": tokens}).withColumn("_base", F.when(F.col("reason").isNull(), base))
+        return df.select("row_id", *[F.col(f"`{c}`") for c in own], "copies", "row_chain", "trimmed", "state", "checked", "reason", "_tokens", "_base")
+
+    def finished(df: DataFrame) -> DataFrame:
+        return df.withColumn("_address", cell(raw)) if not mapping.get("address") or mapping["address"] in own else df
+
     if not dedupe:
+        df = tested(rows.withColumn("copies", F.lit(1).cast("bigint")))
+        df = finished(_kept([df], keep))
         taken = F.transform("_tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
         return Validation(rows, _tidy(df.withColumn("tokens", F.when(listed, taken)).withColumn("n_tokens", F.size("_tokens"))))
-    # claim key -> the row that states it first; only the tokens that an earlier row has stated come back to their rows
-    key = ["row_chain", "_subject", "token", "_declared"]
-    claims = df.where("reason IS NULL").select("row_id", "row_chain", "_subject", "_declared", F.explode(F.array_distinct("_tokens")).alias("token"))
-    repeated = claims.groupBy(*key).agg(F.min("row_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n").toDF(*[f"{k}_" for k in key], "first_id")
-    lost = (claims.join(repeated, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key]).where("row_id <> first_id")
-            .groupBy("row_id").agg(F.collect_list("token").alias("_lost")))             # tokens of one row
-    df = df.join(lost, "row_id", "left")
-    left = F.array_except(F.array_distinct("_tokens"), F.coalesce("_lost", F.array().cast("array<string>")))
-    df = df.withColumn("_new", F.when(F.col("reason").isNull() & (F.size(left) > 0), left))
+    slices = max(1, -(-rows.count() // SLICE)) if keep else 1
+    # the group keys are the row, so the first occurrence is the aggregate's own output
+    df = _kept([tested(part.groupBy(*[F.col(f"`{c}`") for c in cells]).agg(F.min("row_id").alias("row_id"), F.count("*").alias("copies")))
+                for part in _slices(rows, cells, slices)], keep)
+    # the row that states a claim first; a row without an id is never later than another
+    claims = df.where("reason IS NULL").select("row_id", "_base", F.explode(F.array_distinct("_tokens")).alias("token"))
+    firsts = _kept([part.groupBy("_base", "token").agg(F.min("row_id").alias("row_id")).where("row_id IS NOT NULL").select("row_id", "token")
+                    for part in _slices(claims, ["_base", "token"], slices)], keep)
+    won = firsts.groupBy("row_id").agg(F.collect_list("token").alias("_won"))             # tokens of one row
+    df = finished(df)
+    good = df.where("reason IS NULL").join(won, "row_id", "left")
+    stated = F.array_distinct("_tokens")
+    new = F.when(F.col("row_id").isNull(), stated).otherwise(F.array_intersect(stated, F.coalesce("_won", F.array().cast("array<string>"))))
+    good = good.withColumn("_new", F.when(F.size(new) > 0, new))
     taken = F.array_sort(F.transform("_new", lambda t: F.struct((F.array_position(F.col("_tokens"), t) - F.lit(1)).cast("int").alias("pos"),
                                                                 t.alias("token"))))
-    df = df.withColumns({
-        "reason": F.when(F.col("reason").isNull() & F.col("_new").isNull(), REASONS[5]).otherwise(F.col("reason")),
-        "tokens": F.when(listed, taken), "n_tokens": F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new"))})
-    return Validation(rows, _tidy(df))
+    good = good.withColumns({"reason": F.when(F.col("_new").isNull(), REASONS[5]), "tokens": F.when(listed, taken),
+                             "n_tokens": F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new"))})
+    bad = df.where("reason IS NOT NULL").withColumns({"tokens": F.lit(None).cast(good.schema["tokens"].dataType), "n_tokens": F.lit(0)})
+    return Validation(rows, _tidy(bad).unionByName(_tidy(good)))
 
 
 def _tidy(df: DataFrame) -> DataFrame:
-    return df.drop("_label", "_split", "_declared", "_tokens", "_subject", "_new", "_lost")
+    return df.drop("_tokens", "_base", "_won", "_new")
 
 
 def passes_floor(counts: DataFrame, reg: Registry) -> DataFrame:

@@ -1,4 +1,5 @@
 """Row validation, table profiles, joins: small tables with known answers, and brute force."""
+import os
 import random
 
 import pytest
@@ -167,6 +168,37 @@ def test_a_column_filled_once_is_profiled(spark, reg):
     assert kinds(PF.preflight(rows, reg))["wallet_address"] == "subject_address"
 
 
+def test_slices_of_an_upload_are_judged_as_one(spark, reg, monkeypatch):
+    """Slices hold all copies of a row and all statements of a claim, whatever ids and cells are null or repeat."""
+    rnd = random.Random(8)
+    some = [(rnd.choice([*HEX[:5], HEX[0].upper().replace("0X", "0x"), "", "bad", None]), rnd.choice(["eth", "bsc", None, "zzz"]), rnd.choice(["mixer", "mixer,scam", "scam,hack", "", None]), "",
+             rnd.choice(["p", "", None])) for _ in range(400)]
+    ids = [None if rnd.random() < 0.1 else i for i in range(400)]
+    rows = spark.createDataFrame([(i, *r) for i, r in zip(ids, some)] + [(ids[k], *some[k]) for k in range(0, 400, 9)],
+                                 "row_id bigint, addr string, net string, cat string, lab string, src string").repartition(5)
+
+    def found():
+        v = V.validate(rows, MAP, reg, "ethereum", multi_label=MULTI)
+        plain = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+        return [plain(x) for x in (v.judged, v.rejected, v.reasons(), v.counts(), v.per_chain(), v.checksum_states(reg))]
+
+    whole = found()
+    monkeypatch.setattr(V, "SLICE", 70)
+    assert found() == whole and len(whole[0]) > 200 and any("duplicate claim" in r for r in whole[1])
+
+
+def test_a_judged_upload_is_small_on_disk(spark, reg):
+    """Only the cells asked for are written, and none as a second spelling of another."""
+    rnd = random.Random(9)
+    n = 20_000
+    rows = table(spark, ["addr", "net", "cat", "lab", "src"], [(f"0x{rnd.getrandbits(160):040x}", "eth", rnd.choice(["mixer", "scam"]), f"note {rnd.getrandbits(200)}", "s") for _ in range(n)])
+    size = lambda df: sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+    v = V.validate(rows, MAP, reg, "ethereum", multi_label=MULTI, carry=())
+    assert size(v.judged) < 60 * n and not {"addr", "_address", "lab"} & set(v.judged.columns) and one(v.counts())["n_claims"] == n
+    address = V.validate(rows, MAP, reg, "ethereum", multi_label=MULTI, carry=["addr"])
+    assert size(address.judged) < 90 * n and address.rejected.count() == 0
+
+
 def test_three_hundred_tokens_are_three_hundred_places(spark, reg):
     cats = ",".join(f"t{i}" for i in range(300))
     rows = table(spark, ["addr", "net", "cat", "lab", "src"], [(BTC[0], "btc", cats, "", "s")] * 1 + [(BTC[1], "btc", "t1,t2", "", "s")])
